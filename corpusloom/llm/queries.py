@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, prefix_bpe
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +13,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pareto_mix": op1_pareto_mix}
+def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_pareto_mix": op1_pareto_mix, "op6_prefix_bpe": op6_prefix_bpe}
 ORACLES = {"op1_pareto_mix": mixing.ORACLE}
