@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, prefix_bpe
+from . import mixing, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,9 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_pareto_mix": op1_pareto_mix, "op6_prefix_bpe": op6_prefix_bpe}
-ORACLES = {"op1_pareto_mix": mixing.ORACLE}
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op1_pareto_mix": op1_pareto_mix, "op6_prefix_bpe": op6_prefix_bpe, "op9_warc_revisits": op9_warc_revisits}
+ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op9_warc_revisits": warc.ORACLE}
