@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, isolation, mixing, prefix_bpe, warc
+from . import cotrain, isolation, licenses, mixing, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify_quality(docs, labels)
 
 
+def op8_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_isolation_forest": op4_isolation_forest,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op7_cotrained_quality": op7_cotrained_quality,
+    "op8_license_paragraphs": op8_license_paragraphs,
     "op9_warc_revisits": op9_warc_revisits,
 }
 #: The others cannot be said in SQL; their tests compare them with brute force or held-out labels.
