@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, isolation, licenses, mixing, prefix_bpe, warc
+from . import cotrain, id_files, isolation, licenses, mixing, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return id_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = isolation.quality_rules(docs, labels)
@@ -39,6 +44,7 @@ def op8_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_context_coder": op2_context_coder,
     "op4_isolation_forest": op4_isolation_forest,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op7_cotrained_quality": op7_cotrained_quality,
