@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, id_files, isolation, licenses, mixing, prefix_bpe, warc
+from . import cotrain, id_files, isolation, licenses, mixing, pq_dedup, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = isolation.quality_rules(docs, labels)
@@ -45,6 +49,7 @@ def op8_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_context_coder": op2_context_coder,
+    "op3_product_quantisation": op3_product_quantisation,
     "op4_isolation_forest": op4_isolation_forest,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op7_cotrained_quality": op7_cotrained_quality,
@@ -52,4 +57,4 @@ QUERIES = {
     "op9_warc_revisits": op9_warc_revisits,
 }
 #: The others cannot be said in SQL; their tests compare them with brute force or held-out labels.
-ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op9_warc_revisits": warc.ORACLE}
+ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op3_product_quantisation": pq_dedup.ORACLE, "op9_warc_revisits": warc.ORACLE}
