@@ -226,7 +226,7 @@ def _search(p: pd.DataFrame, index: Index, dtype: str, least: float, reach: floa
 
 ORACLE = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT r, vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
 c AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT c.node, p.b FROM c JOIN p ON c.reach = p.a),
