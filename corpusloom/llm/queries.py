@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, id_files, isolation, licenses, mixing, pq_dedup, prefix_bpe, warc
+from . import cotrain, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_context_coder": op2_context_coder,
     "op3_product_quantisation": op3_product_quantisation,
     "op4_isolation_forest": op4_isolation_forest,
+    "op5_parity_sketch_join": op5_parity_sketch_join,
     "op6_prefix_bpe": op6_prefix_bpe,
     "op7_cotrained_quality": op7_cotrained_quality,
     "op8_license_paragraphs": op8_license_paragraphs,
