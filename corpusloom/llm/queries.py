@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, warc
+from . import cotrain, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_context_coder": op2_context_coder,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_cotrained_quality": op7_cotrained_quality,
     "op8_license_paragraphs": op8_license_paragraphs,
     "op9_warc_revisits": op9_warc_revisits,
+    "op10_host_suffix_array": op10_host_suffix_array,
 }
 #: The others cannot be said in SQL; their tests compare them with brute force or held-out labels.
 ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op3_product_quantisation": pq_dedup.ORACLE, "op9_warc_revisits": warc.ORACLE}
