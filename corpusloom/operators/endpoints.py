@@ -48,7 +48,7 @@ def example_code_block(text: Column, start: Column, context: Column) -> Column:
     """Does a value stand in a code fence of an example?"""
     before = F.substring(text, F.lit(1), start)
     fences = F.size(F.split(before, "```")) - 1
-    opened = F.length(F.substring_index(before, "```", fences))
+    opened = F.length(F.array_join(F.slice(F.split(before, "```"), F.lit(1), F.greatest(fences, F.lit(1))), "```"))
     lead = F.lower(F.substring(before, F.greatest(opened - 159, F.lit(1)), F.least(opened, F.lit(160))))
     return (fences % 2 == 1) & (any_of(lead, ["api", "example", "sample", "demo"]) | any_of(F.lower(context), ["example-host", "/mock/", "/demo"]))
 
@@ -63,15 +63,20 @@ def endpoint_context(text: Column, start: Column, size: Column, around: int = 80
     return F.substring(strip(F.replace(F.concat(before, F.substring(text, start + 1, size), after), F.lit("\n"), F.lit(" "))), 1, limit)
 
 
+def _matches(text: Column, n: int, kind: str, pattern: str, group: int) -> Column:
+    def row(x: Column) -> Column:
+        value = F.regexp_extract(x["match"], pattern, group) if group else x["match"]
+        start = x["start"] + F.instr(x["match"], value) - 1
+        return F.struct(F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(value).alias("key_value"), start.alias("start"), F.length(value).alias("size"))
+
+    return F.transform(match_offsets(text, pattern), row)
+
+
 def extract_endpoints(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
     """(key, key_type, key_value, context, pattern_no, start) of all matches that are neither noise nor examples, once
     for each file, type and value (the first by pattern, then place)."""
     t = F.col(text)
-    found = []
-    for n, (kind, pattern, group) in enumerate(rules.ENDPOINTS):
-        m = match_offsets(t, pattern)
-        value = (lambda x, p=pattern, g=group: F.regexp_extract(x, p, g)) if group else (lambda x: x)
-        found.append(F.transform(m, lambda x, kind=kind, n=n, value=value: F.struct(F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(value(x["match"])).alias("key_value"), (x["start"] + F.instr(x["match"], value(x["match"])) - 1).alias("start"), F.length(value(x["match"])).alias("size"))))
+    found = [_matches(t, n, *rule) for n, rule in enumerate(rules.ENDPOINTS)]
     # texts without any endpoint leave early: no offsets are counted for them
     likely = texts.filter(F.rlike(t, F.lit(r"://|\d\.\d|(?i)host|server|addr|broker|endpoint")))
     row = likely.select(F.col(key), t.alias("__t"), F.explode(F.concat(*found)).alias("m")).select(key, "__t", "m.*")

@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flagship_bigram_topk"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["hybrid_rerank"](spark, sf_dir)
