@@ -72,14 +72,19 @@ def _matches(text: Column, n: int, kind: str, pattern: str, group: int) -> Colum
     return F.transform(match_offsets(text, pattern), row)
 
 
-def extract_endpoints(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, key_type, key_value, context, pattern_no, start) of all matches that are neither noise nor examples, once
-    for each file, type and value (the first by pattern, then place)."""
+def endpoint_matches(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """(key, __t, pattern_no, key_type, key_value, start, size) of every match of every pattern; __t is the text."""
     t = F.col(text)
     found = [_matches(t, n, *rule) for n, rule in enumerate(rules.ENDPOINTS)]
     # texts without any endpoint leave early: no offsets are counted for them
     likely = texts.filter(F.rlike(t, F.lit(r"://|\d\.\d|(?i)host|server|addr|broker|endpoint")))
-    row = likely.select(F.col(key), t.alias("__t"), F.explode(F.concat(*found)).alias("m")).select(key, "__t", "m.*")
+    return likely.select(F.col(key), t.alias("__t"), F.explode(F.concat(*found)).alias("m")).select(key, "__t", "m.*")
+
+
+def extract_endpoints(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """(key, key_type, key_value, context, pattern_no, start) of all matches that are neither noise nor examples, once
+    for each file, type and value (the first by pattern, then place)."""
+    row = endpoint_matches(texts, key, text)
     row = row.filter(~endpoint_noise(F.col("key_type"), F.col("key_value"))).withColumn("context", endpoint_context(F.col("__t"), F.col("start"), F.col("size")))
     row = row.filter(~example_context(F.col("context"), F.col("key_value")) & ~example_code_block(F.col("__t"), F.col("start"), F.col("context")))
     return dedupe_first(row.drop("__t", "size"), key)

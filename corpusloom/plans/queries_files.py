@@ -322,6 +322,18 @@ def _(s, d):
     return endpoints.extract_endpoints(files(s, d)).filter("key_type = 'IP_PORT'").select("file_id", "key_type", "key_value")
 
 
+@query("endpoint_matches", r"SELECT file_id, key_type, key_value, count(*) AS n FROM (SELECT doc_id AS file_id, 'IP_PORT' AS key_type, unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b')) AS key_value FROM documents WHERE regexp_matches(text, '\d\.\d')) WHERE NOT regexp_matches(key_value, '^(127\.0\.0\.1|0\.0\.0\.0)') GROUP BY 1, 2, 3")
+def _(s, d):
+    m = endpoints.endpoint_matches(files(s, d)).filter("key_type = 'IP_PORT'")
+    return m.groupBy("file_id", "key_type", "key_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("url_matches", r"SELECT page_id AS file_id, unnest(regexp_extract_all(url, '(?i)https?://[^\s\"''<>\[\]()]{5,200}')) AS key_value FROM pages")
+def _(s, d):
+    m = endpoints.endpoint_matches(table(s, d, "pages"), key="page_id", text="url").filter("key_type = 'URL'")
+    return m.select(F.col("page_id").alias("file_id"), "key_value")
+
+
 @query("endpoint_offsets", r"SELECT doc_id, string_agg(v, ',' ORDER BY i) AS found FROM (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS a FROM documents)) GROUP BY 1")
 def _(s, d):
     m = table(s, d, "documents").select("doc_id", "text", F.explode(tx.match_offsets(F.col("text"), "[0-9]+")).alias("m"))
