@@ -37,10 +37,8 @@ def normalize_query(text: Column, suffixes: Sequence[str]) -> Column:
 
 
 def grams(text: Column, n: int = 2) -> Column:
-    """Distinct runs of n characters."""
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
-    )
+    """Distinct runs of n characters, by one pass of a lookahead: indexing characters one by one would be quadratic."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def tokenize_question(text: Column, stop: Sequence[str]) -> Column:
@@ -77,8 +75,11 @@ def token_estimate(text: Column) -> Column:
 
 def char_hash_embedding(text: Column, dim: int = 8) -> Column:
     """dim sums of character codes mod 31, by place mod dim, scaled to length one (zeros stay)."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))) % 31)
-    codes = F.when(F.length(text) > 0, codes).otherwise(F.array().cast("array<int>"))
-    sums = [F.aggregate(F.transform(codes, lambda c, i, k=k: F.when(i % dim == k, c).otherwise(0)), F.lit(0), lambda a, x: a + x) for k in range(dim)]
+    codes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) % 31)
+
+    def total(k: int) -> Column:
+        return F.aggregate(F.transform(codes, lambda c, i: F.when(i % dim == k, c).otherwise(0)), F.lit(0), lambda a, x: a + x)
+
+    sums = [total(k) for k in range(dim)]
     norm = F.sqrt(sum((s * s for s in sums[1:]), sums[0] * sums[0]).cast("double"))
     return F.array(*(F.when(norm > 0, s / norm).otherwise(F.lit(0.0)) for s in sums))

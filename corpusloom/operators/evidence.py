@@ -169,7 +169,7 @@ def select_citations(ranked: DataFrame, answers: DataFrame, most: int = 6) -> Da
     j = ranked.join(best, "question_id").join(answers.filter("grounded").select("question_id", "answer"), "question_id")
     j = j.filter((F.col("score") >= citation_threshold(F.col("best"))) | names_file(F.col("answer"), F.col("file_name")))
     one = j.groupBy("question_id", "file_name").agg(F.min_by(F.struct("chunk_id", "score"), F.struct(-F.col("score"), "chunk_id")).alias("x")).select("question_id", "file_name", "x.*")
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id", "file_name")
     return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
@@ -206,6 +206,6 @@ def evidence_scope(drafts: DataFrame, files: DataFrame) -> DataFrame:
     numbers = F.regexp_extract_all("scope", F.lit(r"(?<![0-9-])(\d{1,3})(?=\s*(?:号|、|,|，|和|及))"), F.lit(1))
     f = files.select("file_id", F.element_at(F.split("rel_path", "/"), -1).alias("fname"))
     f = f.select("file_id", F.nullif(F.regexp_extract("fname", r"^(\d{1,3})(?=\D)", 1), F.lit("")).cast("int").alias("number"), normalize_text(F.regexp_replace("fname", r"\.[^.]+$", "")).alias("stem"))
-    by_number = d.select("artifact_id", F.explode(numbers).cast("int").alias("number")).join(f.filter("number IS NOT NULL"), "number").select("artifact_id", "file_id")
+    by_number = d.select("artifact_id", F.explode(F.transform(numbers, lambda x: x.cast("int"))).alias("number")).join(f.filter("number IS NOT NULL"), "number").select("artifact_id", "file_id")
     by_name = d.select("artifact_id", "norm").join(f.filter(F.length("stem") >= 4), F.contains("norm", "stem") | F.contains("stem", "norm")).select("artifact_id", "file_id")
     return d.select("artifact_id", "scope").join(by_number.unionByName(by_name).distinct(), "artifact_id", "left")

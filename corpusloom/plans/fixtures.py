@@ -95,7 +95,7 @@ HISTORY = "h AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """events as a request log."""
     e = table(spark, d, "events")
-    return e.select("event_id", "ts", F.lit("GET").alias("method"), F.concat(F.lit("/users/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("route"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.floor("value").cast("long").alias("duration_ms"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("GET").alias("method"), F.concat(F.lit("/users/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("route"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.floor("value").cast("long").alias("duration_ms"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"))
 
 
 REQUESTS = "q AS (SELECT event_id, ts, 'GET /users/{id}/' || event_type AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, CAST(floor(value) AS BIGINT) AS duration_ms FROM events)"

@@ -291,7 +291,7 @@ def _(s, d):
 CITED = """r AS (SELECT l_orderkey AS q, 'dir/p' || l_partkey || '.md' AS file_name, l_linenumber * 1000000 + l_suppkey AS chunk_id, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2, 3), an AS (SELECT o_orderkey AS q, 'see p' || o_custkey || '.md' AS answer FROM orders WHERE o_orderstatus <> 'P'),
 m AS (SELECT r.*, answer, max(score) OVER (PARTITION BY r.q) AS best FROM r JOIN an ON an.q = r.q),
 o AS (SELECT *, row_number() OVER (PARTITION BY q, file_name ORDER BY score DESC, chunk_id) AS k FROM m WHERE score >= least(best, greatest(0.35::DOUBLE, best * 0.4::DOUBLE)) OR contains(answer, split_part(file_name, '/', 2))),
-ct AS (SELECT q AS question_id, file_name, chunk_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM o WHERE k = 1 QUALIFY rank <= 6)"""
+ct AS (SELECT q AS question_id, file_name, chunk_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id, file_name) AS rank FROM o WHERE k = 1 QUALIFY rank <= 6)"""
 
 
 def _scored(s, d):
