@@ -424,7 +424,7 @@ def _(s, d):
 def _(s, d):
     k = F.col("n_nationkey")
     ask = F.concat(F.lit("仅使用"), (k + 10).cast("string"), F.lit("、"), (k + 40).cast("string"), F.lit("号文件。其他"))
-    f = table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.concat(F.lit("d/"), F.col("c_custkey").cast("string"), F.lit("号.md")).alias("rel_path"))
+    f = table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.concat(F.lit("d/"), F.col("c_custkey").cast("string"), F.lit("_c.md")).alias("rel_path"))
     return evidence.evidence_scope(table(s, d, "nation").select(k.alias("artifact_id"), ask.alias("instructions")), f).select("artifact_id", "file_id")
 
 
