@@ -73,10 +73,11 @@ def anchor_scores(files: DataFrame, anchors: DataFrame) -> DataFrame:
     return files.select("file_id", "project", hay.alias("hay")).join(own, "project", "left").select("file_id", (F.coalesce(hit, F.lit(0)) / 100).alias("score"))
 
 
-def other_project_phrases(files: DataFrame, anchors: DataFrame, generic: Sequence[str] = tuple(rules.GENERIC_WORDS)) -> DataFrame:
-    """(file_id, phrase): names of projects in path, name and text that share nothing with the own project's anchors."""
+def other_project_phrases(files: DataFrame, anchors: DataFrame, generic: Sequence[str] = tuple(rules.GENERIC_WORDS), pattern: str = rules.PROJECT_PHRASE) -> DataFrame:
+    """(file_id, phrase): names of projects (matches of pattern) in path, name and text that share nothing with the own
+    project's anchors."""
     hay = F.concat_ws("\n", "rel_path", "name", F.substring(F.col("text"), F.lit(1), F.lit(PHRASE_LIMIT)))
-    found = files.select("file_id", "project", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(hay, F.lit(rules.PROJECT_PHRASE), F.lit(0)), normal))).alias("phrase"))
+    found = files.select("file_id", "project", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(hay, F.lit(pattern), F.lit(0)), normal))).alias("phrase"))
     words = F.array(*(F.lit(g) for g in generic))
     found = found.filter((F.length("phrase") >= 5) & ~F.array_contains(words, _bare(F.col("phrase"))))
     a = anchors.select(F.col("project").alias("p"), "anchor", F.when(F.col("strong"), 3).otherwise(4).alias("least"))
@@ -84,10 +85,10 @@ def other_project_phrases(files: DataFrame, anchors: DataFrame, generic: Sequenc
     return found.join(a, near, "left_anti").select("file_id", "phrase")
 
 
-def relevance(files: DataFrame, anchors: DataFrame) -> DataFrame:
+def relevance(files: DataFrame, anchors: DataFrame, pattern: str = rules.PROJECT_PHRASE) -> DataFrame:
     """(file_id, status, score, scope_type) by the first rule that applies: template paths, other projects' names,
     own anchors, and otherwise assumed to belong."""
-    other = other_project_phrases(files, anchors).select("file_id").distinct().withColumn("other", F.lit(True))
+    other = other_project_phrases(files, anchors, pattern=pattern).select("file_id").distinct().withColumn("other", F.lit(True))
     template = any_of(F.lower(F.concat_ws("\n", "rel_path", "name")), [w.lower() for w in rules.TEMPLATE_WORDS])
     j = files.select("file_id", template.alias("template")).join(anchor_scores(files, anchors), "file_id").join(other, "file_id", "left")
     s = F.col("score")

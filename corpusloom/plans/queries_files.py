@@ -303,6 +303,42 @@ def _(s, d):
     return classify.other_project_phrases(_customer_files(s, d), classify.project_anchors(_projects(s, d)))
 
 
+# names of projects in Latin texts, and endings that name each source
+LATIN_PHRASE = "(?:the|der|la|el) [a-z]{2,12}(?:tion|ment|ung|ción)"
+ENDINGS = ["tion", "ment", "ung", "ción"]
+
+
+def _source_anchors(s):
+    n = F.col("id")
+    strong = F.when(n % 3 == 0, F.array(F.lit("ening"))).otherwise(F.array().cast("array<string>"))
+    strong = F.concat(F.array(F.element_at(F.array(*map(F.lit, ENDINGS)), (n % 4 + 1).cast("int"))), strong)
+    a = s.range(100).select(F.concat(F.lit("src"), n.cast("string")).alias("project"), strong.alias("strong"), F.array(F.lit("der")).alias("weak"))
+    return a.select("project", F.explode("strong").alias("anchor"), F.lit(True).alias("strong")).unionByName(a.select("project", F.explode("weak").alias("anchor"), F.lit(False).alias("strong")))
+
+
+TEXT_RELEVANCE = f"""{FILES}, a AS (SELECT 'src' || k AS project, {ENDINGS}[k % 4 + 1] AS anchor, true AS strong FROM range(0, 100) t(k) UNION ALL SELECT 'src' || k, 'ening', true FROM range(0, 100) t(k) WHERE k % 3 = 0 UNION ALL SELECT 'src' || k, 'der', false FROM range(0, 100) t(k)),
+hay AS (SELECT file_id, project, regexp_replace(lower(rel_path || chr(10) || name || chr(10) || substr(text, 1, {classify.SCORE_LIMIT})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS h FROM f),
+sc AS (SELECT hay.file_id, coalesce(sum(CASE WHEN anchor IS NULL THEN 0 WHEN NOT strong THEN 45 WHEN length(anchor) >= 5 THEN 200 ELSE 100 END), 0) / 100 AS score FROM hay LEFT JOIN a ON a.project = hay.project AND contains(h, anchor) GROUP BY 1),
+ph AS (SELECT DISTINCT file_id, project, regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS phrase FROM (SELECT file_id, project, unnest(regexp_extract_all(rel_path || chr(10) || name || chr(10) || substr(text, 1, {classify.PHRASE_LIMIT}), '{LATIN_PHRASE}')) AS p FROM f)),
+oth AS (SELECT file_id, phrase FROM ph WHERE length(phrase) >= 5 AND NOT EXISTS (SELECT 1 FROM a WHERE a.project = ph.project AND length(anchor) >= CASE WHEN strong THEN 3 ELSE 4 END AND (contains(phrase, anchor) OR contains(anchor, phrase))))"""
+
+
+@query("anchor_score_text", f"WITH {TEXT_RELEVANCE} SELECT file_id, CAST(score AS DOUBLE) AS score FROM sc")
+def _(s, d):
+    return classify.anchor_scores(files(s, d), _source_anchors(s))
+
+
+@query("other_project_phrases_text", f"WITH {TEXT_RELEVANCE} SELECT file_id, phrase FROM oth")
+def _(s, d):
+    return classify.other_project_phrases(files(s, d), _source_anchors(s), pattern=LATIN_PHRASE)
+
+
+@query("relevance_text", f"""WITH {TEXT_RELEVANCE} SELECT file_id, CASE WHEN o THEN 'OUT_OF_SCOPE' ELSE 'IN_SCOPE' END AS status, CAST(CASE WHEN o THEN least(score, 0.2) WHEN score >= 1 THEN least(1.0, score / 6.0) ELSE 0.45 END AS DOUBLE) AS score,
+CASE WHEN o THEN 'OTHER_PROJECT' WHEN score >= 1 THEN 'PROJECT_CORE' ELSE 'PROJECT_ASSUMED' END AS scope_type FROM (SELECT sc.file_id, CAST(score AS DOUBLE) AS score, sc.file_id IN (SELECT file_id FROM oth) AS o FROM sc)""")
+def _(s, d):
+    return classify.relevance(files(s, d), _source_anchors(s), pattern=LATIN_PHRASE)
+
+
 @query("eligibility", "SELECT doc_id, q IS NULL OR q = 'IN_SCOPE' AS eligible, coalesce(q = 'REFERENCE', false) AS reference, coalesce(q = 'OUT_OF_SCOPE', false) AS out_of_scope FROM (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'OUT_OF_SCOPE' WHEN quality = 0 THEN 'REFERENCE' WHEN quality = 1 THEN 'IN_SCOPE' END AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
 def _(s, d):
     j = table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left")

@@ -155,6 +155,15 @@ def _(s, d):
     return q.select("question_id", cov.cast("long").alias("hits"))
 
 
+@query("keyword_coverage_ranked", rf"""WITH {SCORES}, {SIM}, {POOL}, {RANK} SELECT r.question_id, chunk_id, round(CASE WHEN len(k) = 0 THEN 0 ELSE least(1.0::DOUBLE, len(list_filter(k, lambda w: contains(tn, w)))::DOUBLE / greatest(1, least(len(k), 8))) END, 6) AS coverage
+FROM ranked r JOIN tx ON doc_id = chunk_id JOIN kw ON kw.question_id = r.question_id""")
+def _(s, d):
+    q = questions(s, d).select("question_id", tx.tokenize_question(F.col("question"), STOP_WORDS).alias("kw"))
+    t = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), tx.normalize_text(F.col("text")).alias("tn"))
+    cov = retrieval.keyword_coverage(F.col("kw"), F.col("tn"))
+    return _ranked(s, d).select("question_id", "chunk_id").join(q, "question_id").join(t, "chunk_id").select("question_id", "chunk_id", F.round(cov, 6).alias("coverage"))
+
+
 @query("naive_keyword_topk", rf"""WITH {KW}, w AS (SELECT question_id, unnest(k) AS w FROM kw), c AS (SELECT question_id, doc_id AS chunk_id, sum((length(t) - length(replace(t, w, ''))) // length(w)) AS hits FROM w JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON contains(t, w) GROUP BY 1, 2)
 SELECT question_id, chunk_id, CAST(hits AS BIGINT) AS hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, chunk_id) AS rank FROM c) WHERE rank <= 3""")
 def _(s, d):
