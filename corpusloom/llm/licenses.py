@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,13 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 #: Buckets of hashed word n-grams (n up to 3).
 BUCKETS = 1 << 13
+#: Sentences and lines that are read together: no template needs more when wrapped at 40 columns.
+SENTENCES, LINES = 4, 16
+# The year and holder made up in a template, and what marks comments.
+_PLACEHOLDER = re.compile(r"2024 Example Corporation")
+_MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+!?|#+!?|;+|--+|<!--+|%+|>+|\"\"\"|dnl\b|rem\b)+|(?:\*+/|--+>)\s*$", re.I)
+_CUE = re.compile("|".join(c.replace(" ", r"\W+") for c in CUES))
+_SENTENCE = re.compile(r"(?<=[.:;])\s+(?=[A-Z])")
 _TOKEN = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -214,7 +223,8 @@ def train(seed: int = 11) -> Model:
 
 @lru_cache(maxsize=1)
 def _template_grams() -> dict[str, list[frozenset[str]]]:
-    return {f: [frozenset(g for g in grams(tokens(t))) for t in ts] for f, ts in TEMPLATES.items()}
+    """Placeholders are no part of a template: grams stand on either side of them."""
+    return {f: [frozenset(g for part in _PLACEHOLDER.split(t) for g in grams(tokens(part))) for t in ts] for f, ts in TEMPLATES.items()}
 
 
 def likeness(text: str, family: str) -> float:
@@ -223,27 +233,75 @@ def likeness(text: str, family: str) -> float:
     return max((len(own & t) / len(t) for t in _template_grams().get(family, [])), default=0.0)
 
 
+def _judge(parts: Iterable[str], model: Model, least: float) -> tuple[str, float, float] | None:
+    """(family, probability, likeness) of the likest part that the template comparison confirms."""
+    best = None
+    for part in dict.fromkeys(parts):
+        if not any(c in part.lower() for c in CUES):
+            continue
+        p = model.probabilities(part)
+        k = int(p.argmax())
+        if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) >= least and (best is None or (s, p[k]) > best[2:0:-1]):
+            best = (FAMILIES[k], float(p[k]), s)
+    return best
+
+
+def _spans(joined: str, starts: list[int]) -> set[tuple[int, int]]:
+    """Ranges of characters of joined lines: each run of up to SENTENCES sentences, and of up to LINES lines, as not
+    all text has full stops."""
+    cuts = [0, *(m.end() for m in _SENTENCE.finditer(joined)), starts[-1]]
+    return {(places[i], places[j]) for places, most in ((cuts, SENTENCES), (starts, LINES)) for i in range(len(places) - 1) for j in range(i + 1, min(i + most, len(places) - 1) + 1)}
+
+
+def _wrapped(lines: list[str], found: dict[int, tuple], model: Model, least: float) -> list[tuple[int, int, tuple]]:
+    """(first line, line after the last, find) of what lines hold only together, found being what they hold alone.
+    Where lines have finds of their own, the new one has to be likelier and to need them. Of finds that share a line
+    the likest is taken, then the shortest."""
+    joined, hits = " ".join(lines), []
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    cues = [m.start() for m in _CUE.finditer(joined.lower())]
+    for a, b in _spans(joined, starts):
+        first, last, cue = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, bisect_left(cues, a)
+        if first == last or cue == len(cues) or cues[cue] >= b or not (hit := _judge([joined[a:b]], model, least)):
+            continue
+        alone = [found[n][2] for n in range(first, last + 1) if n in found]
+        if alone and (hit[2] <= max(alone) or likeness(" ".join(lines[n] for n in range(first, last + 1) if n not in found), hit[0]) >= hit[2]):
+            continue
+        hits.append((-hit[2], b - a, first, last + 1, hit))
+    out, taken = [], set()
+    for _, _, first, end, hit in sorted(hits):
+        if taken.isdisjoint(range(first, end)):
+            taken.update(range(first, end))
+            out.append((first, end, hit))
+    return out
+
+
+def _scan_run(start: int, lines: list[str], model: Model, least: float) -> list[tuple[int, str, float, float]]:
+    """The finds in neighbouring lines, the first of which is line number start."""
+    # a licence sentence can stand inside a long paragraph, so sentences are looked at as well
+    found = {n: hit for n, line in enumerate(lines) if (hit := _judge([line, *_SENTENCE.split(line)], model, least))}
+    for first, end, hit in _wrapped(lines, found, model, least) if len(lines) > 1 else []:
+        found = {n: x for n, x in found.items() if not first <= n < end} | {first: hit}
+    return [(start + n, *found[n]) for n in sorted(found)]
+
+
 def scan_text(text: str, model: Model, least: float) -> list[tuple[int, str, float, float]]:
-    """(line number, family, probability, likeness) of the confirmed paragraphs (lines) of a text. The likeliest
-    family that the template comparison confirms is taken."""
-    low, out = text.lower(), []
-    if not any(c in low for c in CUES):
+    """(line number, family, probability, likeness) of the confirmed paragraphs of a text, in order of lines.
+
+    A paragraph is a line, or what stands in several lines without a blank one between them (comment marks are no
+    text); its number is that of its first line. The likeliest family that the template comparison confirms is taken.
+    """
+    out: list[tuple[int, str, float, float]] = []
+    if not _CUE.search(text.lower()):
         return out
-    for n, line in enumerate(text.split("\n")):
-        l = line.lower()  # noqa: E741
-        if not any(c in l for c in CUES):
+    run: list[str] = []
+    for n, line in enumerate([*text.split("\n"), ""]):
+        if bare := _MARKS.sub("", line).strip():
+            run.append(bare)
             continue
-        # a licence sentence can stand inside a long paragraph, so sentences are looked at as well
-        best = None
-        for part in dict.fromkeys([line, *re.split(r"(?<=[.:;])\s+(?=[A-Z])", line)]):
-            if not any(c in part.lower() for c in CUES):
-                continue
-            p = model.probabilities(part)
-            k = int(p.argmax())
-            if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) >= least and (best is None or (s, p[k]) > best[2:0:-1]):
-                best = (FAMILIES[k], float(p[k]), s)
-        if best:
-            out.append((n, *best))
+        if run and _CUE.search(" ".join(run).lower()):
+            out += _scan_run(n - len(run), run, model, least)
+        run = []
     return out
 
 
