@@ -22,21 +22,32 @@ BINS = 1000
 LIMITS = {"symbols": 0.02, "lines": 0.4, "repeats": 0.25, "capitals": 0.25, "digits": 0.3, "punctuation": 0.9, "adjacent": 0.06}
 
 
-def features(stats: np.ndarray) -> np.ndarray:
-    """What shares exceed their LIMITS by. None grows with a text's length, so that long texts are no outliers, and
-    usual texts differ in nothing that a split could isolate them by."""
+def shares(stats: np.ndarray) -> dict[str, np.ndarray]:
+    """What no text has more of for being long: the LIMITS' shares, mean word length and log mean line length."""
     s = {n: stats[:, i].astype(float) for i, n in enumerate(STATS)}
-    words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
-    shares = {
+    words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["n_lines"], 1)
+    return {
         "symbols": s["n_symbols"] / chars,
-        "lines": s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
+        "lines": s["n_dup_lines"] / lines,
         "repeats": s["n_repeat_words"] / words,
         "capitals": s["n_upper"] / np.maximum(s["n_upper"] + s["n_lower"], 1),
         "digits": s["n_digits"] / chars,
         "punctuation": s["n_punct"] / words,
         "adjacent": s["n_adjacent"] / words,
+        "word length": chars / words,
+        "line length": np.log1p(chars / lines),
     }
-    return np.stack([np.maximum(shares[n] - limit, 0) for n, limit in LIMITS.items()], axis=1)
+
+
+def features(stats: np.ndarray) -> np.ndarray:
+    """What shares exceed their LIMITS by: usual texts differ in nothing that a split could isolate them by."""
+    found = shares(stats)
+    return np.stack([np.maximum(found[n] - limit, 0) for n, limit in LIMITS.items()], axis=1)
+
+
+def raw_features(stats: np.ndarray) -> np.ndarray:
+    """All shares as they are."""
+    return np.stack(list(shares(stats).values()), axis=1)
 
 
 def _mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -110,42 +121,53 @@ def choose_threshold(counts: list[tuple[int, int, int]], most_good: float) -> fl
     return float("inf") if gain.max() <= 0 else best[len(best) // 2] / BINS
 
 
+def _counts(judged: DataFrame, score: str) -> list[tuple[int, int, int]]:
+    counts = judged.groupBy(F.floor(F.col(score) * BINS).cast("int").alias("b"), F.col("quality").cast("int").alias("q")).count().collect()
+    return [(r["b"], r["q"], r["count"]) for r in counts]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame | None, *, key: str = "doc_id", text: str = "text", sample: int = 8192, trees: int = 128, points: int = 256, most_good: float = 0.003, seed: int = 7) -> DataFrame:
-    """(key, STATS..., base_failed, score, threshold, kept) of every row of docs.
-
-    base_failed: under 20 words, or over 30 of 100 words in repeated 8-word windows. kept: not base_failed and an
-    anomaly score below the threshold. The forest is fitted to at most sample rows that pass the base rules, those
-    of smallest key hash. The threshold comes from all labelled rows (labels: key, quality; 1 good, 0 bad; of
-    repeated labels the lowest counts, null ones do not): the best gain with at most most_good of the good rows
-    above it. Without labelled bad rows the base rules alone decide. A null text is empty and fails the base rules;
-    repeated rows are judged alike; an empty table gives an empty result. Other columns of docs are not read.
+    """(key, STATS..., base_failed, score, raw_score, threshold, raw_threshold, kept) of every row of docs.
+
+    base_failed: under 20 words, or over 30 of 100 words in repeated 8-word windows. kept: not base_failed and both
+    anomaly scores below their thresholds: score is of a forest on what exceeds LIMITS, raw_score of one on all shares
+    as they are, which tells apart texts below every limit. The forests are fitted to at most sample rows that pass
+    the base rules, those of smallest key hash. The thresholds come from all labelled rows (labels: key, quality; 1
+    good, 0 bad; of repeated labels the lowest counts, null ones do not): the best gain with at most most_good of the
+    good rows above; raw_threshold by the rows below the other, both together within most_good. Without labelled bad
+    rows the base rules alone decide. A null text is empty and fails the base rules; repeated rows are judged alike;
+    an empty table gives an empty result. Other columns of docs are not read.
     """
     stats = stash(document_stats(docs, key=key, text=text), "rule-stats")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     picked = stats.filter(~F.col("base_failed")).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), *STATS).limit(sample).select(*STATS).collect()
-    forest = fit_forest(features(np.array([list(r) for r in picked], float).reshape(-1, len(STATS))), trees=trees, points=points, seed=seed) if picked else None
-    scored = stash(_scored(stats, forest, key), "rule-scores")
-    threshold = float("inf")
+    rows = np.array([list(r) for r in picked], float).reshape(-1, len(STATS))
+    forests = [fit_forest(f(rows), trees=trees, points=points, seed=seed) for f in (features, raw_features)] if picked else None
+    scored = stash(_scored(stats, forests, key), "rule-scores")
+    threshold = raw_threshold = float("inf")
     if labels is not None:
         known = labels.filter("quality IS NOT NULL").groupBy(F.col(key).alias("__k")).agg(F.min("quality").alias("quality"))
         judged = scored.filter(~F.col("base_failed")).join(known, F.col(key) == F.col("__k"))
-        counts = judged.groupBy(F.floor(F.col("score") * BINS).cast("int").alias("b"), F.col("quality").cast("int").alias("q")).count().collect()
-        threshold = choose_threshold([(r["b"], r["q"], r["count"]) for r in counts], most_good)
-    return scored.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.col("threshold")))
+        counts = _counts(judged, "score")
+        threshold = choose_threshold(counts, most_good)
+        good, lost = (sum(n for b, q, n in counts if q and b >= least) for least in (0, threshold * BINS))
+        raw_threshold = choose_threshold(_counts(judged.filter(F.col("score") < threshold), "raw_score"), (most_good * good - lost) / max(good - lost, 1))
+    kept = ~F.col("base_failed") & (F.col("score") < threshold) & (F.col("raw_score") < raw_threshold)
+    return scored.withColumn("threshold", F.lit(threshold)).withColumn("raw_threshold", F.lit(raw_threshold)).withColumn("kept", kept)
 
 
-def _scored(stats: DataFrame, forest: Forest | None, key: str) -> DataFrame:
+def _scored(stats: DataFrame, forests: list[Forest] | None, key: str) -> DataFrame:
     names = [key, *STATS, "base_failed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))], axis=1)
-            score = forest.scores(features(x)) if forest else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["__key", *names[1:], "score"])
+            score, raw = (forests[0].scores(features(x)), forests[1].scores(raw_features(x))) if forests else (np.zeros(len(x)), np.zeros(len(x)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(raw)], names=["__key", *names[1:], "score", "raw_score"])
 
     kind = stats.schema[key].dataType.simpleString()
-    schema = f"__key {kind}, " + ", ".join(f"{n} long" for n in STATS) + ", base_failed boolean, score double"
+    schema = f"__key {kind}, " + ", ".join(f"{n} long" for n in STATS) + ", base_failed boolean, score double, raw_score double"
     return stats.select(F.col(key).alias("__key"), *names[1:]).mapInArrow(run, schema).withColumnRenamed("__key", key)
 
 
