@@ -20,13 +20,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
 from .common import components, lookup
-from .rule_stats import chunks, mixed, window_hashes
+from .rule_stats import chunks, mixed, text_sizes, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Parity bits of the sketch for pairs.
@@ -40,22 +39,22 @@ FLUSH, CHUNK = 1 << 21, 1024
 _HALF = np.uint64(1 << 63)
 
 
-def shingle_sets(texts: Sequence[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | Sequence[str | None]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word 5-grams of each text, A-Z in lower case.
 
     A text of one to four words has one shingle, all its words; a text without words (or a null one) has none.
     """
-    data = [(t or "").encode().lower().split() for t in texts]
-    hashes: dict[bytes, int] = {}
-    out = []
-    for words in data:
-        for w in set(words).difference(hashes):
-            hashes[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        width = min(SHINGLE, len(words))
-        out.append(np.unique(window_hashes(h, width) ^ np.uint64(width)) if width else np.zeros(0, np.uint64))
-        if len(hashes) > 1 << 19:
-            hashes.clear()
+    words, counts = word_hashes(texts)
+    grams, out, at = window_hashes(words, SHINGLE) ^ np.uint64(SHINGLE), [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            s = np.sort(grams[at : at + n - SHINGLE + 1])
+            new = np.empty(len(s), bool)
+            new[0], new[1:] = True, s[1:] != s[:-1]
+            out.append(s[new])
+        else:
+            out.append(window_hashes(words[at : at + n], n) ^ np.uint64(n) if n else np.zeros(0, np.uint64))
+        at += n
     return out
 
 
@@ -87,18 +86,29 @@ def schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
     return [x for x in out if x[2] > 0]
 
 
-def join_keys(s: np.ndarray, rank: np.ndarray, band: int, words: int, most: int) -> np.ndarray:
-    """The first most + 1 words of a set's sketch as 64-bit keys. rank: 0 for rare, 1 for unknown, 2 for frequent
-    shingles; a word ranks with its rarest shingle."""
+def join_keys(sets: list[np.ndarray], frequent: np.ndarray, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all sets and the bands in which they join, the first words of their sketches as 64-bit keys, and the place
+    of each key's set. As many keys as the greatest difference and one more; words with rare shingles come first."""
+    jobs = [(i, *x) for i, s in enumerate(sets) for x in schemes(len(s), percent)]
+    if not jobs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    owner, band, words, most = (np.array(x, np.uint64) for x in zip(*jobs, strict=True))
+    s = np.concatenate([sets[j[0]] for j in jobs])
+    job = np.repeat(np.arange(len(jobs), dtype=np.uint64), [len(sets[j[0]]) for j in jobs])
     with np.errstate(over="ignore"):
-        at = mixed(s + np.uint64(band * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(words)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        seed = (band * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        at = mixed(s + seed[job]) & (words - np.uint64(1))[job] | job << np.uint64(30)
+        order = np.argsort(at)
+        at, s = at[order], s[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        parity = np.bitwise_xor.reduceat(s[order], starts)
-        low = np.minimum.reduceat(rank[order], starts)
-        keys = mixed(parity + mixed(at[starts] * np.uint64(64) + np.uint64(band)))
-    return keys[np.lexsort((keys, low))[: most + 1]]
+        parity, low = np.bitwise_xor.reduceat(s, starts), np.minimum.reduceat(_ranks(s, frequent, bits), starts)
+        at, job = at[starts] & np.uint64((1 << 30) - 1), at[starts] >> np.uint64(30)
+        keys = mixed(parity + (at * np.uint64(64) + band[job]) * np.uint64(0xD1342543DE82EF95))
+    # the rank goes before the key, of which 62 bits are left
+    keys = low.astype(np.uint64) << np.uint64(62) | keys >> np.uint64(2)
+    ends = np.searchsorted(job, np.arange(len(jobs) + 1, dtype=np.uint64)).tolist()
+    out = [np.partition(keys[x:y], m)[: m + 1] if y - x > m + 1 else keys[x:y] for x, y, m in zip(ends[:-1], ends[1:], most.tolist(), strict=True)]
+    return np.concatenate(out) << np.uint64(2), np.repeat(owner.astype(np.int64), [len(k) for k in out])
 
 
 def _long_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,11 +116,25 @@ def _long_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _flush(keys: list[np.ndarray], ids: list[np.ndarray] | None, shift: int) -> Iterator[tuple]:
-    """Entries sorted and cut by their leading bits: (range, low and middle bits of keys, ids in two halves)."""
+    """Entries sorted and cut by their leading bits: (range, low and middle bits of keys, ids in two halves).
+
+    Without ids equal keys are one entry; those with several rows have their numbers in the place of the ids."""
     k = np.concatenate(keys)
-    order = np.argsort(k)
-    k = k[order]
-    i = np.concatenate(ids)[order] if ids is not None else None
+    if ids is None:
+        k = np.sort(k)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(np.append(starts, len(k)))
+        k = k[starts]
+        yield from _cut(k[n == 1], None, shift)
+        yield from _cut(k[n > 1], n[n > 1], shift)
+    else:
+        order = np.argsort(k)
+        yield from _cut(k[order], np.concatenate(ids)[order], shift)
+
+
+def _cut(k: np.ndarray, i: np.ndarray | None, shift: int) -> Iterator[tuple]:
+    if not len(k):
+        return
     top = k >> np.uint64(shift)
     starts = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
     for a, b in zip(starts, [*starts[1:], len(k)], strict=True):
@@ -149,10 +173,10 @@ def _summaries(rows: DataFrame, bits: int) -> DataFrame:
         held: list[np.ndarray] = []
         n = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks(text_sizes(texts)):
                 out = []
-                for i, s in zip(ids[a:b], shingle_sets(texts[a:b]), strict=True):
+                for i, s in zip(ids[a:b], shingle_sets(texts.slice(a, b - a)), strict=True):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     out.append((i, len(s), digest, bit_sketch(s) if len(s) else None, None, None, None, None, None))
                     if digest and digest not in seen:
@@ -178,9 +202,12 @@ def _frequent(packed: DataFrame, bits: int) -> np.ndarray:
     """
 
     def count(p: pd.DataFrame) -> pd.DataFrame:
-        k = np.sort(np.frombuffer(b"".join(p["low"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(p["mid"]), np.uint16).astype(np.uint64) << np.uint64(32))
+        k = np.frombuffer(b"".join(p["low"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(p["mid"]), np.uint16).astype(np.uint64) << np.uint64(32)
+        n = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x) // 4, np.uint32) for c, x in zip(p["id_low"], p["low"], strict=True)]).astype(np.int64)
+        order = np.argsort(k)
+        k = k[order]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        n = np.diff(np.append(starts, len(k)))
+        n = np.add.reduceat(n[order], starts)
         often = n > FEW
         return pd.DataFrame({"range": p["range"].iloc[0], "k": k[starts][often].astype(np.int64), "n": n[often]})
 
@@ -193,22 +220,23 @@ def _frequent(packed: DataFrame, bits: int) -> np.ndarray:
             break
         least = r["n"]
     rows = found.filter(F.col("n") >= least).select("range", "k").toPandas()
-    return np.sort(_packed_name(rows["range"].to_numpy(np.uint64), rows["k"].to_numpy(np.uint64)))
+    return np.sort(_packed_name(rows["range"].to_numpy(np.uint64), rows["k"].to_numpy(np.uint64), bits))
 
 
-def _packed_name(top: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (top << np.uint64(48)) | low
+def _packed_name(top: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """A key's leading 16 bits (as far as its range tells them) before its 48 others."""
+    return (top >> np.uint64(max(0, bits - 16)) << np.uint64(48)) | low
 
 
 def _ranks(s: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
-    rank = np.zeros(len(s), np.int8)
-    rank[s >= _HALF] = 1
+    """0 for rare shingles, 1 for unknown and 2 for frequent ones."""
+    rank = (s >= _HALF).astype(np.int8)
     if len(frequent):
-        with np.errstate(over="ignore"):
-            d = s << np.uint64(1)
-        name = _packed_name(d >> np.uint64(64 - bits), d & np.uint64((1 << 48) - 1))
-        at = np.minimum(np.searchsorted(frequent, name), len(frequent) - 1)
-        rank[(frequent[at] == name) & (rank == 0)] = 2
+        at = np.flatnonzero(rank == 0)
+        d = s[at] << np.uint64(1)
+        name = _packed_name(d >> np.uint64(64 - bits), d & np.uint64((1 << 48) - 1), bits)
+        place = np.minimum(np.searchsorted(frequent, name), len(frequent) - 1)
+        rank[at[frequent[place] == name]] = 2
     return rank
 
 
@@ -220,15 +248,12 @@ def _keys(rows: DataFrame, frequent: np.ndarray, bits: int, percent: int) -> Dat
         owners: list[np.ndarray] = []
         n = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                for i, s in zip(ids[a:b], shingle_sets(texts[a:b]), strict=True):
-                    found = schemes(len(s), percent)
-                    rank = _ranks(s, shared.value, bits) if found else None
-                    for band, words, most in found:
-                        keys.append(join_keys(s, rank, band, words, most))
-                        owners.append(np.full(len(keys[-1]), i, np.int64))
-                        n += len(keys[-1])
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for a, b in chunks(text_sizes(texts)):
+                found, owner = join_keys(shingle_sets(texts.slice(a, b - a)), shared.value, bits, percent)
+                keys.append(found)
+                owners.append(ids[a:b][owner])
+                n += len(found)
                 if n > FLUSH:
                     yield _batch(list(_flush(keys, owners, 64 - bits)), _PACKED_TYPES)
                     keys, owners, n = [], [], 0
@@ -238,7 +263,7 @@ def _keys(rows: DataFrame, frequent: np.ndarray, bits: int, percent: int) -> Dat
     return rows.mapInArrow(run, _PACKED)
 
 
-def _candidates(p: pd.DataFrame) -> pd.DataFrame:
+def _candidates(p: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Pairs (a, b) of documents with a common key: all of keys with up to FEW documents, those with the smallest
     document of other keys. The latter's documents also come as rows with the key in g."""
     k, i = _unpack(p)
@@ -263,7 +288,7 @@ def _candidates(p: pd.DataFrame) -> pd.DataFrame:
     left.append(pivot[own != pivot])
     right.append(own[own != pivot])
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-    g = (k[member] >> np.uint64(1)).astype(np.int64) ^ (int(p["range"].iloc[0]) << 47)
+    g = (_packed_name(np.full(len(member), p["range"].iloc[0], np.uint64), k[member], bits) >> np.uint64(1)).astype(np.int64)
     return pd.DataFrame({
         "a": np.concatenate([pairs[:, 0], pivot]), "b": np.concatenate([pairs[:, 1], own]),
         "g": pd.array([None] * len(pairs) + g.tolist(), "Int64"), "size": np.concatenate([np.zeros(len(pairs), np.int64), np.repeat(sizes[many], sizes[many])]),
@@ -286,9 +311,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in chunks([len(t or "") for t in batch.column(1).to_pylist()]):
+            for x, y in chunks(text_sizes(batch.column(1))):
                 part = batch.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "s"])
 
     sets = stash(needed.mapInArrow(make, "id long, s binary"), "pair-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -330,12 +355,18 @@ def _frequent_key_pairs(points: DataFrame, frequent: DataFrame, comp: DataFrame,
         u, v = p[p["left"].to_numpy(bool)], p[~p["left"].to_numpy(bool)]
         out = []
         if len(u) and len(v):
-            su, sv = (np.stack(x["sketch"].to_numpy()).astype(np.int64).view(np.uint64) for x in (u, v))
+            # the greatest difference allowed grows with the sizes, so partners of like size are neighbours
+            v = v.sort_values("n", kind="stable")
+            su, sv = (np.array(x["sketch"].tolist(), np.int64).view(np.uint64) for x in (u, v))
             nv, cv, iv = v["n"].to_numpy(), v["cb"].to_numpy(), v["b"].to_numpy()
-            for s, n, c, i in zip(su, u["n"], u["cb"], u["b"], strict=True):
-                apart = np.bitwise_count(sv ^ s).sum(1, dtype=np.int64)
-                ok = (cv != c) & ((100 + percent) * apart <= (100 - percent) * (nv + n)) & (100 * np.minimum(nv, n) >= percent * np.maximum(nv, n))
-                out += [(min(i, j), max(i, j)) for j in iv[ok]]
+            head = np.ascontiguousarray(sv[:, :4])
+            low, high = np.searchsorted(nv, -(-percent * u["n"].to_numpy() // 100)), np.searchsorted(nv, 100 * u["n"].to_numpy() // percent, "right")
+            for s, n, c, i, x, y in zip(su, u["n"].tolist(), u["cb"].tolist(), u["b"].tolist(), low.tolist(), high.tolist(), strict=True):
+                most = (100 - percent) * (nv[x:y] + n) // (100 + percent)
+                # a quarter of the sketch rules most pairs out
+                at = np.flatnonzero((np.bitwise_count(head[x:y] ^ s[:4]).sum(1, dtype=np.int64) <= most) & (cv[x:y] != c))
+                at = at[np.bitwise_count(sv[x + at] ^ s).sum(1, dtype=np.int64) <= most[at]]
+                out += [(min(i, j), max(i, j)) for j in iv[x + at].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return left.unionByName(right).groupBy("g", "x", "y").applyInPandas(meet, "a long, b long").distinct()
@@ -368,15 +399,15 @@ def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     Shingles are compared as 64-bit hashes. percent must be at least 50.
     """
     rows = _long_rows(docs, key, text)
-    # ranges of keys: about a million entries each, whatever the corpus' size
-    bits = max(5, min(16, (docs.count() // 4000).bit_length()))
+    # ranges of keys: about a million entries each, up to some 10 ** 13 in all
+    bits = max(5, min(24, (docs.count() // 4000).bit_length()))
     told = stash(_summaries(rows, bits), "summaries")
     each = told.filter("range IS NULL").select("id", "n", "digest", "sketch")
     points = each.filter("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     points = stash(points, "points")
     frequent = _frequent(told.filter("range IS NOT NULL").select("range", "low", "mid", "id_low", "id_high"), bits)
     texts = rows.join(points.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    found = stash(_keys(texts, frequent, bits, percent).groupBy("range").applyInPandas(_candidates, "a long, b long, g long, size long"), "candidates")
+    found = stash(_keys(texts, frequent, bits, percent).groupBy("range").applyInPandas(lambda p: _candidates(p, bits), "a long, b long, g long, size long"), "candidates")
     edges, comp = _connect(rows, points, found.filter("g IS NULL").select("a", "b").distinct(), None, percent)
     many = found.filter("g IS NOT NULL")
     if not many.isEmpty():

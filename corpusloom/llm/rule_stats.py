@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Names of the counts, in the order of the columns of text_stats.
@@ -33,6 +35,11 @@ def chunks(sizes: Sequence[int], limit: int = CHUNK) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
+def text_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each text of a column, without making Python strings of them; 0 for null."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits."""
     with np.errstate(over="ignore"):
@@ -41,16 +48,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a word up to which words are hashed together; longer ones are hashed one by one.
+LONG = 128
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(texts: pa.Array | Sequence[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts in a row, and how many words each text has.
+
+    Words are runs of bytes other than space and tab to carriage return, A-Z in lower case if asked. A word is
+    hashed eight bytes at a time, all words at once.
+    """
+    column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = int(at[-1] - at[0])
+    data = np.zeros(size + 8, np.uint8)
+    if size:
+        data[:size] = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    if lower:
+        data = _LOWER[data]
+    at = at - at[0]
+    inside = ~_IS_SPACE[data[:size]]
+    before, after = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    before[1:], after[: max(size - 1, 0)] = inside, inside[1:]
+    # a text's first and last bytes end words
+    before[at], after[at[1:] - 1] = False, False
+    starts, ends = np.flatnonzero(inside & ~before[:size]), np.flatnonzero(inside & ~after[:size]) + 1
+    eights = np.ndarray((size + 1,), "<u8", data, strides=(1,))
+    n = ends - starts
+    with np.errstate(over="ignore"):
+        h = mixed((eights[starts] & _KEEP[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        more, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+        while len(more):
+            h[more] = mixed(h[more] * np.uint64(0xD1342543DE82EF95) + (eights[starts[more] + k] & _KEEP[np.minimum(n[more] - k, 8)]))
+            k += 8
+            more = more[n[more] > k]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h, np.diff(np.searchsorted(starts, at))
+
+
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of width neighbours."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for k in range(width):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
-    return h
+        h = ids[:n].copy()
+        for k in range(1, width):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += ids[k : k + n]
+    return mixed(h)
 
 
 def text_stats(texts: Sequence[str | None]) -> np.ndarray:

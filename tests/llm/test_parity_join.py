@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import parity_join as pj
+from corpusloom.llm.rule_stats import word_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,9 +81,11 @@ def test_similar_sets_share_a_key(common, more_a, more_b, seed):
     a, b = np.sort(x[: common + more_a]), np.sort(np.concatenate([x[:common], x[common + more_a :]]))
     if 100 * common < 75 * len(x) or (len(a) == len(b) == common):
         return
-    rank = lambda s: (s % np.uint64(3)).astype(np.int8)
-    keys = [{(band, int(k)) for band, words, most in pj.schemes(len(s), 75) for k in pj.join_keys(s, rank(s), band, words, most)} for s in (a, b)]
-    assert keys[0] & keys[1]
+    # a third of the shingles of the lower half are frequent ones
+    low = x[(x < pj._HALF) & (x % np.uint64(3) == 0)] << np.uint64(1)
+    frequent = np.sort(pj._packed_name(low >> np.uint64(56), low & np.uint64((1 << 48) - 1), 8))
+    keys, owner = pj.join_keys([a, b, a[:0]], frequent, 8, 75)
+    assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
     sa, sb = (np.array(pj.bit_sketch(s)).view(np.uint64) for s in (a, b))
     assert np.bitwise_count(sa ^ sb).sum() <= len(np.setxor1d(a, b))
 
@@ -90,5 +93,14 @@ def test_similar_sets_share_a_key(common, more_a, more_b, seed):
 def test_groups_over_few_list_stars_only():
     keys = np.full(100, 77, np.uint64)
     p = pd.DataFrame([(1, *r[1:]) for r in pj._flush([keys], [np.arange(100)], 59)], columns=["range", "low", "mid", "id_low", "id_high"])
-    out = pj._candidates(p)
+    out = pj._candidates(p, 5)
     assert len(out[out.g.isna()]) == 99 and len(out[out.g.notna()]) == 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB éÀ\t\n\x1c漢", max_size=40), st.text(alphabet="ab ", min_size=100, max_size=400)), max_size=6))
+def test_word_hashes_tell_words_apart(texts):
+    h, n = word_hashes(texts)
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert n.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(words) == len(h) and len({*zip(words, h.tolist(), strict=True)}) == len({*words}) == len({*h.tolist()})
