@@ -1,226 +1,359 @@
 """Adaptive context-mixing range coder for token ids, over many blocks at once.
 
-A frame holds the ids of neighbouring documents, cut into blocks of BLOCK ids. Blocks are coded on their own: every
-block starts with fresh order-1 and order-2 tables and mixing counts, and has its checksum. In a block each id is
-coded by a mixture of three predictions: order 0, the ids' frequencies in the frame; order 1 and 2, the id that last
-followed the same one or two ids. How much of the range the two predicted ids get is learned while coding, from how
-often predictions of the same confidence have come true. All blocks of a frame advance together, so that one NumPy
-call codes an id of each.
+A frame holds ids cut into blocks of BLOCK ids. Blocks are coded on their own: each starts with an empty history, fresh
+tables and fresh mixing weights, has its checksum and can be decoded without any other. In a block each id is coded by
+a mixture of three predictions. Order 1 and 2 predict the id that last followed the same one or two ids; order 0 gives
+an id the share that it has of the block's history, which is counted anew whenever the history has quadrupled. How
+much of the range the two predicted ids get is learned while coding, from how often predictions of the same confidence
+have come true. An id that the history lacks takes the order 0's escape and is then coded evenly over the alphabet.
+Blocks advance together, LANES at a time, so that one NumPy call codes an id of each.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"CMRC"
-#: Ids in a block, and in a frame as a rule.
-BLOCK, FRAME = 4096, 4 << 20
+MAGIC = b"CMR2"
+#: Ids in a block, ids in a frame as a rule, and blocks that advance together.
+BLOCK, FRAME, LANES = 2048, 4 << 20, 2048
 #: Slots of a block's order-1 and order-2 table; states of its mixing weights.
-SLOTS, STATES = 1 << 11, 32
-#: Order-0 frequencies sum to 2 ** TOTAL_BITS, mixing weights to 2 ** WEIGHT_BITS.
+SLOTS, STATES = 1 << 10, 32
+#: The order-0 range is 2 ** TOTAL_BITS wide before mixing, weights sum to 2 ** WEIGHT_BITS.
 TOTAL_BITS, WEIGHT_BITS = 18, 10
 ALL_BITS = TOTAL_BITS + WEIGHT_BITS
 #: What a weight moves to when its prediction comes true and when not, and how fast (a shift).
 RIGHT, WRONG, RATE = 960, 16, 4
-GAP, TWO = np.int32(RIGHT - WRONG), np.int32(2)
+#: A block's history is counted anew at these lengths.
+RECOUNTS = [64, 256, 1024]
 _WORD, _ALL = np.uint64(32), np.uint64(ALL_BITS)
 _LOW = np.uint64(0xFFFFFFFF)
+#: An order-0 entry: where an id starts in the sorted history, and its count, of _PART bits each. Behind an id, both
+#: are one number.
+_PART = 12
+_COUNT, _ENTRY = (1 << _PART) - 1, (1 << 2 * _PART) - 1
 
 
 class _Model:
     """Predictions for one id of each lane (block); encoder and decoder run the same steps.
 
-    A table slot is a predicted id and two bits of confidence. The order-2 weight and order-1 weight of each state
-    (both confidences, and whether both predict the same id) are kept in the halves of one number.
+    Row t + 1 of `past` holds the id at place t of each lane's history with its order-0 entry; row 0 is of no id. A
+    slot of the tables is where its predicted id is held, and two bits of confidence, 0 in an empty slot. Ids that the
+    counted history lacks have the count 0 and rank behind all others. Arrays of two rows are of order 2 and order 1.
     """
 
-    def __init__(self, lanes: int, counts: np.ndarray):
-        self.cum = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        self.freq = counts.astype(np.int32)
-        self.one, self.two = np.zeros((2, lanes * SLOTS), np.int32)
-        self.prev, self.before = np.zeros((2, lanes), np.int32)
+    def __init__(self, lanes: int):
+        self.width = lanes
+        self.past = np.full((BLOCK + 1, lanes), -1 << 2 * _PART, np.int64)
+        self.tables = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.prev, self.before = np.zeros((2, lanes), np.int64)
         self.weights = np.full(lanes * STATES, 256 << 16 | 128, np.int32)
-        # the symbol at each place of the order-0 range
-        self.symbol = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.slots, self.states = np.arange(lanes) * SLOTS, np.arange(lanes) * STATES
+        self.lane = np.arange(lanes)
+        self.slots, self.states = np.arange(2 * lanes).reshape(2, lanes) * SLOTS, np.arange(lanes) * STATES
+        self.counted, self.order = 0, None
+        self.scale = np.full(lanes, float(1 << TOTAL_BITS))
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
-        self.prev, self.before, self.slots, self.states = self.prev[:n], self.before[:n], self.slots[:n], self.states[:n]
+        for name in ("prev", "before", "lane", "states", "scale"):
+            setattr(self, name, getattr(self, name)[:n])
+        self.slots = self.slots[:, :n]
+
+    def count(self, t: int) -> None:
+        """Order 0 from now on tells of the first t ids of each lane, which are put in order."""
+        lanes = len(self.lane)
+        ids = np.ascontiguousarray(self.past[1 : t + 1, :lanes].T) >> 2 * _PART
+        both = np.sort(ids << _PART | np.arange(t), axis=1)
+        ids, place = both >> _PART, both & _COUNT
+        at = np.arange(t, dtype=np.int32)
+        new = np.ones((lanes, t), bool)
+        new[:, 1:] = ids[:, 1:] != ids[:, :-1]
+        first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+        last = np.full((lanes, t), t, np.int32)
+        last[:, :-1] = np.where(new[:, 1:], at[1:], t)
+        last = np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+        self.order = ids << 2 * _PART | (first << _PART | (last - first))
+        by_place = np.empty_like(self.order)
+        np.put_along_axis(by_place, place, self.order, axis=1)
+        self.past[1 : t + 1, :lanes] = by_place.T
+        self.weigh(t, new.sum(1))
+
+    def weigh(self, t: int, distinct: np.ndarray) -> None:
+        # an escape's weight is the number of distinct ids
+        self.counted, self.scale = t, float(1 << TOTAL_BITS) / (t + distinct)
 
     def predict(self) -> None:
-        h = self.prev * 40503 >> 5
-        self.at1 = (h & SLOTS - 1) + self.slots
-        self.at2 = ((h ^ self.before * 2731 >> 3) & SLOTS - 1) + self.slots
-        e1, e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        apart = self.p1 != self.p2
-        self.state = (self.c2 << 3 | self.c1 << 1 | apart) + self.states
-        self.w = self.weights.take(self.state)
-        w2, w1 = self.w >> 16, (self.w & 0xFFFF) * apart
-        self.w0 = (1 << WEIGHT_BITS) - w1 - w2
-        self.b1, self.b2 = w1 << TOTAL_BITS, w2 << TOTAL_BITS
-
-    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of symbol s in the mixture, of 2 ** ALL_BITS in all."""
-        start = self.cum.take(s) * self.w0 + self.b1 * (self.p1 < s) + self.b2 * (self.p2 < s)
-        return start, self.freq.take(s) * self.w0 + self.b1 * (self.p1 == s) + self.b2 * (self.p2 == s)
+        one = self.prev * 40503 >> 5
+        at = np.empty((2, len(one)), np.int64)
+        at[0], at[1] = one ^ self.before * 2731 >> 3, one
+        at &= SLOTS - 1
+        at += self.slots
+        self.at, self.e = at, self.tables.take(at)
+        self.told = self.past.take(self.e >> 2)
+        self.p, self.c, self.left = self.told >> 2 * _PART, self.told & _COUNT, self.told >> _PART & _COUNT
+        self.apart = self.p[0] != self.p[1]
+        self.c[1] *= self.apart
+        sure = self.e & 3
+        self.state = (sure[0] << 3 | sure[1] << 1 | self.apart) + self.states
+        w = self.weights.take(self.state)
+        self.w2, self.w1 = w >> 16, w & 0xFFFF
+        w1 = self.w1 * self.apart
+        # below 2 ** 53 the product's floor is that of the quotient
+        self.unit = (((1 << WEIGHT_BITS) - w1 - self.w2) * self.scale).astype(np.int64)
+        share = self.c * self.unit
+        self.m2 = (self.w2 << TOTAL_BITS) + share[0]
+        self.rest = self.m2 + (w1 << TOTAL_BITS) + share[1]
+
+    def interval(self, s: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of symbol s in the mixture, of 2 ** ALL_BITS in all: first the order-2 id, then the order-1
+        id, each with its order-0 share, then the history without both, then the escape."""
+        self.hit = self.p == s
+        self.hit2, self.hit1 = self.hit[0], self.hit[1] & self.apart
+        left, n = told >> _PART & _COUNT, told & _COUNT
+        skipped = (self.left < left) * self.c
+        start = self.rest + self.unit * (left - skipped[0] - skipped[1])
+        size = np.where(n > 0, self.unit * n, (1 << ALL_BITS) - start)
+        np.copyto(start, self.m2, where=self.hit1)
+        np.copyto(size, self.rest - self.m2, where=self.hit1)
+        np.copyto(start, 0, where=self.hit2)
+        np.copyto(size, self.m2, where=self.hit2)
+        return start, size
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbol whose interval holds v, and that interval."""
-        less = self.p1 < self.p2
-        s2 = self.cum.take(self.p2) * self.w0 + self.b1 * less
-        s1 = self.cum.take(self.p1) * self.w0 + self.b2 * (self.p2 < self.p1)
-        e2, e1 = s2 + self.freq.take(self.p2) * self.w0 + self.b2, s1 + self.freq.take(self.p1) * self.w0 + self.b1
-        rest = v - self.b1 * (v >= e1) - self.b2 * (v >= e2)
-        # below 2 ** 53 the quotient's floor is exact
-        s = self.symbol.take((rest / self.w0).astype(np.int64), mode="clip")
-        s = np.where((v >= s2) & (v < e2), self.p2, np.where((v >= s1) & (v < e1), self.p1, s))
-        return s, *self.interval(s)
-
-    def update(self, s: np.ndarray) -> None:
-        hit2, hit1 = self.p2 == s, self.p1 == s
-        w2, w1 = self.w >> 16, self.w & 0xFFFF
-        w2 += hit2 * GAP + WRONG - w2 >> RATE
-        w1 += (hit1 > hit2) * GAP + WRONG - w1 >> RATE
+        """The symbol whose interval holds v, the same with its order-0 entry, and the lanes where it is an escape."""
+        t = self.counted
+        rest = v - self.rest
+        if t:
+            # the quotient of numbers below 2 ** 31 is right but where it should be whole, for which half is added
+            r = ((rest + 0.5) / self.unit).astype(np.int64)
+            escape = r >= t - self.c[0] - self.c[1]
+            swap = self.left[0] > self.left[1]
+            low, high = self.left.min(0), self.left.max(0)
+            c_low = np.where(swap, self.c[1], self.c[0])
+            r += c_low * (r >= low)
+            r += (self.c[0] + self.c[1] - c_low) * (r >= high)
+            told = self.order.take(self.lane * t + r, mode="clip")
+        else:
+            told, escape = np.zeros(len(v), np.int64), rest >= 0
+        np.copyto(told, self.told[1], where=rest < 0)
+        np.copyto(told, self.told[0], where=v < self.m2)
+        escape = (escape & (rest >= 0)).nonzero()[0]
+        # no id that is predicted or in the history
+        told[escape] = -2 << 2 * _PART | t << _PART
+        return told >> 2 * _PART, told, escape
+
+    def update(self, t: int, s: np.ndarray, told: np.ndarray) -> None:
+        """s is the id at place t of each lane; hits are those of the last interval."""
+        self.past[t + 1, : len(s)] = told
+        w2, w1 = self.w2, self.w1
+        w2 += self.hit2 * _GAP + _WRONG - w2 >> _RATE
+        w1 += self.hit1 * _GAP + _WRONG - w1 >> _RATE
         self.weights[self.state] = w2 << 16 | w1
-        # a true prediction gains confidence; a false one loses it and, without any left, its place
-        for table, at, p, c, hit in ((self.one, self.at1, self.p1, self.c1, hit1), (self.two, self.at2, self.p2, self.c2, hit2)):
-            c = c + hit * TWO - 1
-            table[at] = np.where(c < 0, s << 2, p << 2 | np.minimum(c, 3))
+        # a true prediction gains confidence; a false one loses it and, without any left, its slot
+        sure = (self.e & 3) + self.hit * _TWO - _ONE
+        fresh = ((self.lane + (t + 1) * self.width) << 2 | 1).astype(np.int32)
+        slot = np.minimum(sure, _MOST) | self.e & _PLACE
+        np.copyto(slot, fresh, where=sure <= 0)
+        self.tables[self.at] = slot
         self.before, self.prev = self.prev, s
 
 
+_GAP, _WRONG, _RATE, _TWO, _ONE, _MOST, _PLACE = np.array([RIGHT - WRONG, WRONG, RATE, 2, 1, 3, -4], np.int32)
+
+
 def _shapes(n: int) -> np.ndarray:
     return np.minimum(BLOCK, n - np.arange(0, n, BLOCK))
 
 
-def _scaled(counts: np.ndarray) -> np.ndarray:
-    """counts scaled to the sum 2 ** TOTAL_BITS, at least 1 each."""
-    whole = 1 << TOTAL_BITS
-    out = 1 + counts * (whole - len(counts)) // counts.sum()
-    out[counts.argmax()] += whole - out.sum()
-    return out
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    for a in range(0, len(sizes), LANES):
+        yield a, min(a + LANES, len(sizes))
 
 
-def _present(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(ids, minlength=1)
-    symbols = np.flatnonzero(counts)
-    return symbols, counts[symbols]
+def encode_frame(ids: np.ndarray) -> bytes:
+    """ids (below 2 ** 32) as bytes: magic, numbers of ids and blocks, alphabet, size and checksum of each block, blocks."""
+    sizes, alphabet = _shapes(len(ids)), int(ids.max(initial=0)) + 1
+    if alphabet > 1 << 32 or ids.min(initial=0) < 0:
+        raise ValueError("ids are unsigned 32-bit integers")
+    crcs = [zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, len(ids), BLOCK)]
+    blocks = [b for x, y in _groups(sizes) for b in _encode(ids[x * BLOCK : y * BLOCK].astype(np.int64), sizes[x:y], alphabet)]
+    head = MAGIC + struct.pack("<QIQ", len(ids), len(sizes), alphabet)
+    index = np.array([(len(b), c) for b, c in zip(blocks, crcs, strict=True)], "<u4").tobytes()
+    return b"".join([head, index, *blocks])
 
 
-def _places(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    if not len(symbols) or symbols[-1] > 1 << 22:
-        return np.searchsorted(symbols, ids).astype(np.int32)
-    place = np.zeros(symbols[-1] + 1, np.int32)
-    place[symbols] = np.arange(len(symbols))
-    return place[ids]
+class _Writer:
+    """The range of each lane and the words written; a carry goes back into these."""
 
+    def __init__(self, lanes: int):
+        # an id takes at most two words, one for its interval and one for its place in the alphabet
+        self.out, self.pos = np.zeros((lanes, 2 * BLOCK + 8), np.uint32), np.zeros(lanes, np.int64)
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
-def encode_frame(ids: np.ndarray) -> bytes:
-    """ids as bytes: magic, numbers of ids and blocks, frequency table, size and checksum of each block, blocks."""
-    sizes = _shapes(len(ids))
-    symbols, counts = np.unique(ids, return_counts=True) if ids.max(initial=0) > 1 << 22 else _present(ids)
-    inverse = _places(symbols, ids)
-    table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 6)
-    crcs = [zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, len(ids), BLOCK)]
-    blocks = _encode(inverse, sizes, _scaled(counts)) if len(ids) else []
-    head = MAGIC + struct.pack("<IIII", len(ids), len(sizes), len(symbols), len(table))
-    index = np.array([(len(b), c) for b, c in zip(blocks, crcs, strict=True)], "<u4").tobytes()
-    return b"".join([head, table, index, *blocks])
-
-
-def _encode(s: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    lanes = len(sizes)
-    grid = np.zeros((lanes, BLOCK), np.int32)
-    grid.reshape(-1)[: len(s)] = s
-    grid = np.ascontiguousarray(grid.T)
-    model = _Model(lanes, counts)
-    all_low, all_span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, pos = np.zeros((lanes, BLOCK + 8), np.uint32), np.zeros(lanes, np.int64)
-    low, span = all_low, all_span
-    for t in range(int(sizes[0])):
-        if t == sizes[-1]:
-            model.shrink(lanes - 1)
-            grid, low, span = grid[:, :-1], low[:-1], span[:-1]
-        model.predict()
-        start, freq = model.interval(grid[t])
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """The first n lanes go on in the part of their ranges that start and size tell."""
+        low, span = self.low[:n], self.span[:n]
         r = span >> _ALL
-        new = low + r * start.astype(np.uint64)
-        for i in (new < low).nonzero()[0]:  # a carry into the words written
-            k = pos[i] - 1
-            while out[i, k] == 0xFFFFFFFF:
-                out[i, k] = 0
-                k -= 1
-            out[i, k] += 1
+        new = low + r * start
+        self._carry((new < low).nonzero()[0])
         low[:] = new
-        np.multiply(r, freq.astype(np.uint64), out=span)
-        small = (span <= _LOW).nonzero()[0]
-        if len(small):
-            part, at = low[small], pos[small]
-            out[small, at] = part >> _WORD
-            pos[small] = at + 1
-            low[small] = part << _WORD
-            span[small] <<= _WORD
-        model.update(grid[t])
-    out[np.arange(lanes), pos] = all_low >> _WORD
-    out[np.arange(lanes), pos + 1] = all_low & _LOW
-    return [out[i, : pos[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
-
-
-def decode_frame(data: bytes) -> np.ndarray:
-    """The ids of a frame as unsigned 32-bit integers; an error names the first block with a wrong checksum."""
+        np.multiply(r, size, out=span)
+        self._shift((span <= _LOW).nonzero()[0])
+
+    def narrow_evenly(self, lanes: np.ndarray, s: np.ndarray, among: int) -> None:
+        """Lanes go on in the s-th of `among` equal parts of their ranges."""
+        low, r = self.low[lanes], self.span[lanes] // np.uint64(among)
+        new = low + r * s
+        self._carry(lanes[new < low])
+        self.low[lanes], self.span[lanes] = new, r
+        self._shift(lanes[r <= _LOW])
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        if len(lanes):
+            at = self.pos[lanes] - 1
+            self.out[lanes, at] += np.uint32(1)
+            # a word that was full carries on
+            for i, k in zip(lanes, at, strict=True) if not self.out[lanes, at].all() else ():
+                while not self.out[i, k]:
+                    k -= 1
+                    self.out[i, k] += np.uint32(1)
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        if len(lanes):
+            part, at = self.low[lanes], self.pos[lanes]
+            self.out[lanes, at] = part >> _WORD
+            self.pos[lanes] = at + 1
+            self.low[lanes] = part << _WORD
+            self.span[lanes] <<= _WORD
+
+    def bytes(self) -> list[bytes]:
+        lane = np.arange(len(self.pos))
+        self.out[lane, self.pos], self.out[lane, self.pos + 1] = self.low >> _WORD, self.low & _LOW
+        return [self.out[i, : self.pos[i] + 2].astype("<u4").tobytes() for i in lane]
+
+
+class _Known:
+    """Order-0 entries for the encoder, which knows its blocks: their ids in order, with the run of equal ids that each
+    place belongs to, so that a count of the first t places is one running sum."""
+
+    def __init__(self, s: np.ndarray, lanes: int):
+        self.lanes = lanes
+        lane, place = np.divmod(np.arange(len(s)), BLOCK)
+        both = np.sort(lane << 32 + _PART | s << _PART | place)
+        ids = both >> _PART
+        self.place, lane = (both & _COUNT).astype(np.int32), (both >> 32 + _PART).astype(np.int32)
+        new = np.ones(len(s), bool)
+        new[1:] = ids[1:] != ids[:-1]
+        self.starts = np.append(np.flatnonzero(new), len(s))
+        self.run, self.run_lane = np.cumsum(new, dtype=np.int32) - np.int32(1), lane[self.starts[:-1]]
+        self.ids, self.at = (ids & (1 << 32) - 1) << 2 * _PART, (self.place + np.int32(1)) * np.int32(lanes) + lane
+
+    def count(self, model: _Model, t: int, end: int) -> None:
+        """Writes the entries for a history of t places into the places below end."""
+        below = self.place < end
+        if not t:
+            model.past.reshape(-1)[self.at[below]] = self.ids[below]
+            return
+        seen = np.concatenate([[0], np.cumsum(self.place < t, dtype=np.int32)])[self.starts]
+        n, first = np.diff(seen), np.searchsorted(self.run_lane, np.arange(self.lanes))
+        left = np.where(n > 0, seen[:-1] - seen[first][self.run_lane], t)
+        told = self.ids | (left << _PART | n)[self.run]
+        model.past.reshape(-1)[self.at[below]] = told[below]
+        model.weigh(t, np.bincount(self.run_lane[n > 0], minlength=self.lanes)[: len(model.lane)])
+
+
+def _encode(s: np.ndarray, sizes: np.ndarray, alphabet: int) -> list[bytes]:
+    lanes = n = len(sizes)
+    model, writer, known = _Model(lanes), _Writer(lanes), _Known(s, lanes)
+    stops = [0, *(x for x in RECOUNTS if x < sizes[0]), int(sizes[0])]
+    for a, b in zip(stops[:-1], stops[1:], strict=True):
+        known.count(model, a, b)
+        for t in range(a, b):
+            if t == sizes[-1] and n == lanes:
+                n -= 1
+                model.shrink(n)
+            told = model.past[t + 1, :n]
+            now = told >> 2 * _PART
+            model.predict()
+            start, size = model.interval(now, told)
+            writer.narrow(n, start.view(np.uint64), size.view(np.uint64))
+            escape = ((told & _COUNT == 0) & ~(model.hit[0] | model.hit[1])).nonzero()[0]
+            if len(escape):
+                writer.narrow_evenly(escape, now[escape].view(np.uint64), alphabet)
+            model.update(t, now, told)
+    return writer.bytes()
+
+
+def frame_blocks(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Of a frame the number of ids, the alphabet, and of each block where its bytes start, their size and checksum."""
     if data[:4] != MAGIC:
         raise ValueError("not a frame of coded ids")
-    n, blocks, kinds, size = struct.unpack_from("<IIII", data, 4)
-    if not n:
-        return np.zeros(0, "<u4")
-    table = np.frombuffer(zlib.decompress(data[20 : 20 + size]), "<u4")
-    symbols, counts = np.cumsum(table[:kinds], dtype=np.int64), table[kinds:].astype(np.int64)
-    at = 20 + size
-    index = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(-1, 2)
-    at += 8 * blocks
-    parts = []
-    for length in index[:, 0].tolist():
-        parts.append(np.frombuffer(data, "<u4", length // 4, at))
-        at += length
-    ids = symbols[_decode(parts, _shapes(n), _scaled(counts))].astype("<u4")
-    for k, a in enumerate(range(0, n, BLOCK)):
-        if zlib.crc32(ids[a : a + BLOCK].tobytes()) != index[k, 1]:
-            raise ValueError(f"block {k} has a wrong checksum")
+    n, blocks, alphabet = struct.unpack_from("<QIQ", data, 4)
+    index = np.frombuffer(data, "<u4", 2 * blocks, 24).reshape(-1, 2).astype(np.int64)
+    starts = 24 + 8 * blocks + np.cumsum(index[:, 0]) - index[:, 0]
+    return n, alphabet, starts, index
+
+
+def decode_frame(data: bytes, blocks: slice = slice(None)) -> np.ndarray:
+    """The ids of a frame, or of some blocks of it, as unsigned 32-bit integers; an error names the first block with a
+    wrong checksum."""
+    n, alphabet, starts, index = frame_blocks(data)
+    which = np.arange(len(starts))[blocks]
+    sizes, out = _shapes(n)[which], []
+    for a, b in _groups(sizes):
+        parts = [np.frombuffer(data, "<u4", index[i, 0] // 4, starts[i]) for i in which[a:b]]
+        out.append(_decode(parts, sizes[a:b], alphabet).astype("<u4"))
+    ids = np.concatenate([np.zeros(0, "<u4"), *out])
+    at = 0
+    for i, size in zip(which.tolist(), sizes.tolist(), strict=True):
+        if zlib.crc32(ids[at : at + size].tobytes()) != index[i, 1]:
+            raise ValueError(f"block {i} has a wrong checksum")
+        at += size
     return ids
 
 
-def _decode(parts: list[np.ndarray], sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    lanes = len(sizes)
+def _decode(parts: list[np.ndarray], sizes: np.ndarray, alphabet: int) -> np.ndarray:
+    lanes = n = len(sizes)
     words = np.zeros((lanes, max(map(len, parts)) + 2), np.uint64)
     for i, p in enumerate(parts):
         words[i, : len(p)] = p
-    pos = np.full(lanes, 2)
-    model = _Model(lanes, counts)
+    pos, end = np.full(lanes, 2), words.shape[1] - 1
+    model = _Model(lanes)
     code, span = words[:, 0] << _WORD | words[:, 1], np.full(lanes, 2**64 - 1, np.uint64)
-    grid = np.zeros((BLOCK, lanes), np.int32)
-    n, most, end = lanes, np.uint64((1 << ALL_BITS) - 1), words.shape[1] - 1
+    most, all_ids, recounts = np.uint64((1 << ALL_BITS) - 1), np.uint64(alphabet), set(RECOUNTS)
+    flat, width = words.reshape(-1), words.shape[1]
+    rows = np.arange(lanes) * width
+
+    def refill(at: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small = (p <= _LOW).nonzero()[0]
+        if len(small):
+            lane = small if at is None else at[small]
+            place = pos[lane]
+            c[small] = c[small] << _WORD | flat.take(rows[lane] + np.minimum(place, end))
+            p[small] <<= _WORD
+            pos[lane] = place + 1
+        return c, p
+
     for t in range(int(sizes[0])):
-        if t == sizes[-1]:
-            n = lanes - 1
+        if t == sizes[-1] and n == lanes:
+            n -= 1
             model.shrink(n)
             code, span = code[:n], span[:n]
+        if t in recounts:
+            model.count(t)
         model.predict()
         r = span >> _ALL
-        now, start, freq = model.find(np.minimum(code // r, most).astype(np.int32))
-        code -= r * start.astype(np.uint64)
-        np.multiply(r, freq.astype(np.uint64), out=span)
-        small = (span <= _LOW).nonzero()[0]
-        if len(small):
-            at = pos[small]
-            code[small] = code[small] << _WORD | words[small, np.minimum(at, end)]
-            span[small] <<= _WORD
-            pos[small] = at + 1
-        grid[t, :n] = now
-        model.update(now)
-    return np.ascontiguousarray(grid.T).reshape(-1)[: int(sizes.sum())]
+        now, told, escape = model.find(np.minimum(code // r, most).view(np.int64))
+        start, size = model.interval(now, told)
+        code, span = refill(None, code - r * start.view(np.uint64), r * size.view(np.uint64))
+        if len(escape):
+            c, p = code[escape], span[escape] // all_ids
+            found = np.minimum(c // p, all_ids - np.uint64(1))
+            now[escape] = found
+            told[escape] += now[escape] + 2 << 2 * _PART
+            code[escape], span[escape] = refill(escape, c - p * found, p)
+        model.update(t, now, told)
+    return np.concatenate([model.past[1 : k + 1, i] >> 2 * _PART for i, k in enumerate(sizes.tolist())])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,62 +19,124 @@ from tokenizers import Tokenizer
 
 from ..session import fresh_path, stash
 from .context_coder import FRAME, decode_frame, encode_frame
-from .prefix_bpe import _BOUNDARY, _UNSAFE, MEMO
-from .rule_stats import chunks
+from .prefix_bpe import MEMO, python_pattern
+from .rule_stats import chunks, text_sizes
+
+
+#: Characters of which the library's and this module's pattern think alike, whatever Unicode version either knows
+#: (a test compares them); pieces with others are encoded by the library as they are.
+_SETTLED = re.compile("[\\0-\u0557\u0900-\u0b7f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
+#: A space at either end, or with white space of any kind beside it.
+_BESIDE = r"^ | $| [{0}]|[{0}] ".format(r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+#: The pattern of byte-level pre-tokenizers of the library.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start .. start + size - 1 of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceTokenizer:
-    """A byte-level tokenizer that encodes every distinct piece once.
+    """A byte-level tokenizer of the library that encodes every distinct word once.
 
     Pieces end before a space between two characters that are not white space. Such a tokenizer always starts a new
-    word there, so that a text's ids are its pieces' ids in a row. Strings of special tokens are ordinary text.
+    word there, so that a text's ids are its pieces' ids in a row. The distinct pieces of a batch are cut into the
+    tokenizer's words, and the library's model encodes each distinct word once. Texts that hold a string of an added
+    token, and all texts of tokenizers of another making, are encoded by the library as they are.
     """
 
     def __init__(self, data: bytes):
         self.library = Tokenizer.from_str(data.decode())
-        self.library.encode_special_tokens = True
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        # a byte-level token has a character for each of its bytes
-        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.sizes[i] = len(token)
-        self.kind = np.dtype("<u2") if len(self.sizes) <= 1 << 16 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = []
-        for t in texts:
-            parts = t.split(" ")
-            if "" in parts or _UNSAFE.search(t):
-                parts = _BOUNDARY.split(t)
-            split.append(parts)
-        for memo in (self.first, self.rest):
-            if len(memo) > MEMO:
-                memo.clear()
-        heads = list({p[0] for p in split}.difference(self.first))
-        for piece, e in zip(heads, self.library.encode_batch(heads, add_special_tokens=False), strict=True):
-            self.first[piece] = np.array(e.ids, self.kind).tobytes()
-        new: set[str] = set()
-        for p in split:
-            new.update(p[1:])
-        self._learn(list(new.difference(self.rest)))
-        out, get = [], self.rest.__getitem__
-        for p in split:
-            out.append(np.frombuffer(self.first[p[0]] + b"".join(map(get, p[1:])), self.kind))
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces in one text and cuts its ids where the pieces' bytes end."""
-        data = [(" " + p).encode() for p in pieces]
-        for a, b in chunks([len(d) for d in data], 1 << 20):
-            ids = np.array(self.library.encode(b"".join(data[a:b]).decode(), add_special_tokens=False).ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(d) for d in data[a:b]]), side="left") + 1
-            raw, step, start = ids.tobytes(), self.kind.itemsize, 0
-            for piece, end in zip(pieces[a:b], ends.tolist(), strict=True):
-                self.rest[piece] = raw[start * step : end * step]
-                start = end
+        spec = json.loads(data)
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer") and (spec.get("post_processor") or cut).get("type") == "ByteLevel" and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.words, self.model = regex.compile(python_pattern(_WORD)).findall, self.library.model
+        self.kind = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        # Byte-level models spell printable bytes as themselves, other bytes as the characters from U+0100
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.space = chr(self.spelling[32])
+        self._forget()
+
+    def _forget(self) -> None:
+        # words by number, and where in the pool the ids of each number are
+        self.numbers: dict[str, int] = {}
+        self.pool, self.held = np.zeros(1 << 16, self.kind), 0
+        self.ends: list[int] = [0]
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if len(self.numbers) > MEMO:
+            self._forget()
+        whole = [not self.plain or any(a in t for a in self.added) for t in texts]
+        column = pa.array(["" if w else t for w, t in zip(whole, texts, strict=True)], pa.large_string())
+        # texts with white space beside a space are not cut into pieces
+        apart = np.array(whole, bool) | pc.match_substring_regex(column, _BESIDE).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(apart), "", column), " ")
+        starts = np.asarray(lists.offsets)[:-1].astype(np.int64)
+        counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        first = np.zeros(len(lists.values), bool)
+        first[starts] = True
+        inner = lists.values.filter(pa.array(~first)).dictionary_encode()
+        heads = lists.values.take(pa.array(starts)).to_pylist()
+        heads = [t if far else h for t, h, far in zip(texts, heads, apart.tolist(), strict=True)]
+        numbers, sizes = self._numbers(inner.dictionary.to_pylist(), heads, whole)
+        # pieces of the batch in order: heads are numbered behind the distinct inner pieces
+        pieces = np.empty(len(first), np.int64)
+        pieces[~first] = inner.indices.to_numpy()
+        pieces[first] = len(inner.dictionary) + np.arange(len(heads))
+        ends = np.cumsum(sizes)
+        words = numbers[_ragged((ends - sizes)[pieces], sizes[pieces])]
+        pool_ends = np.array(self.ends)
+        n_ids = np.diff(pool_ends)[words]
+        ids = self.pool[_ragged(pool_ends[words], n_ids)]
+        text_ends = np.cumsum(np.add.reduceat(np.append(sizes[pieces], 0), starts)) if len(starts) else np.zeros(0, np.int64)
+        through = np.concatenate([[0], np.cumsum(n_ids)])[text_ends]
+        return ids, np.diff(through, prepend=0)
+
+    def _numbers(self, inner: list[str], heads: list[str], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all pieces in a row (inner ones with a space before them, then heads), and how many each has."""
+        strange = [i for i, p in enumerate(inner) if not p.isascii() and not _SETTLED.fullmatch(p)]
+        lone = {i: [" " + inner[i]] for i in strange}
+        for i in strange:
+            inner[i] = "x"
+        # without spaces inside, each piece starts with the only word that starts with a space
+        words = self.words(" " + " ".join(inner)) if inner else []
+        fast = [[h] if far or not _SETTLED.fullmatch(h) else self.words(h) for h, far in zip(heads, whole, strict=True)]
+        at = np.flatnonzero(np.fromiter((w[0] == " " for w in words), bool, len(words)))
+        sizes = np.append(np.diff(np.append(at, len(words))), np.array([len(f) for f in fast], np.int64))
+        for i in strange:
+            words[at[i]] = lone[i][0]
+        column = pa.array(words + [w for f in fast for w in f], pa.large_string()).dictionary_encode()
+        names = column.dictionary.to_pylist()
+        found = list(map(self.numbers.get, names))
+        missing = [w for w, n in zip(names, found, strict=True) if n is None]
+        if missing:
+            self._learn(missing, {x[0] for x in lone.values()}.union(f[0] for f, h in zip(fast, heads, strict=True) if len(f) == 1 and f[0] is h))
+            found = list(map(self.numbers.get, names))
+        return np.array(found, np.int64)[column.indices.to_numpy()], sizes
+
+    def _learn(self, words: list[str], whole: set[str]) -> None:
+        """whole: words that the library has to encode as they are."""
+        ids, sizes, tokenize = [], [], self.model.tokenize
+        for w in words:
+            n = len(ids)
+            if w in whole:
+                ids += self.library.encode(w, add_special_tokens=False).ids
+            else:
+                # printable ASCII is spelled as it is, but for the space
+                spelled = w.replace(" ", self.space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.spelling)
+                ids += [t.id for t in tokenize(spelled)]
+            sizes.append(len(ids) - n)
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.ends += (self.held + np.cumsum(sizes)).tolist()
+        if self.held + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.kind)])
+        self.pool[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
 
 
 @lru_cache(maxsize=2)
@@ -94,29 +160,28 @@ def write_id_files(docs: DataFrame, path: str, tokenizer_file: str, *, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seq = _tokenizer(shared.value), TaskContext.get().partitionId(), 0
-        keys: list = []
+        keys: list[pa.Array] = []
         ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
-        end = np.array([end_id], tok.kind)
 
         def frame() -> pa.RecordBatch:
-            coded = encode_frame(np.concatenate([x for d in ids for x in (d, end)]).astype(np.int64))
+            named = pa.concat_arrays(keys)
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys, key_type)),
-                pa.array([[len(d) + 1 for d in ids]], pa.list_(pa.int64())), pa.array([coded], pa.binary()),
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(named)], pa.int32()), named),
+                pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([encode_frame(np.concatenate(ids))], pa.large_binary()),
             ], names=["part", "seq", "keys", "lengths", "ids"])
 
         for batch in batches:
-            key_type, texts = batch.column(0).type, batch.column(1).to_pylist()
-            names = batch.column(0).to_pylist()
-            for a, b in chunks([len(t) for t in texts]):
-                for k, d in zip(names[a:b], tok.encode(texts[a:b]), strict=True):
-                    keys.append(k)
-                    ids.append(d)
-                    held += len(d) + 1
-                    if held >= FRAME:
-                        yield frame()
-                        keys, ids, held, seq = [], [], 0, seq + 1
+            for a, b in chunks(text_sizes(batch.column(1))):
+                found, n = tok.encode(batch.column(1).slice(a, b - a).to_pylist())
+                keys.append(batch.column(0).slice(a, b - a))
+                ids.append(np.insert(found, np.cumsum(n), end_id))
+                sizes.append(n + 1)
+                held += len(ids[-1])
+                if held >= FRAME:
+                    yield frame()
+                    keys, ids, sizes, held, seq = [], [], [], 0, seq + 1
         if keys:
             yield frame()
 

@@ -35,6 +35,11 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+def python_pattern(pattern: str) -> str:
+    """The pattern with white space as the tokenizer's library means it: without Python-only members such as U+001C."""
+    return pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+
+
 class PrefixTable:
     """The last token of every prefix of a growing byte string; exact after any append."""
 
@@ -87,9 +92,7 @@ class Vocabulary:
         self.ranks = ranks
         self.texts = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        # the class has no Python-only members such as U+001C, unlike \s here
-        pattern = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
-        self.matches = regex.compile(pattern).findall
+        self.matches = regex.compile(python_pattern(pattern)).findall
         # every place where a token can end, found in one pass; bytes stand as the characters of equal number
         self.ends = ahocorasick.Automaton()
         for b, i in ranks.items():

@@ -11,7 +11,6 @@ from corpusloom.llm import context_coder, id_files
 
 FILE = P.path("byte_bpe_50k.json")
 TRUTH = Tokenizer.from_file(FILE)
-TRUTH.encode_special_tokens = True
 with open(FILE, "rb") as f:
     PIECES = id_files.PieceTokenizer(f.read())
 
@@ -37,7 +36,36 @@ def test_learns_and_checks():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab'st 12\n\t\x1c\x85 .,é漢😀 <|>")), st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"])), max_size=60), max_size=4))
 def test_same_as_library(texts):
-    assert [x.tolist() for x in PIECES.encode(texts)] == [TRUTH.encode(t, add_special_tokens=False).ids for t in texts]
+    truth = [TRUTH.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = PIECES.encode(texts)
+    assert ids.tolist() == [i for t in truth for i in t] and sizes.tolist() == [len(t) for t in truth]
+
+
+def test_added_tokens_and_strange_characters_are_the_library_s():
+    texts = ["a<|endoftext|>b", "x  <|endoftext|> y <|endof text|>", "", " lead", "trail ", "\n\n x y", "a \u1cca b", "\u0558 x\u088f", "it's they'll  don't", "\u3000 x \u2003y"]
+    truth = [TRUTH.encode(t, add_special_tokens=False).ids for t in texts]
+    assert truth[0] == [64, 50256, 65]
+    ids, sizes = PIECES.encode(texts)
+    assert ids.tolist() == [i for t in truth for i in t] and sizes.tolist() == [len(t) for t in truth]
+
+
+def test_settled_characters():
+    """The pattern cuts texts of these characters as the library's pre-tokenizer does."""
+    cut = TRUTH.pre_tokenizer.pre_tokenize_str
+    for start in range(0, 0xD7A4, 0x100):
+        part = [c for c in map(chr, range(start, start + 0x100)) if id_files._SETTLED.fullmatch(c)]
+        text = "".join(f"a{c}1{c}!{c} {c}  x " for c in part)
+        assert [text[a:b] for _, (a, b) in cut(text)] == PIECES.words(text)
+
+
+def test_blocks_stand_alone_and_alphabets_are_any():
+    for x in (np.arange(300_000), np.array([0, 2**32 - 1] * 5000), np.random.default_rng(3).integers(0, 2**32, 9000)):
+        coded = context_coder.encode_frame(x)
+        assert (context_coder.decode_frame(coded) == x).all()
+        for k in (0, 2, len(x) // context_coder.BLOCK):
+            assert (context_coder.decode_frame(coded, slice(k, k + 1)) == x[k * context_coder.BLOCK : (k + 1) * context_coder.BLOCK]).all()
+    with pytest.raises(ValueError, match="unsigned"):
+        context_coder.encode_frame(np.array([-1]))
 
 
 def test_table(spark, tmp_path):
