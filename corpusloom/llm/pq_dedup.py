@@ -119,7 +119,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     n_links counts the other rows linked directly, component_id is the smallest key reachable, kept says whether it
     is the row's own. Rows with a null label, and vectors that are null, zero or empty or hold null or non-finite
     components, link with nothing, nor do vectors of different lengths. Equal vectors are one point of the index
-    with their number as weight; repeated rows count as rows of their own. An empty table gives an empty result.
+    with their number as weight; repeated rows count as rows of their own, and rows that repeat a key with another
+    vector or label have links and a component of their own. A null key is never a component's smallest; a component
+    of null keys has a null component_id, which counts as kept. An empty table gives an empty result.
 
     The index is fitted to at most sample vectors (smallest hash); every vector is indexed, and all bounds used are
     exact, so that no link is lost. Lists are about half the square root of the vectors in number, 4096 at most.
@@ -133,9 +135,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     group = F.concat_ws(":", F.col(label).cast("string"), dims.cast("string"), F.hex(F.xxhash64(F.lit(1), v)), F.hex(F.xxhash64(F.lit(2), v)))
     rows = vectors.select(F.col(key).alias("key"), F.when(F.coalesce(sound, F.lit(False)), group).alias("g"), F.when(F.coalesce(sound, F.lit(False)), v).alias("v"), F.col(label).cast("string").alias("label"))
     members = stash(rows.select("key", "g"), "vectors")
-    points = rows.filter("g IS NOT NULL").groupBy("g").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"), F.first("label").alias("label"))
-    points = stash(points.withColumn("label", F.concat_ws(":", "label", F.size("v").cast("string"))), "points")
-    kind = points.schema["id"].dataType.simpleString()
+    points = rows.filter("g IS NOT NULL").groupBy("g").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"), F.first("label").alias("label"))
+    # points have numbers of their own, as keys may be null or stand for several vectors
+    points = stash(points.withColumn("label", F.concat_ws(":", "label", F.size("v").cast("string"))).withColumn("id", F.monotonically_increasing_id()), "points")
     info = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     none = members.select(F.col("key"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     if not info["n"]:
@@ -163,7 +165,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(index.probes(u, own, reach), pa.list_(pa.int32())),
                 ], names=["id", "m", "label", "v", "list", "codes", "error", "probes"])
 
-    schema = f"id {kind}, m long, label string, v binary, list int, codes binary, error double, probes array<int>"
+    schema = "id long, m long, label string, v binary, list int, codes binary, error double, probes array<int>"
     indexed = stash(points.select("id", "m", "v", "label").mapInArrow(assign, schema), "indexed")
     asked = indexed.select("id", "m", "label", "v", F.col("list").alias("home"), F.explode(F.concat(F.array("list"), "probes")).alias("list"))
     # numbers of chunks of each list's members and of the queries that probe it
@@ -180,12 +182,15 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     def search(p: pd.DataFrame) -> pd.DataFrame:
         return _search(p, index, dtype, least, reach)
 
-    found = d.select(cols).unionByName(q.select(cols)).groupBy("label", "list", "qc", "dc").applyInPandas(search, f"a {kind}, b {kind}, n long")
+    found = d.select(cols).unionByName(q.select(cols)).groupBy("label", "list", "qc", "dc").applyInPandas(search, "a long, b long, n long")
     found = stash(found, "links")
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a != b").select("a", "b"))
-    result = points.select("g", "id", "m").join(counts, "id", "left").join(comp, F.col("id") == F.col("node"), "left")
-    result = stash(result.select("g", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "point-results")
+    result = points.select("g", "id", "key", "m").join(counts, "id", "left").join(comp, F.col("id") == F.col("node"), "left")
+    result = stash(result.select("g", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"), "key"), "point-results")
+    # a component goes by its smallest key
+    least_key = result.groupBy("c").agg(F.min("key").alias("component_id"))
+    result = stash(lookup(result.select("g", "n_links", "c"), least_key, "c", "c", ["component_id"]).select("g", "n_links", "component_id"), "point-components")
     out = lookup(members, result, "g", "g", ["n_links", "component_id"])
     comp_id = F.when(F.col("g").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.col("key").eqNullSafe(comp_id).alias("kept"))
@@ -223,15 +228,15 @@ def _search(p: pd.DataFrame, index: Index, dtype: str, least: float, reach: floa
     return pd.DataFrame({"a": ids[hit], "b": ids[low[hit]], "n": n[hit].astype(np.int64)})
 
 
-
 ORACLE = """
-WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, * FROM embeddings),
+v AS (SELECT r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM w
   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT r, vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
-c AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT c.node, p.b FROM c JOIN p ON c.reach = p.a),
-m AS (SELECT node, min(reach) AS component_id FROM c GROUP BY node),
+p AS (SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+c AS (SELECT r AS node, r AS reach FROM w UNION SELECT c.node, p.b FROM c JOIN p ON c.reach = p.a),
+m AS (SELECT node, min(vec_id) AS component_id FROM c JOIN w ON w.r = c.reach GROUP BY node),
 k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
-SELECT e.vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
-FROM embeddings e JOIN m ON m.node = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+SELECT w.vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, m.component_id, w.vec_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM w JOIN m ON m.node = w.r LEFT JOIN k ON k.a = w.r
 """

@@ -16,8 +16,8 @@ def brute(rows, least=0.93):
                     links.append((i, j))
     for _ in rows:
         for i, j in links:
-            reach[i] = min(reach[i], reach[j])
-    return sorted((r[0], n[i], reach[i], r[0] == reach[i]) for i, r in enumerate(rows))
+            reach[i] = min((x for x in (reach[i], reach[j]) if x is not None), default=None)
+    return sorted(((r[0], n[i], reach[i], r[0] == reach[i]) for i, r in enumerate(rows)), key=str)
 
 
 def test_same_as_brute_force(spark):
@@ -28,8 +28,12 @@ def test_same_as_brute_force(spark):
             rows.append((len(rows) * 3 % 1009, [float(x) for x in np.float32(base + rng.normal(0, 0.28, 12) * (k > 0))], int(rng.integers(0, 3))))
     rows += [(rows[0][0], rows[0][1], rows[0][2]), (2000, rows[0][1], rows[0][2]), (2001, None, 1), (2002, [0.0] * 12, 1), (2003, [float("nan")] * 12, 1), (2004, [1.0, None] + [0.0] * 10, 1)]
     rows += [(2005, [], 1), (2006, rows[0][1], None), (2007, [1.0, 2.0], 1), (2008, [2.0, 4.0], 1), (2009, [float("inf")] * 12, 1)]
+    # keys that stand for several vectors, and null ones
+    x, y, z = np.eye(3, 12).tolist()
+    near = lambda v: [a + 0.01 for a in v]
+    rows += [(1, x, 9), (1, y, 9), (2, near(x), 9), (3, near(y), 9), (None, z, 9), (None, near(z), 9), (None, near(x), 9), (1, x, 8), (0, near(x), 8)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
-    got = sorted(tuple(r) for r in near_duplicates(df, lists=16).collect())
+    got = sorted((tuple(r) for r in near_duplicates(df, lists=16).collect()), key=str)
     assert got == brute(rows)
     assert near_duplicates(df.limit(0)).count() == 0
     assert near_duplicates(df.filter("vec_id > 2000 AND vec_id < 2003")).count() == 2
