@@ -50,8 +50,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Bytes of a word up to which words are hashed together; longer ones are hashed one by one.
 LONG = 128
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
@@ -70,7 +70,7 @@ def word_hashes(texts: pa.Array | Sequence[str | None], lower: bool = True) -> t
     if size:
         data[:size] = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     if lower:
-        data = _LOWER[data]
+        data = _LOWERED[data]
     at = at - at[0]
     inside = ~_IS_SPACE[data[:size]]
     before, after = np.zeros(size + 1, bool), np.zeros(size + 1, bool)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import cotrain, isolation
 from corpusloom.llm.rule_stats import STATS, text_stats
@@ -55,11 +56,29 @@ def test_forest_rules(spark):
 
 def test_path_lengths_isolate_outliers():
     rng = np.random.default_rng(1)
-    x = np.vstack([rng.normal(0, 1, (1000, len(isolation.LIMITS))), np.full((3, len(isolation.LIMITS)), 9.0)])
+    x = np.vstack([rng.normal(0, 1, (1000, 7)), np.full((3, 7), 9.0)])
     s = isolation.fit_forest(x).scores(x)
     assert set(np.argsort(s)[-3:]) == {1000, 1001, 1002}
 
 
+def test_path_lengths_by_walking():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (700, 4))
+    forest = isolation.fit_forest(x, trees=8, points=64, seed=5)
+
+    def path(t, row, node=0, depth=0):
+        f = forest.feature[t, node]
+        if f < 0:
+            return forest.path[t, node], depth
+        return path(t, row, 2 * node + 1 + int(row[f] >= forest.split[t, node]), depth + 1)
+
+    # a point at depth d among n points has the path d and what a tree of n points has on average
+    mean = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+    walked = [[path(t, row) for t in range(8)] for row in x]
+    assert np.allclose(forest.scores(x), [2 ** (-np.mean([p for p, _ in w]) / mean(64)) for w in walked])
+    assert all(p >= d for w in walked for p, d in w) and forest.norm == mean(64)
+
+
 def test_threshold():
     counts = [(100, 1, 990), (900, 1, 10), (800, 0, 50), (950, 0, 50)]
     assert 0.8 < isolation.choose_threshold(counts, 0.001) <= 0.95
@@ -70,7 +89,7 @@ def test_threshold():
 
 def test_co_training(spark):
     rows = corpus(900)
-    docs = spark.createDataFrame([r[:5] for r in rows] + [(2000, None, None, None, None), (1, rows[1][1], None, "en", 3)], "doc_id long, text string, source string, lang string, n_chars long").withColumnRenamed("x", "p_bad")
+    docs = spark.createDataFrame([r[:5] for r in rows] + [(2000, None, None, None, None), (1, rows[1][1], None, "en", 3)], "doc_id long, text string, source string, lang string, n_chars long").withColumn("p_bad", F.lit("x")).withColumn("quality", F.lit(0)).withColumn("kept", F.lit(False))
     labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] % 3 == 0], "doc_id long, quality int")
     out = cotrain.classify_quality(docs, labels).collect()
     assert len(out) == 902
