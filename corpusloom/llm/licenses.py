@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,8 +94,6 @@ TEMPLATES: dict[str, list[str]] = {
         "This document is confidential and proprietary and may not be copied without permission.",
     ],
 }
-# Every template holds one of these; a paragraph without any is never a licence.
-CUES = ("licen", "copyright", "permission", "permitted", "redistribut", "warrant", "rights reserved", "public domain", "cc0", "cc by", "free software", "mozilla public", "means", "apache", "gpl", "unencumbered", "confidential")
 # Ordinary sentences that use the same words, for the class of unknown paragraphs.
 OTHERS = [
     "She renewed her driver's license last week and paid the fee at the counter.",
@@ -115,6 +114,14 @@ OTHERS = [
     "MIT is a university in Cambridge, and its students publish widely.",
     "The GNU is an antelope, and BSD stands for many things.",
     "Version 2.0 of the game was released in the spring.",
+    "My cousin was licensed as a pilot under the MIT program.",
+    "The MIT license office is closed on Fridays.",
+    "The driver was licensed under the old law of the state.",
+    "He studied under the terms of a grant from the Mozilla foundation.",
+    "The general public was licensed to fish in the lake from version to version of the law.",
+    "The BSD and the GPL are older than many people who write software.",
+    "Creative people share their work in the commons room.",
+    "The film was released under the title of the book.",
 ]
 
 UNKNOWN = "unknown"
@@ -126,7 +133,6 @@ SENTENCES, LINES = 4, 16
 # The year and holder made up in a template, and what marks comments.
 _PLACEHOLDER = re.compile(r"2024 Example Corporation")
 _MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+!?|#+!?|;+|--+|<!--+|%+|>+|\"\"\"|dnl\b|rem\b)+|(?:\*+/|--+>)\s*$", re.I)
-_CUE = re.compile("|".join(c.replace(" ", r"\W+") for c in CUES))
 _SENTENCE = re.compile(r"(?<=[.:;])\s+(?=[A-Z])")
 _TOKEN = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 
@@ -218,7 +224,7 @@ def train(seed: int = 11) -> Model:
     temperature = min(losses, key=lambda t: losses[t][0])
     p = losses[temperature][1]
     threshold = max(0.5, float(p[target[held] == 0, 1:].max(initial=0.0)))
-    return Model(w, b, temperature, min(threshold, 0.9))
+    return Model(w, b, temperature, threshold)
 
 
 @lru_cache(maxsize=1)
@@ -227,30 +233,109 @@ def _template_grams() -> dict[str, list[frozenset[str]]]:
     return {f: [frozenset(g for part in _PLACEHOLDER.split(t) for g in grams(tokens(part))) for t in ts] for f, ts in TEMPLATES.items()}
 
 
+@lru_cache(maxsize=4)
+def _cues(least: float) -> ahocorasick.Automaton:
+    """Words of which a text holds one if its likeness with any template is at least `least`: of each template the
+    longest ones, until the n-grams without them are a lesser share of all."""
+    words = set()
+    for templates in _template_grams().values():
+        for t in templates:
+            left = set(t)
+            for w in sorted({w for g in t for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+                if len(left) < least * len(t):
+                    break
+                words.add(w)
+                left = {g for g in left if w not in g.split(" ")}
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def _cue_starts(text: str, least: float) -> list[int]:
+    return sorted(end + 1 - n for end, n in _cues(least).iter(text.lower()))
+
+
+def _has_cue(text: str, least: float) -> bool:
+    return next(_cues(least).iter(text.lower()), None) is not None
+
+
 def likeness(text: str, family: str) -> float:
-    """The largest share of a family template's word n-grams that the paragraph holds."""
-    own = set(grams(tokens(text)))
-    return max((len(own & t) / len(t) for t in _template_grams().get(family, [])), default=0.0)
+    """The largest share of a family template's word n-grams that a stretch of the paragraph holds. The stretch is as
+    long as the template and a quarter, as its words lie together where they are a licence."""
+    words, best = tokens(text), 0.0
+    found = [(i, g) for i in range(len(words)) for n in (1, 2, 3) if i + n <= len(words) and (g := " ".join(words[i : i + n])) in _all_grams()]
+    for t, size in zip(_template_grams().get(family, []), _template_sizes().get(family, []), strict=True):
+        held: dict[str, int] = {}
+        first, width = 0, size + size // 4 + 3
+        mine = [(i, g) for i, g in found if g in t]
+        for i, g in mine:
+            held[g] = held.get(g, 0) + 1
+            while mine[first][0] <= i - width:
+                g = mine[first][1]
+                held[g] -= 1
+                if not held[g]:
+                    del held[g]
+                first += 1
+            best = max(best, len(held) / len(t))
+    return best
+
+
+@lru_cache(maxsize=1)
+def _all_grams() -> frozenset[str]:
+    return frozenset(g for ts in _template_grams().values() for t in ts for g in t)
+
+
+@lru_cache(maxsize=1)
+def _template_sizes() -> dict[str, list[int]]:
+    return {f: [len(tokens(t)) for t in ts] for f, ts in TEMPLATES.items()}
+
+
+@lru_cache(maxsize=1)
+def _stretch() -> int:
+    """Words of the longest stretch that is compared with a template."""
+    size = max(n for sizes in _template_sizes().values() for n in sizes)
+    return size + size // 4 + 3
+
+
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Ranges of characters of twice the longest stretch, each beginning a stretch after the one before, so that each
+    stretch lies in one; the whole text if it is no longer."""
+    at = [m.start() for m in re.finditer(r"\S+", text)]
+    step = _stretch()
+    if len(at) <= 2 * step:
+        return [(0, len(text))]
+    return [(at[i], at[i + 2 * step] if i + 2 * step < len(at) else len(text)) for i in range(0, len(at) - step, step)]
 
 
 def _judge(parts: Iterable[str], model: Model, least: float) -> tuple[str, float, float] | None:
     """(family, probability, likeness) of the likest part that the template comparison confirms."""
     best = None
-    for part in dict.fromkeys(parts):
-        if not any(c in part.lower() for c in CUES):
+    for part in dict.fromkeys(part[a:b] for part in parts for a, b in _windows(part)):
+        # the comparison confirms nothing without a cue
+        if not _has_cue(part, least):
             continue
         p = model.probabilities(part)
         k = int(p.argmax())
-        if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) >= least and (best is None or (s, p[k]) > best[2:0:-1]):
+        if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) > least and (best is None or (s, p[k]) > best[2:0:-1]):
             best = (FAMILIES[k], float(p[k]), s)
     return best
 
 
 def _spans(joined: str, starts: list[int]) -> set[tuple[int, int]]:
     """Ranges of characters of joined lines: each run of up to SENTENCES sentences, and of up to LINES lines, as not
-    all text has full stops."""
+    all text has full stops; of long runs windows in which every stretch lies."""
     cuts = [0, *(m.end() for m in _SENTENCE.finditer(joined)), starts[-1]]
-    return {(places[i], places[j]) for places, most in ((cuts, SENTENCES), (starts, LINES)) for i in range(len(places) - 1) for j in range(i + 1, min(i + most, len(places) - 1) + 1)}
+    found, windows = set(), _windows(joined)
+    longest = max(b - a for a, b in windows)
+    for places, most in ((cuts, SENTENCES), (starts, LINES)):
+        for i in range(len(places) - 1):
+            for j in range(i + 1, min(i + most, len(places) - 1) + 1):
+                if places[j] - places[i] > longest:
+                    break
+                found.add((places[i], places[j]))
+    return found.union(windows)
 
 
 def _wrapped(lines: list[str], found: dict[int, tuple], model: Model, least: float) -> list[tuple[int, int, tuple]]:
@@ -259,7 +344,7 @@ def _wrapped(lines: list[str], found: dict[int, tuple], model: Model, least: flo
     the likest is taken, then the shortest."""
     joined, hits = " ".join(lines), []
     starts = [0, *accumulate(len(x) + 1 for x in lines)]
-    cues = [m.start() for m in _CUE.finditer(joined.lower())]
+    cues = _cue_starts(joined, least)
     for a, b in _spans(joined, starts):
         first, last, cue = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, bisect_left(cues, a)
         if first == last or cue == len(cues) or cues[cue] >= b or not (hit := _judge([joined[a:b]], model, least)):
@@ -292,14 +377,14 @@ def scan_text(text: str, model: Model, least: float) -> list[tuple[int, str, flo
     text); its number is that of its first line. The likeliest family that the template comparison confirms is taken.
     """
     out: list[tuple[int, str, float, float]] = []
-    if not _CUE.search(text.lower()):
+    if not _has_cue(text, least):
         return out
     run: list[str] = []
     for n, line in enumerate([*text.split("\n"), ""]):
         if bare := _MARKS.sub("", line).strip():
             run.append(bare)
             continue
-        if run and _CUE.search(" ".join(run).lower()):
+        if run and _has_cue(" ".join(run), least):
             out += _scan_run(n - len(run), run, model, least)
         run = []
     return out
@@ -310,7 +395,7 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
 
     family is that of the paragraph with the greatest likeness ('unknown' where none is confirmed, with 0 for the
     numbers); families lists all found, lines their line numbers. A paragraph counts if the classifier gives its
-    family at least the calibrated probability and holds at least `least` of a template's n-grams. Null and empty
+    family at least the calibrated probability and holds more than `least` of a template's n-grams in one stretch. Null and empty
     texts are unknown; of ties the first paragraph wins. No shuffle; other columns of docs are not read.
     """
     rows = docs.select(docs[key].alias("__key"), docs[text].cast("string").alias("__text"))
