@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import stash
 from .isolation import BINS, choose_threshold
-from .rule_stats import STATS, chunks, text_stats
+from .rule_stats import STATS, chunks, text_sizes, text_stats
 
 #: Buckets for words, sources and languages.
 WORDS, SOURCES, LANGS = 256, 64, 16
@@ -135,20 +135,24 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     """(key, p_text, p_page, p_bad, threshold, kept) of every row of docs.
 
     Both views learn from at most sample labelled and sample other rows, those of smallest key hash (labels: key,
-    quality; 1 good, 0 bad; the lowest of repeated ones, nulls ignored). The threshold on p_bad comes from all
-    labelled rows: the best gain with at most most_good of the good rows above it. Without both classes in the
-    sample nothing is rejected and probabilities are 0. Null texts are empty; null metadata have buckets of their
+    quality; 1 good, 0 bad; the lowest of repeated ones, nulls ignored). A fifth of the labelled keys, by hash, is kept
+    from them; the threshold on p_bad comes from all labelled rows of that fifth: the best gain with at most most_good
+    of the good rows above it (from all labelled rows if the fifth lacks a class). Without both classes in the sample
+    nothing is rejected and probabilities are 0. Null texts are empty; null metadata have buckets of their
     own; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(docs[key].alias("__key"), docs[text].cast("string").alias("__text"), docs[source].cast("string").alias("__source"), docs[lang].cast("string").alias("__lang"), docs[size].cast("long").alias("__size"))
     known = stash(labels.filter("quality IS NOT NULL").groupBy(F.col(key).alias("__k")).agg(F.min("quality").cast("int").alias("__quality")), "labels")
     hashed = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(seed))
-    taken = known.orderBy(hashed("__k"), "__k").limit(sample)
-    others = rows.select(F.col("__key").alias("__k")).orderBy(hashed("__k"), "__k").limit(sample).join(F.broadcast(taken), "__k", "left_anti").select("__k", F.lit(-1).alias("__quality"))
-    chosen = taken.unionByName(others.distinct())
-    # at most 2 x sample keys; a key may be repeated, so rows are bounded once more
-    drawn = rows.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).orderBy(hashed("__key"), "__key").limit(2 * sample)
-    seen = drawn.mapInArrow(_view_rows, "quality int, text binary, page binary").collect()
+    held = F.pmod(F.xxhash64(F.col("__k").cast("string"), F.lit(seed + 1)), F.lit(5)) == 0
+    taken = known.filter(~held).orderBy(hashed("__k"), "__k").limit(sample)
+    # labelled keys have to be no more than told apart from the others that are drawn: 2 x sample of them at most
+    others = stash(rows.select(F.col("__key").alias("__k")).orderBy(hashed("__k"), "__k").limit(sample), "others")
+    others = others.join(known.join(F.broadcast(others), "__k", "left_semi"), "__k", "left_anti").select("__k", F.lit(-1).alias("__quality"))
+    chosen = stash(taken.unionByName(others.distinct()), "drawn")
+    # at most 2 x sample keys; a key may be repeated, so rows are bounded once more, as views and not as texts
+    drawn = rows.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).withColumn("__hash", hashed("__key"))
+    seen = drawn.mapInArrow(_view_rows, "hash long, quality int, text binary, page binary").orderBy("hash", "quality", "page").limit(2 * sample).collect()
     model = None
     if seen:
         y = np.array([-1 if r["quality"] < 0 else 1 - int(r["quality"] > 0) for r in seen])
@@ -157,27 +161,31 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, src, lng, siz = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+            texts, (src, lng, siz) = batch.column(1), (batch.column(i).to_pylist() for i in (2, 3, 4))
             p = np.zeros((len(texts), 3))
             if model:
-                for a, b in chunks([len(t or "") for t in texts]):
-                    p[a:b] = model.score(text_view(texts[a:b]), page_view(src[a:b], lng[a:b], siz[a:b]))
+                for a, b in chunks(text_sizes(texts)):
+                    p[a:b] = model.score(text_view(texts.slice(a, b - a).to_pylist()), page_view(src[a:b], lng[a:b], siz[a:b]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3))], names=["__key", "p_text", "p_page", "p_bad"])
 
     scored = stash(rows.mapInArrow(run, f"__key {kind}, p_text double, p_page double, p_bad double"), "quality-scores")
     threshold = float("inf")
     if model:
         judged = scored.join(known, F.col("__key") == F.col("__k"))
-        counts = judged.groupBy(F.floor(F.col("p_bad") * BINS).cast("int").alias("b"), F.col("__quality").alias("q")).count().collect()
-        threshold = choose_threshold([(r["b"], r["q"], r["count"]) for r in counts], most_good)
+        found = judged.groupBy(F.floor(F.col("p_bad") * BINS).cast("int").alias("b"), F.col("__quality").alias("q"), held.alias("h")).count().collect()
+        counts = [(r["b"], r["q"], r["count"]) for r in found if r["h"]]
+        if len({q > 0 for _, q, _ in counts}) < 2:
+            counts = [(r["b"], r["q"], r["count"]) for r in found]
+        threshold = choose_threshold(counts, most_good)
     return scored.select(F.col("__key").alias(key), "p_text", "p_page", "p_bad", F.lit(threshold).alias("threshold"), (F.col("p_bad") < threshold).alias("kept"))
 
 
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        d = batch.to_pydict()
-        t, p = text_view(d["__text"]), page_view(d["__source"], d["__lang"], d["__size"])
-        yield pa.RecordBatch.from_arrays([pa.array(d["__quality"], pa.int32()), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=["quality", "text", "page"])
+        texts, source, lang, size = (batch.column(n) for n in ("__text", "__source", "__lang", "__size"))
+        p = page_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())
+        t = [r.tobytes() for a, b in chunks(text_sizes(texts)) for r in text_view(texts.slice(a, b - a).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("__hash"), batch.column("__quality").cast(pa.int32()), pa.array(t, pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=["hash", "quality", "text", "page"])
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

@@ -19,6 +19,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def magnitude(size: Column) -> Column:
+    """Binary digits of a size: by how much the mix favours longer documents."""
+    return F.length(F.bin(size))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts alone, so that reruns agree."""
     text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
@@ -115,20 +120,21 @@ def _rates(rows: DataFrame, targets: DataFrame, limit: float, uneven: bool) -> D
     """targets with __rate, the number for which min(limit, rate x favour) copies of each row make up the target."""
     if not uneven:
         return targets.withColumn("__rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = targets.withColumn("__rate", F.lit(0.0))
-    for _ in range(60):
+    rates = targets.withColumn("__rate", F.lit(0.0)).withColumn("__filled", F.lit(-1).cast("long"))
+    while True:
+        # rows that the present rate fills stay full, as rates only grow; without new ones the rate is found
         full = F.col("__rate") * F.col("__fav") >= limit
         sums = (
             rows.join(rates, F.col("__src").eqNullSafe(F.col("__tsrc")))
-            .groupBy("__tsrc", "source_size", "target", "__rate")
-            .agg(F.sum(F.when(full, F.col("__size") * limit).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("__size") * F.col("__fav"))).alias("open"))
+            .groupBy("__tsrc", "source_size", "target", "__rate", "__filled")
+            .agg(F.sum(F.when(full, F.col("__size") * limit).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("__size") * F.col("__fav"))).alias("open"), F.count_if(full).alias("full"))
         )
-        new = F.when(F.col("open") > 0, F.greatest(F.col("__rate"), (F.col("target") - F.col("fixed")) / F.col("open"))).otherwise(F.col("__rate"))
-        nxt = stash(sums.select("__tsrc", "source_size", "target", new.alias("__rate"), (new > F.col("__rate")).alias("__moved")), "mix-rate")
-        rates = nxt.drop("__moved")
-        if nxt.filter("__moved").isEmpty():
-            break
-    return rates
+        moved = (F.col("full") > F.col("__filled")) & (F.col("open") > 0)
+        new = F.when(moved, F.greatest(F.col("__rate"), (F.col("target") - F.col("fixed")) / F.col("open"))).otherwise(F.col("__rate"))
+        found = stash(sums.select("__tsrc", "source_size", "target", new.alias("__rate"), F.col("full").alias("__filled"), moved.alias("__moved")), "mix-rate")
+        rates = found.drop("__moved")
+        if found.filter("__moved").isEmpty():
+            return rates.drop("__filled")
 
 
 def _ranked(rows: DataFrame, rates: DataFrame, limit: float, seed: int) -> DataFrame:
@@ -200,9 +206,14 @@ o AS (SELECT *, row_number() OVER (ORDER BY lim / wt, source NULLS LAST) AS k,
         sum(source_size) OVER () AS total FROM w),
 l AS (SELECT arg_min((1.5 * total - fixed) / open_w, k) AS lev FROM o WHERE (1.5 * total - fixed) / open_w <= lim / wt),
 g AS (SELECT source, source_size, CAST(CASE WHEN total = 0 THEN 0 ELSE least(lim, wt * lev) END AS DOUBLE) AS target FROM o, l),
-e AS (SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS e,
+f AS (SELECT d.*, g.source_size, g.target, CAST(length(bin(d.size)) AS BIGINT) AS fav FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+s AS (SELECT source, any_value(target) AS target, fav, sum(size) AS n, sum(size * fav) AS nf FROM f GROUP BY source, fav),
+r AS (SELECT source, fav, target, coalesce(sum(2.0 * n) OVER (PARTITION BY source ORDER BY fav DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+        sum(nf) OVER (PARTITION BY source ORDER BY fav ROWS UNBOUNDED PRECEDING) AS open_nf FROM s),
+x AS (SELECT source, arg_max((target - fixed) / nullif(open_nf, 0), fav) AS rate FROM r WHERE coalesce((target - fixed) / nullif(open_nf, 0) * fav, 0) < 2 GROUP BY source),
+e AS (SELECT f.*, coalesce(least(2.0, x.rate * fav), CASE WHEN f.source_size > 0 THEN 2.0 ELSE 0 END) AS e,
         (CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+      FROM f LEFT JOIN x ON f.source IS NOT DISTINCT FROM x.source),
 q AS (SELECT *, floor(e) AS sure, e - floor(e) AS p, CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM e),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST) AS cum, sum(size) OVER (PARTITION BY source, q) AS n,
         target - sum(sure * size) OVER (PARTITION BY source) AS want FROM q)

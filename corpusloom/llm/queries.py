@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import cotrain, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    favour = mixing.magnitude(mixing.word_count(F.col("text")))
+    return mixing.pareto_mix(docs, favour=favour).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:

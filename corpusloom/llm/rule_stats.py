@@ -164,7 +164,8 @@ def document_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = text_stats(batch.column(1).to_pylist())
+            texts = batch.column(1)
+            s = np.concatenate([np.zeros((0, len(STATS)), np.int64), *(text_stats(texts.slice(a, b - a).to_pylist()) for a, b in chunks(text_sizes(texts)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(len(STATS)))], names=["__key", *STATS])
 
     kind = rows.schema["__key"].dataType.simpleString()
