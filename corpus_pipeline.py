@@ -2,12 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents.
+
+Nulls, empty and very long texts, ties, repeated rows and empty tables are defined as the operators' docstrings say: a
+null or empty text fails the base rules, rows that repeat a doc_id share its decisions but for the copies, of which one
+stays; other columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import cotrain, isolation, mixing, parity_join, prefix_bpe
 from corpusloom.session import stash
@@ -29,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.repeat_taken(docs)
+    """Each document as often as the mix takes it: not at all, once or twice. Longer documents are favoured."""
+    return mixing.repeat_taken(docs, favour=mixing.magnitude(mixing.word_count(F.col("text"))))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
