@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def build_session(app: str = "corpusloom", cores: str = "*", partitions: int = 8
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,12 +29,15 @@ def build_session(app: str = "corpusloom", cores: str = "*", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir, or a fresh local one where that is unset and all work
+    is done by this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
