@@ -52,16 +52,40 @@ def tokenize_question(text: Column, stop: Sequence[str]) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """(match, start) of all matches, 0-based: parts between matches and matches make up the text."""
-    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            m.alias("match"),
-            (F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"),
-        ),
-    )
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's argument is not put in wherever it is used, as columns are."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def match_offsets(text: Column, pattern: str, block: int = 64) -> Column:
+    """(match, start) of all matches, 0-based: parts between matches and matches make up the text.
+
+    Lengths are summed by blocks of matches, then within a match's block, so that the cost is linear in matches."""
+
+    def found(s: Column) -> Column:
+        sizes = F.transform(s["found"], lambda m, i: F.length(m) + F.length(F.get(s["parts"], i)))
+        return let(F.struct(s["found"].alias("found"), s["parts"].alias("parts"), sizes.alias("sizes")), summed)
+
+    def summed(s: Column) -> Column:
+        n = F.size(s["sizes"])
+        totals = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: _total(F.slice(s["sizes"], b * block + 1, F.lit(block))))
+        before = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+        return let(F.struct(s["found"].alias("found"), s["parts"].alias("parts"), s["sizes"].alias("sizes"), before.alias("before")), placed)
+
+    def placed(s: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            b = F.floor(i / block).cast("int")
+            start = F.get(s["before"], b) + _total(F.slice(s["sizes"], b * block + 1, i % block)) + F.length(F.get(s["parts"], i))
+            return F.struct(m.alias("match"), start.alias("start"))
+
+        return F.transform(s["found"], one)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("parts"))
+    return let(both, lambda s: F.when(F.size(s["found"]) > 0, found(s)).otherwise(F.array().cast("array<struct<match:string,start:int>>")))
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
 
 
 def lines(text: Column) -> Column:

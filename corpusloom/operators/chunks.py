@@ -7,38 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, strip, token_estimate
+from ..functions.text import let, lines, strip, token_estimate
 
 
-def chunk_numbers(sizes: Column, limit: int) -> Column:
-    """The chunk of each line: a chunk ends with the line that brings it to limit characters or more."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
+def chunk_starts(lines: Column, limit: int) -> Column:
+    """(line, heading) of each chunk, counted from 1: its first line, and the last '#' line at or before that (0 without
+    one). A chunk ends with the line that brings it to limit characters or more.
 
-    def add(s: Column, size: Column) -> Column:
-        full = s["held"] + size >= limit
-        return F.struct(F.when(full, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(full, 0).otherwise(s["held"] + size).alias("held"), F.array_append(s["out"], s["n"]).alias("out"))
+    One pass over the lines, which keeps chunks only."""
+    item = F.transform(lines, lambda x: F.struct((F.length(x) + 1).alias("size"), F.startswith(strip(x), F.lit("#")).alias("head")))
+    none = F.array().cast("array<struct<line:int,heading:int>>")
+    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("held"), F.lit(0).alias("heading"), none.alias("out"))
 
-    return F.aggregate(sizes, start, add, lambda s: s["out"])
+    def add(s: Column, x: Column) -> Column:
+        heading = F.when(x["head"], s["i"]).otherwise(s["heading"])
+        first = F.array_append(s["out"], F.struct(s["i"].alias("line"), heading.alias("heading")))
+        held = s["held"] + x["size"]
+        return F.struct((s["i"] + 1).alias("i"), F.when(held >= limit, 0).otherwise(held).alias("held"), heading.alias("heading"), F.when(s["held"] == 0, first).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(item, start, add, lambda s: s["out"])
 
 
 def line_chunks(texts: DataFrame, key: str = "file_id", text: str = "text", limit: int = 1600) -> DataFrame:
     """(key, seq, heading, content, token_count): lines are gathered until limit is reached; long lines stay whole.
 
-    The heading is the last '#' line at or before the chunk's first line. Chunks without text are left out. Only line
-    lengths go through the fold; each document is one row until its chunks are exploded."""
-    l = lines(F.col(text))  # noqa: E741
-    base = texts.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(F.col(key), l.alias("__l"))
-    base = base.withColumn("__n", chunk_numbers(F.transform("__l", lambda x: F.length(x) + 1), limit))
-    # the first line of each chunk, counted from 1
-    starts = F.filter(F.transform("__n", lambda n, i: F.when((i == 0) | (n != F.element_at("__n", F.greatest(i, F.lit(1)))), i + 1)), lambda x: x.isNotNull())
-    heads = F.transform("__l", lambda x, i: F.when(F.startswith(strip(x), F.lit("#")), i + 1))
-    base = base.withColumn("__s", starts).withColumn("__h", F.filter(heads, lambda x: x.isNotNull()))
-    row = base.select(key, "__l", "__s", "__h", F.posexplode("__s").alias("seq", "__from"))
-    until = F.coalesce(F.try_element_at("__s", F.col("seq") + 2), F.size("__l") + 1)
-    place = F.array_max(F.filter("__h", lambda h: h <= F.col("__from")))
-    heading = F.regexp_replace(F.element_at("__l", place), r"^#+\s*", "")
-    raw = F.array_join(F.slice("__l", F.col("__from"), until - F.col("__from")), "\n")
-    out = row.select(key, "seq", heading.alias("heading"), strip(raw).alias("content"), token_estimate(F.concat(raw, F.lit("\n"))).alias("token_count"))
+    The heading is the last '#' line at or before the chunk's first line, without '#' and space around it. Chunks without
+    text are left out. A document's chunks are made in one row, so that its lines are not copied for each of them."""
+
+    def cut(s: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(s["starts"], k + 1)["line"], F.size(s["lines"]) + 1)
+            heading = F.when(x["heading"] > 0, strip(F.regexp_replace(strip(F.get(s["lines"], x["heading"] - 1)), r"^#+", "")))
+            return F.struct(k.alias("seq"), heading.alias("heading"), F.array_join(F.slice(s["lines"], x["line"], until - x["line"]), "\n").alias("raw"))
+
+        return F.transform(s["starts"], one)
+
+    found = let(lines(F.col(text)), lambda l: let(F.struct(l.alias("lines"), chunk_starts(l, limit).alias("starts")), cut))  # noqa: E741
+    base = texts.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    row = base.select(key, F.explode(found).alias("c")).select(key, "c.*")
+    out = row.select(key, "seq", "heading", strip(F.col("raw")).alias("content"), token_estimate(F.concat("raw", F.lit("\n"))).alias("token_count"))
     return out.filter("content != ''")
 
 

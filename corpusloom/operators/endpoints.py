@@ -66,14 +66,14 @@ def endpoint_context(text: Column, start: Column, size: Column, around: int = 80
 def _matches(text: Column, n: int, kind: str, pattern: str, group: int) -> Column:
     def row(x: Column) -> Column:
         value = F.regexp_extract(x["match"], pattern, group) if group else x["match"]
-        start = x["start"] + F.instr(x["match"], value) - 1
-        return F.struct(F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(value).alias("key_value"), start.alias("start"), F.length(value).alias("size"))
+        return F.struct(F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(strip(value)).alias("key_value"), x["start"].alias("start"), F.length(x["match"]).alias("size"))
 
     return F.transform(match_offsets(text, pattern), row)
 
 
 def endpoint_matches(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, __t, pattern_no, key_type, key_value, start, size) of every match of every pattern; __t is the text."""
+    """(key, __t, pattern_no, key_type, key_value, start, size) of every match of every pattern; start and size tell
+    where the whole match is, __t is the text."""
     t = F.col(text)
     found = [_matches(t, n, *rule) for n, rule in enumerate(rules.ENDPOINTS)]
     # texts without any endpoint leave early: no offsets are counted for them

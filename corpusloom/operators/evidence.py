@@ -71,8 +71,7 @@ def local_evidence_chunks(relations: DataFrame, labels: DataFrame, chunks: DataF
 
     first = relations.filter("evidence_chunk_id IS NOT NULL").select("question_id", F.col("evidence_chunk_id").alias("chunk_id"), F.lit(0).alias("k"), F.col("rank").alias("a"), F.lit(0).alias("b"))
     few = labels.filter(F.col("place") < most_labels)
-    asked = few.select(F.monotonically_increasing_id().alias("question_id"), F.col("label").alias("question"))
-    hits = keyword_hits(asked, chunks, None).select(F.col("keyword"), "chunk_id")
+    hits = keyword_hits(None, chunks, None, words=few.select(F.lower("label").alias("keyword")).filter("keyword != ''").distinct()).select("keyword", "chunk_id")
     w = Window.partitionBy("question_id", "place").orderBy("chunk_id")
     more = few.withColumn("keyword", F.lower("label")).join(hits, "keyword").withColumn("b", F.row_number().over(w)).filter(F.col("b") <= per_label)
     every = first.unionByName(more.select("question_id", "chunk_id", F.lit(1).alias("k"), F.col("place").alias("a"), "b"))

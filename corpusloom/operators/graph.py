@@ -176,35 +176,39 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, max_iter: int = 12) -> DataFrame:
-    """(node, label): each node takes its neighbours' most frequent label, of equals the smallest, until no node would
-    change; 2 x max_iter half-steps at most.
+    """(node, label, converged): each node takes the label that most of its edges lead to, of equals the smallest, until
+    no node would change; 2 x max_iter half-steps at most. converged is false in all rows if some node still would.
 
-    In a half-step only the nodes of a class drawn anew by hash change, so that neighbours do not swap labels for
-    ever. Labels are written to the shared folder after each half-step."""
-    both = stash(_both(edges).distinct(), "neighbours")
+    Parallel edges count as often as they are there, in either direction. In a half-step only the nodes of a class
+    drawn anew by hash change, so that neighbours do not swap labels for ever. Labels are written to the shared folder
+    after each half-step."""
+    both = stash(_both(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "neighbours")
     labels = stash(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    converged = labels.isEmpty()
     for step in range(2 * max_iter):
-        votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+        votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("n").alias("n"))
         best = votes.groupBy("a").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
         turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
         new = labels.join(best, F.col("node") == F.col("a")).withColumn("wants", F.col("best") != F.col("label"))
         new = stash(new.select("node", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), "wants"), "labels")
         labels = new.select("node", "label")
-        if new.filter("wants").isEmpty():
+        if converged := new.filter("wants").isEmpty():
             break
-    return labels
+    return labels.withColumn("converged", F.lit(converged))
 
 
-def communities(labels: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+def communities(labels: DataFrame, edges: DataFrame, least: int = 2, shown: int = 1024) -> DataFrame:
     """(community_no, size, members): groups of `least` or more by size, then label; members by degree, then name, joined
-    by '、' and cut to 1024 characters. Numbers come from a range sort of the groups."""
+    by '、' and cut to `shown` characters. Numbers come from a range sort of the groups. Only the members that can be
+    shown are gathered in a row."""
     from ..sources.files import number_rows
 
-    j = labels.join(node_degree(edges), "node")
-    by = j.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), F.col("node").cast("string").alias("node")))).alias("m"))
-    by = by.filter(F.col("size") >= least).withColumn("order", -F.col("size"))
-    out = number_rows(by, ["order", "label"], "community_no")
-    return out.select((F.col("community_no") - 1).alias("community_no"), "size", F.substring(F.array_join(F.transform("m", lambda x: x["node"]), "、"), 1, 1024).alias("members"))
+    j = labels.select("node", "label").join(node_degree(edges), "node")
+    by = j.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+    w = Window.partitionBy("label").orderBy(F.desc("degree"), F.col("node").cast("string"))
+    first = j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= shown).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("r", F.col("node").cast("string").alias("node")))).alias("m"))
+    out = number_rows(by.join(first, "label").withColumn("order", -F.col("size")), ["order", "label"], "community_no")
+    return out.select((F.col("community_no") - 1).alias("community_no"), "size", F.substring(F.array_join(F.transform("m", lambda x: x["node"]), "、"), 1, shown).alias("members"))
 
 
 def community_context(members: DataFrame, most: int = 30) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as tx
 from ..operators import changes, chunks, classify, endpoints
+from ..session import fresh_path
 from ..sources import files as src
 from .fixtures import FILES, SNAPSHOTS, files, snapshots, table
 from .registry import query
@@ -188,7 +190,27 @@ def _(s, d):
     return chunks.line_chunks(files(s, d)).select("file_id", "seq", F.md5("content").alias("digest"), "token_count")
 
 
-@query("chunk_heading")
+# orders as texts with headings: a '#' line for each line item, then its figures
+_ORDER = "concat('  ## Line ', l_linenumber, '  ', chr(10), 'part ', l_partkey, chr(10), chr(10), '```', chr(10), 'supplier ', l_suppkey, chr(10))"
+ORDERS = "o AS (SELECT file_id, string_agg(part, '' ORDER BY n, part) AS text FROM (SELECT l_orderkey AS file_id, l_linenumber AS n, " + _ORDER + " AS part FROM lineitem) GROUP BY 1)"
+HEADED = r"""RECURSIVE """ + ORDERS + r""", l AS (SELECT file_id, string_split(regexp_replace(text, '\n+$', ''), chr(10)) AS a FROM o),
+w AS (SELECT file_id, a, 1 AS i, 0 AS n, 0 AS held FROM l UNION ALL SELECT file_id, a, i + 1, CASE WHEN held + length(a[i]) + 1 >= 60 THEN n + 1 ELSE n END, CASE WHEN held + length(a[i]) + 1 >= 60 THEN 0 ELSE held + length(a[i]) + 1 END FROM w WHERE i <= len(a)),
+c AS (SELECT file_id, n AS seq, any_value(a) AS a, min(i) AS first, trim(string_agg(a[i], chr(10) ORDER BY i), E' \n') AS content FROM w WHERE i <= len(a) GROUP BY 1, 2),
+h AS (SELECT file_id, seq, content, a[list_last(list_filter(range(1, first + 1), lambda j: starts_with(trim(a[j]), '#')))] AS line FROM c WHERE content <> '')"""
+
+
+def order_texts(s, d):
+    part = F.expr(_ORDER.replace("chr(10)", "'\n'"))
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("n"), part.alias("part"))
+    return li.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "").alias("text"))
+
+
+@query("chunk_heading", f"WITH {HEADED} SELECT file_id, seq, trim(ltrim(trim(line), '#')) AS heading, md5(content) AS digest FROM h")
+def _(s, d):
+    return chunks.line_chunks(order_texts(s, d), limit=60).select("file_id", "seq", "heading", F.md5("content").alias("digest"))
+
+
+@query("page_chunk_heading")
 def _(s, d):
     pages = table(s, d, "pages").select(F.col("page_id").alias("file_id"), src.html_page_text(F.col("html")).alias("text"))
     return chunks.line_chunks(pages, limit=400).select("file_id", "seq", "heading")
@@ -205,7 +227,12 @@ def _(s, d):
     return chunks.overlap_chunks(files(s, d)).select("file_id", "seq", F.md5("content").alias("digest"))
 
 
-@query("split_sections")
+@query("split_sections", "SELECT l_orderkey AS file_id, section, 'Line ' || n AS title, md5('part ' || p || chr(10) || 'supplier ' || u) AS digest FROM (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS u, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, " + _ORDER + ") AS section FROM lineitem)")
+def _(s, d):
+    return chunks.split_sections(order_texts(s, d)).select("file_id", "section", "title", F.md5("content").alias("digest"))
+
+
+@query("page_sections")
 def _(s, d):
     pages = table(s, d, "pages").select(F.col("page_id").alias("file_id"), src.html_page_text(F.col("html")).alias("text"))
     return chunks.split_sections(pages).select("file_id", "section", "title", F.md5("content").alias("digest"))
@@ -355,7 +382,8 @@ IPS = r"""ip AS (SELECT DISTINCT doc_id AS file_id, 'IP_PORT' AS key_type, v AS
 
 @query("extract_endpoints", f"WITH {IPS} SELECT * FROM ip")
 def _(s, d):
-    return endpoints.extract_endpoints(files(s, d)).filter("key_type = 'IP_PORT'").select("file_id", "key_type", "key_value")
+    # documents hold addresses only; config_endpoints has the other kinds
+    return endpoints.extract_endpoints(files(s, d)).select("file_id", "key_type", "key_value")
 
 
 @query("endpoint_matches", r"SELECT file_id, key_type, key_value, count(*) AS n FROM (SELECT doc_id AS file_id, 'IP_PORT' AS key_type, unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b')) AS key_value FROM documents WHERE regexp_matches(text, '\d\.\d')) WHERE NOT regexp_matches(key_value, '^(127\.0\.0\.1|0\.0\.0\.0)') GROUP BY 1, 2, 3")
@@ -423,3 +451,96 @@ def _(s, d):
 def _(s, d):
     lab = table(s, d, "labels").select(F.col("doc_id").alias("file_id"), F.when(F.col("quality") == 0, "REFERENCE").otherwise("IN_SCOPE").alias("status"))
     return endpoints.extract_scope(files(s, d).join(lab, "file_id", "left")).select("file_id")
+
+
+def _list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _holds(column, values):
+    return f"len(list_filter({_list(values)}, lambda x: contains({column}, x))) > 0"
+
+
+# line items as endpoint values, some of them noise, with text around them
+_VALUE = "CASE l_partkey % 8 WHEN 0 THEN concat('10.', l_suppkey % 300, '.', l_linenumber, '.', l_partkey % 256) WHEN 1 THEN concat(l_suppkey % 300, '.7.', l_linenumber, '.', l_partkey % 256, ':', 80 + l_linenumber) WHEN 2 THEN concat('db', l_suppkey, '.internal:', 5000 + l_linenumber) WHEN 3 THEN 'localhost:8080' WHEN 4 THEN concat('https://docs.spring.io/', l_partkey) WHEN 5 THEN concat('http://svc', l_suppkey, '.corp/api?q=', l_partkey, '\")`;') WHEN 6 THEN concat('172.', l_suppkey % 40, '.0.', l_linenumber) ELSE concat('your-host-', l_partkey, ',') END"
+_KIND = "CASE WHEN l_partkey % 8 IN (0, 1, 6) THEN 'IP_PORT' WHEN l_partkey % 8 IN (4, 5) THEN 'URL' ELSE 'HOST_PORT' END"
+_AROUND = "CASE l_suppkey % 5 WHEN 0 THEN 'An Example: use ' WHEN 1 THEN '部署 example at ' WHEN 2 THEN '请替换 this: ' WHEN 3 THEN '' ELSE 'plain text ' END"
+VALUES = f"v AS (SELECT l_orderkey, l_linenumber, l_partkey, {_KIND} AS kind, {_VALUE} AS value, {_AROUND} AS around FROM lineitem)"
+_IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
+_PLAIN_IP = """(len(string_split(split_part(value, ':', 1), '.')) = 4 AND len(list_filter(string_split(split_part(value, ':', 1), '.'), lambda p: coalesce(TRY_CAST(p AS INTEGER) BETWEEN 0 AND 255, false))) = 4
+  AND (contains(value, ':') OR regexp_matches(value, '^(10\\.|127\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)')))""".replace("\\\\", "\\")
+
+
+def _values(s, d):
+    return table(s, d, "lineitem").select(*_IDS, F.expr(_KIND).alias("kind"), F.expr(_VALUE).alias("value"), F.expr(_AROUND).alias("around"))
+
+
+@query("trim_trailing_punct", f"WITH {VALUES} SELECT l_orderkey, l_linenumber, l_partkey, rtrim(value, '`''\",);|\\') AS value FROM v")
+def _(s, d):
+    return _values(s, d).select(*_IDS, endpoints.trim_trailing_punct(F.col("value")).alias("value"))
+
+
+@query("plausible_ip", f"WITH {VALUES} SELECT l_orderkey, l_linenumber, l_partkey, {_PLAIN_IP} AS ok FROM v")
+def _(s, d):
+    return _values(s, d).select(*_IDS, endpoints.plausible_ip(F.col("value")).alias("ok"))
+
+
+@query("endpoint_noise", f"""WITH {VALUES} SELECT l_orderkey, l_linenumber, l_partkey, length(value) < 3 OR {_holds("lower(value)", rules.VALUE_MARKERS)} OR (kind = 'URL' AND {_holds("lower(value)", rules.DOC_DOMAINS)})
+  OR (kind = 'HOST_PORT' AND (list_contains({_list(rules.HOST_BLACKLIST)}, split_part(lower(value), ':', 1)) OR regexp_matches(split_part(value, ':', 1), '^[0-9]+$'))) OR (kind = 'IP_PORT' AND NOT {_PLAIN_IP}) AS noise FROM v""")
+def _(s, d):
+    return _values(s, d).select(*_IDS, endpoints.endpoint_noise(F.col("kind"), F.col("value")).alias("noise"))
+
+
+@query("example_context", f"""WITH {VALUES} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {_holds("lower(around)", rules.REAL_MARKERS)} THEN false WHEN {_holds("lower(around)", rules.EXAMPLE_MARKERS)} THEN true
+  ELSE (starts_with(value, '192.168.') OR starts_with(value, '10.') OR starts_with(value, '172.')) AND {_holds("lower(around)", rules.REPLACE_MARKERS)} END AS example FROM v""")
+def _(s, d):
+    return _values(s, d).select(*_IDS, endpoints.example_context(F.col("around"), F.col("value")).alias("example"))
+
+
+# a fence opens before every value, and closes again for odd line numbers
+_FENCED = "concat(around, 'api call', chr(10), '```sh', chr(10), 'run', chr(10), CASE WHEN l_linenumber % 2 = 1 THEN concat('```', chr(10)) ELSE '' END, value)"
+
+
+@query("example_code_block", f"""WITH {VALUES}, b AS (SELECT *, {_FENCED.replace(", value)", ")")} AS before FROM v), k AS (SELECT *, l_linenumber % 2 = 0 AS open, lower(CASE WHEN l_linenumber % 2 = 0 THEN split_part(before, '```', 1) ELSE before END) AS lead FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, open AND (contains(right(lead, 160), 'api') OR contains(right(lead, 160), 'example')) AS fenced FROM k""")
+def _(s, d):
+    v = _values(s, d)
+    text = F.expr(_FENCED.replace("chr(10)", "'\n'"))
+    start = F.length(text) - F.length("value")
+    return v.select(*_IDS, endpoints.example_code_block(text, start, F.col("around")).alias("fenced"))
+
+
+@query("endpoint_context", """WITH p AS (SELECT conv_id, turn, 'head' || chr(10) || '## part ' || turn || chr(10) || text || chr(10) || '# next ' || text AS t, length('head## part ') + 2 + length(CAST(turn AS VARCHAR)) + length(text) // 2 AS start FROM conversations)
+SELECT conv_id, turn, substr(trim(replace(regexp_replace(substr(t, greatest(start - 79, 1), least(start, 80)), '(?s)^.*(\n#{1,3} )', '\\1') || substr(t, start + 1, 6) || regexp_replace(substr(t, start + 7, 80), '(?s)\n#{1,3} .*$', ''), chr(10), ' ')), 1, 512) AS context FROM p""")
+def _(s, d):
+    turn, text = F.col("turn").cast("string"), F.col("text")
+    t = F.concat(F.lit("head\n## part "), turn, F.lit("\n"), text, F.lit("\n# next "), text)
+    start = F.length(F.lit("head## part ")) + 2 + F.length(turn) + F.floor(F.length(text) / 2).cast("int")
+    return table(s, d, "conversations").select("conv_id", "turn", endpoints.endpoint_context(t, start, F.lit(6)).alias("context"))
+
+
+@query("dedupe_first", f"WITH {VALUES} SELECT l_orderkey AS file_id, key_type, key_value, pattern_no, start FROM (SELECT l_orderkey, kind AS key_type, regexp_extract(value, '^[a-z0-9]+') AS key_value, l_linenumber AS pattern_no, l_partkey AS start, row_number() OVER (PARTITION BY l_orderkey, kind, regexp_extract(value, '^[a-z0-9]+') ORDER BY l_linenumber, l_partkey) AS r FROM v) WHERE r = 1")
+def _(s, d):
+    v = _values(s, d).select(F.col("l_orderkey").alias("file_id"), F.col("kind").alias("key_type"), F.regexp_extract("value", "^[a-z0-9]+", 0).alias("key_value"), F.col("l_linenumber").alias("pattern_no"), F.col("l_partkey").alias("start"))
+    return endpoints.dedupe_first(v)
+
+
+# orders as configurations that name each kind of endpoint
+_CONFIG = "concat('jdbc:mysql://db', o_custkey % 50, '.corp:3306/app', chr(10), 'see https://svc', o_orderkey, '.corp/api, or redis://cache', o_custkey % 7, ':6379/1 and amqp://mq.corp:5672/', o_orderkey % 9, ';', chr(10), 'node 10.', o_orderkey % 256, '.', o_custkey % 256, '.3 or 8.8.4.', o_custkey % 256, ':53', chr(10), 'Broker = kafka', o_orderkey % 11, '.corp:9092, host: localhost:80', chr(10), 'docs https://docs.spring.io/x')"
+
+
+@query("config_endpoints", """WITH e AS (SELECT o_orderkey AS file_id, unnest([{'t': 'JDBC_URL', 'v': 'jdbc:mysql://db' || o_custkey % 50 || '.corp:3306/app'}, {'t': 'URL', 'v': 'https://svc' || o_orderkey || '.corp/api'}, {'t': 'REDIS_URL', 'v': 'redis://cache' || o_custkey % 7 || ':6379/1'},
+  {'t': 'MQ_URL', 'v': 'amqp://mq.corp:5672/' || o_orderkey % 9}, {'t': 'IP_PORT', 'v': '10.' || o_orderkey % 256 || '.' || o_custkey % 256 || '.3'}, {'t': 'IP_PORT', 'v': '8.8.4.' || o_custkey % 256 || ':53'}, {'t': 'HOST_PORT', 'v': 'kafka' || o_orderkey % 11 || '.corp:9092'}]) AS x FROM orders)
+SELECT DISTINCT file_id, x.t AS key_type, x.v AS key_value FROM e""")
+def _(s, d):
+    texts = table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.expr(_CONFIG.replace("chr(10)", "'\n'")).alias("text"))
+    return endpoints.extract_endpoints(texts).select("file_id", "key_type", "key_value")
+
+
+@query("write_project_tables", f"WITH {FILES} SELECT project, count(*) AS n, CASE WHEN project = 'src1' THEN 'new' ELSE 'old' END AS state FROM f GROUP BY 1")
+def _(s, d):
+    path, f = fresh_path(s, "project-tables"), files(s, d).select("project", "file_id")
+    src.write_project_tables(f.withColumn("state", F.lit("old")), path)
+    # only the partition of the project that is written again changes
+    src.write_project_tables(f.filter("project = 'src1'").withColumn("state", F.lit("new")), path)
+    return s.read.parquet(path).groupBy(F.col("project").cast("string").alias("project"), "state").agg(F.count(F.lit(1)).alias("n")).select("project", "n", "state")

@@ -163,6 +163,28 @@ def _(s, d):
 REGION = "m AS (SELECT r_name AS community, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS rank, n_name AS label, 'NATION' AS type, 'key ' || n_nationkey AS summary FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
+# the line items of an order, each linked with each
+CLIQUES = "n AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS node, l_orderkey AS o FROM lineitem), g AS (SELECT o, count(*) AS size, min(node) AS low FROM n GROUP BY 1 HAVING count(*) > 1)"
+
+
+def _cliques(s, d):
+    n = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("o")).distinct()
+    return n.select("o", F.col("node").alias("source")).join(n.select("o", F.col("node").alias("target")), "o").filter("source < target").select("source", "target")
+
+
+@query("label_propagation_cliques", f"WITH {CLIQUES} SELECT node, low AS community, true AS converged FROM n JOIN g ON g.o = n.o")
+def _(s, d):
+    found = graph.label_propagation(_cliques(s, d))
+    low = found.groupBy("label").agg(F.min("node").alias("community"))
+    return found.join(low, "label").select("node", "community", "converged")
+
+
+@query("communities_cliques", f"WITH {CLIQUES} SELECT g.size, string_agg(node, '、' ORDER BY CAST(node AS VARCHAR)) AS members FROM n JOIN g ON g.o = n.o GROUP BY g.o, g.size")
+def _(s, d):
+    e = _cliques(s, d)
+    return graph.communities(graph.label_propagation(e), e).select("size", "members")
+
+
 @query("community_context", f"WITH {REGION} SELECT community, string_agg('- ' || label || '（NATION）：' || summary, chr(10) ORDER BY rank) AS context, string_agg(label, '、' ORDER BY rank) FILTER (rank <= 6) AS summary FROM m GROUP BY 1")
 def _(s, d):
     from pyspark.sql import Window

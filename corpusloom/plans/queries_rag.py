@@ -87,9 +87,9 @@ def _slice(n):
     return f"regexp_replace(lower(substr(text, 1, {n})), '{_PUNCT}', '', 'g')"
 
 
-@query("metadata_score", rf"""WITH {KW}, {BOOST}, m AS (SELECT d.doc_id, {_norm("source || '/' || lang || '/doc_' || d.doc_id || '.md doc_' || d.doc_id || '.md   ' || substr(d.text, 1, 60)")} AS meta, 'doc' || d.doc_id || 'md' AS nm, boost FROM documents d JOIN bo ON bo.doc_id = d.doc_id),
+@query("metadata_score", rf"""WITH {KW}, {BOOST}, m AS (SELECT d.doc_id, {_norm("source || '/' || lang || '/doc_' || d.doc_id || '.md doc_' || d.doc_id || '.md'")} AS nm, {_norm("substr(d.text, 1, 60)")} AS sm, boost FROM documents d JOIN bo ON bo.doc_id = d.doc_id),
 kk AS (SELECT q.question_id, {_norm('b.text')} AS core, unnest(q.k) AS w FROM kw q JOIN benchmark b ON b.item_id = q.question_id),
-p AS (SELECT question_id, doc_id, any_value(boost) AS boost, sum(CASE WHEN contains(meta, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END + CASE WHEN contains(nm, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END) / 100.0::DOUBLE + CASE WHEN contains(any_value(meta), any_value(core)) THEN 8 ELSE 0 END AS x FROM kk, m GROUP BY 1, 2)
+p AS (SELECT question_id, doc_id, any_value(boost) AS boost, sum(CASE WHEN contains(meta, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END + CASE WHEN contains(nm, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END) / 100.0::DOUBLE + CASE WHEN contains(any_value(meta), any_value(core)) THEN 8 ELSE 0 END + CASE WHEN contains(any_value(nm), any_value(core)) THEN 10 ELSE 0 END AS x FROM kk, (SELECT *, nm || sm AS meta FROM m) GROUP BY 1, 2)
 SELECT question_id, doc_id AS chunk_id, round(x * boost, 6) AS score FROM p WHERE x >= 1.8""")
 def _(s, d):
     out = retrieval.metadata_scores(questions(s, d), _files(s, d), _chunks(s, d))
@@ -148,11 +148,14 @@ def _(s, d):
     return _ranked(s, d).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("keyword_coverage", rf"WITH {KW} SELECT question_id, count(*) FILTER (contains(tn, w)) AS hits FROM (SELECT question_id, unnest(k) AS w FROM kw) q, (SELECT string_agg(t, ' ' ORDER BY doc_id) AS tn FROM (SELECT doc_id, {_norm('text')} AS t FROM documents WHERE false)) GROUP BY 1")
+@query("keyword_coverage", rf"""WITH {KW}, tx AS (SELECT doc_id, {_norm('text')} AS tn FROM documents) SELECT kw.question_id, doc_id AS chunk_id, round(least(1.0::DOUBLE, len(list_filter(k, lambda w: contains(tn, w)))::DOUBLE / least(len(k), 8)), 6) AS coverage
+FROM kw JOIN benchmark b ON b.item_id = kw.question_id JOIN tx ON doc_id = kw.question_id WHERE len(k) > 0""")
 def _(s, d):
-    q = questions(s, d)
-    cov = retrieval.keyword_coverage(tx.tokenize_question(F.col("question"), STOP_WORDS), tx.normalize_text(F.lit("")))
-    return q.select("question_id", cov.cast("long").alias("hits"))
+    # each question with the document of its number
+    q = questions(s, d).select("question_id", tx.tokenize_question(F.col("question"), STOP_WORDS).alias("kw")).filter("size(kw) > 0")
+    t = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), tx.normalize_text(F.col("text")).alias("tn"))
+    j = q.join(t, F.col("question_id") == F.col("chunk_id"))
+    return j.select("question_id", "chunk_id", F.round(retrieval.keyword_coverage(F.col("kw"), F.col("tn")), 6).alias("coverage"))
 
 
 @query("keyword_coverage_ranked", rf"""WITH {SCORES}, {SIM}, {POOL}, {RANK} SELECT r.question_id, chunk_id, round(CASE WHEN len(k) = 0 THEN 0 ELSE least(1.0::DOUBLE, len(list_filter(k, lambda w: contains(tn, w)))::DOUBLE / greatest(1, least(len(k), 8))) END, 6) AS coverage
@@ -164,6 +167,33 @@ def _(s, d):
     return _ranked(s, d).select("question_id", "chunk_id").join(q, "question_id").join(t, "chunk_id").select("question_id", "chunk_id", F.round(cov, 6).alias("coverage"))
 
 
+# the whole retrieval, written from what each step is to give: canonical files in scope, hits and metadata, pool, rerank
+RETRIEVE = rf"""{HITS}, {BOOST},
+us AS (SELECT doc_id, path, summary, text, boost FROM (SELECT d.doc_id, d.text, boost, d.source || '/' || d.lang || '/doc_' || d.doc_id || '.md' AS path, substr(d.text, 1, 60) AS summary, coalesce(toxic, 0) = 0 AND coalesce(quality, 1) = 1 AS ok,
+  row_number() OVER (PARTITION BY d.source, sha256(d.text) ORDER BY coalesce(quality, 0) DESC, length(d.source || d.lang || d.doc_id), d.doc_id) AS r FROM documents d JOIN bo ON bo.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE r = 1 AND ok),
+m AS (SELECT doc_id, boost, {_norm("path || ' doc_' || doc_id || '.md'")} AS nm, {_norm("summary")} AS sm FROM us),
+kk AS (SELECT q.question_id, {_norm('b.text')} AS core, unnest(q.k) AS w FROM kw q JOIN benchmark b ON b.item_id = q.question_id),
+me AS (SELECT question_id, doc_id AS chunk_id, x * boost AS w FROM (SELECT question_id, doc_id, any_value(boost) AS boost, sum(CASE WHEN contains(nm || sm, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END + CASE WHEN contains(nm, w) THEN CASE WHEN length(w) >= 4 THEN 120 ELSE 45 END ELSE 0 END) / 100.0::DOUBLE
+  + CASE WHEN contains(any_value(nm || sm), any_value(core)) THEN 8 ELSE 0 END + CASE WHEN contains(any_value(nm), any_value(core)) THEN 10 ELSE 0 END AS x FROM kk, m GROUP BY 1, 2) WHERE x >= 1.8),
+ra AS (SELECT question_id, chunk_id, CAST(sum(w) AS DOUBLE) AS raw FROM (SELECT question_id, hc.chunk_id, CAST((1.0::DOUBLE / ln(2 + df)) * boost AS DECIMAL(18,9)) AS w FROM (SELECT question_id, unnest(k) AS keyword FROM kw) q JOIN hc ON hc.keyword = q.keyword JOIN hd ON hd.keyword = q.keyword JOIN us ON doc_id = hc.chunk_id
+  UNION ALL SELECT question_id, chunk_id, CAST(w AS DECIMAL(18,9)) FROM me) GROUP BY 1, 2),
+lx AS (SELECT question_id, chunk_id, s / max(s) OVER (PARTITION BY question_id) AS lex FROM (SELECT question_id, chunk_id, raw / (1 + ln(1 + length(text) / 200.0::DOUBLE)) AS s FROM ra JOIN us ON doc_id = chunk_id)),
+tx AS (SELECT doc_id, {_norm("path || ' ' || summary || ' ' || text")} AS tn FROM us), qx AS (SELECT item_id, {_norm('text')} AS qn FROM benchmark),
+qe AS (SELECT item_id AS question_id, len(g) AS nq, unnest(g) AS g FROM (SELECT item_id, list_distinct(list_transform(range(1, length(qn)), lambda i: substr(qn, i, 2))) AS g FROM qx)),
+te AS (SELECT doc_id AS chunk_id, len(g) AS nt, unnest(g) AS g FROM (SELECT doc_id, list_distinct(list_transform(range(1, least(length(tn), 8000)), lambda i: substr(tn, i, 2))) AS g FROM tx)),
+si AS (SELECT question_id, chunk_id, round(least(1.0::DOUBLE, 0.35::DOUBLE * (2.0::DOUBLE * count(*) / (any_value(nq) + any_value(nt))) + 0.65::DOUBLE * (count(*)::DOUBLE / any_value(nq))), 9) AS sem FROM qe JOIN te ON qe.g = te.g GROUP BY 1, 2),
+po AS (SELECT question_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sem DESC, chunk_id) AS r FROM si WHERE sem >= 0.08) WHERE r <= 80 UNION SELECT question_id, chunk_id FROM lx),
+sc AS (SELECT po.question_id, po.chunk_id, round(least(1.0::DOUBLE, 0.52::DOUBLE * coalesce(lex, 0) + 0.33::DOUBLE * coalesce(sem, 0) + 0.15::DOUBLE * least(1.0::DOUBLE, len(list_filter(k, lambda w: contains(tn, w)))::DOUBLE / least(len(k), 8)) + CASE WHEN length(qn) >= 3 AND contains(tn, qn) THEN 0.12::DOUBLE ELSE 0 END), 9) AS score
+  FROM po JOIN kw ON kw.question_id = po.question_id AND len(k) > 0 JOIN tx ON doc_id = po.chunk_id JOIN qx ON item_id = po.question_id LEFT JOIN lx ON lx.question_id = po.question_id AND lx.chunk_id = po.chunk_id LEFT JOIN si ON si.question_id = po.question_id AND si.chunk_id = po.chunk_id)
+SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score >= 0.06) WHERE rank <= 10"""
+
+
+@query("retrieve", f"WITH {RETRIEVE}")
+def _(s, d):
+    f = _files(s, d).join(files(s, d).select("file_id", "project", "sha256", "deleted"), "file_id")
+    return retrieval.retrieve(questions(s, d), _chunks(s, d), f).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("naive_keyword_topk", rf"""WITH {KW}, w AS (SELECT question_id, unnest(k) AS w FROM kw), c AS (SELECT question_id, doc_id AS chunk_id, sum((length(t) - length(replace(t, w, ''))) // length(w)) AS hits FROM w JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON contains(t, w) GROUP BY 1, 2)
 SELECT question_id, chunk_id, CAST(hits AS BIGINT) AS hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, chunk_id) AS rank FROM c) WHERE rank <= 3""")
 def _(s, d):
@@ -221,10 +251,13 @@ def _(s, d):
     return evidence.graph_facts(seeds, e, evidence.local_relations(seeds, _relations(s, d)))
 
 
-@query("local_evidence_chunks")
+# the first two words of each benchmark text as a label, and the item itself as evidence
+@query("local_evidence_chunks", r"""WITH l AS (SELECT item_id AS q, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS label FROM benchmark),
+h AS (SELECT q, doc_id AS c, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS b FROM l JOIN documents ON contains(lower(text), label) WHERE label <> ' '), x AS (SELECT item_id AS q, item_id AS c, 0 AS k, 1 AS a, 0 AS b FROM benchmark UNION ALL SELECT q, c, 1, 0, b FROM h WHERE b <= 2),
+o AS (SELECT q, c, min((k, a, b)) AS place FROM x GROUP BY 1, 2) SELECT q AS question_id, c AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place, c) AS rank FROM o) WHERE rank <= 8""")
 def _(s, d):
     q = questions(s, d)
-    labels = retrieval.question_keywords(q).select("question_id", F.col("keyword").alias("label"), "place")
+    labels = q.select("question_id", F.concat_ws(" ", F.split_part("question", F.lit(" "), F.lit(1)), F.split_part("question", F.lit(" "), F.lit(2))).alias("label"), F.lit(0).alias("place")).filter("label != ' '")
     rel = q.select("question_id", F.lit(1).alias("rank"), F.col("question_id").alias("evidence_chunk_id"))
     return evidence.local_evidence_chunks(rel, labels, _chunks(s, d), q.select("question_id", F.lit(-1).cast("long").alias("chunk_id")))
 
@@ -503,7 +536,7 @@ def _(s, d):
     return _report(s, d)
 
 
-@query("scan_report_json")
+@query("scan_report_json", f"""{REPORT}, g AS (SELECT section, '{{' || string_agg('"' || coalesce(name, '') || '":' || n, ',' ORDER BY coalesce(name, '')) || '}}' AS m FROM r GROUP BY 1) SELECT '{{' || string_agg('"' || section || '":"' || replace(m, '"', '\\"') || '"', ',' ORDER BY section) || '}}' AS json FROM g""")
 def _(s, d):
     return reports.scan_report_json(_report(s, d))
 
