@@ -32,7 +32,7 @@ def normalize_query(text: Column, suffixes: Sequence[str]) -> Column:
     """normalize_text without colloquial endings, each taken off once in the order given."""
     out = normalize_text(text)
     for s in suffixes:
-        out = F.when(F.endswith(out, F.lit(s)), F.substring(out, F.lit(1), F.length(out) - len(s))).otherwise(out)
+        out = F.regexp_replace(out, rf"\Q{s}\E$", "")
     return out
 
 
