@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, warc
+from . import cotrain, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, runs, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +59,33 @@ def op10_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def planted_period(key: int | None, n: int) -> np.ndarray | None:
+    """The places of the words of every tenth document (by checksum of its key), from some word on in a period."""
+    h = zlib.crc32(str(key).encode())
+    g = h // 10
+    if key is None or h % 10 or not n:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def period_columns(found: DataFrame) -> DataFrame:
+    best = found.withColumn("__best", runs.strongest(F.col("runs")))
+    start, length, period = (F.col(f"__best.{c}") for c in ("start", "length", "period"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("__best.length * 1000 div __best.period").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_columns(runs.collapse_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=planted_period))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_context_coder": op2_context_coder,
@@ -67,6 +97,7 @@ QUERIES = {
     "op8_license_paragraphs": op8_license_paragraphs,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_host_suffix_array": op10_host_suffix_array,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 #: The others cannot be said in SQL; their tests compare them with brute force or held-out labels.
 ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op3_product_quantisation": pq_dedup.ORACLE, "op9_warc_revisits": warc.ORACLE}
