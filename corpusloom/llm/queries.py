@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, runs, warc
+from . import conversation_trie, cotrain, debruijn, html_extract, id_files, isolation, licenses, mixing, parity_join, pq_dedup, prefix_bpe, runs, warc
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,15 @@ def op10_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", debruijn.span_words(F.col("spans")).alias("n_removed"), "kept_sha256")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), block=20, lent=4)
+
+
 def planted_period(key: int | None, n: int) -> np.ndarray | None:
     """The places of the words of every tenth document (by checksum of its key), from some word on in a period."""
     h = zlib.crc32(str(key).encode())
@@ -97,7 +106,15 @@ QUERIES = {
     "op8_license_paragraphs": op8_license_paragraphs,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_host_suffix_array": op10_host_suffix_array,
+    "op11_de_bruijn_repeats": op11_de_bruijn_repeats,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 #: The others cannot be said in SQL; their tests compare them with brute force or held-out labels.
-ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op3_product_quantisation": pq_dedup.ORACLE, "op9_warc_revisits": warc.ORACLE}
+ORACLES = {
+    "op1_pareto_mix": mixing.ORACLE,
+    "op3_product_quantisation": pq_dedup.ORACLE,
+    "op9_warc_revisits": warc.ORACLE,
+    "op11_de_bruijn_repeats": debruijn.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
+}
