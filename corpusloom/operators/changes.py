@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 KEY = ["project", "rel_path"]
 
 
@@ -39,9 +39,15 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, mode: str = "INCREMENTAL") ->
 
 
 def rename_detect(changes: DataFrame) -> DataFrame:
-    """changes with each pair of an ADDED and a DELETED file of equal content as one RENAMED row."""
-    w = Window.partitionBy("project", "sha256").orderBy("rel_path")
-    at = lambda kind, path: changes.filter((F.col("change_type") == kind) & F.col("sha256").isNotNull()).select("project", "sha256", F.col("rel_path").alias(path), F.row_number().over(w).alias("k"))
+    """changes with each pair of an ADDED and a DELETED file of equal content as one RENAMED row.
+
+    The k-th added path of a content meets its k-th deleted one. Ranks come from range partitions, so that a content
+    that half of all files have is not one task's."""
+    from ..sources.files import rank_in_groups
+
+    moved = changes.filter(F.col("change_type").isin("ADDED", "DELETED") & F.col("sha256").isNotNull()).select("project", "sha256", "change_type", "rel_path")
+    ranked = stash(rank_in_groups(moved, ["project", "sha256", "change_type"], ["rel_path"], "k"), "moved")
+    at = lambda kind, path: ranked.filter(F.col("change_type") == kind).select("project", "sha256", F.col("rel_path").alias(path), "k")
     pairs = at("ADDED", "new_path").join(at("DELETED", "gone_path"), ["project", "sha256", "k"]).select("project", "new_path", "gone_path")
     gone = pairs.select("project", F.col("gone_path").alias("rel_path"), F.lit("DELETED").alias("change_type"))
     left = changes.join(gone, ["project", "rel_path", "change_type"], "left_anti")
@@ -115,9 +121,14 @@ def skip_if_unchanged(changes: DataFrame) -> bool:
 
 
 def duplicate_paths(files: DataFrame) -> DataFrame:
-    """(project, sha256, n, paths) of contents that more than one live file has; paths sorted, joined by '|'."""
-    live = files.filter("NOT deleted AND sha256 IS NOT NULL")
-    return live.groupBy("project", "sha256").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("rel_path")), "|").alias("paths")).filter("n > 1")
+    """(project, sha256, n, place, rel_path): a row for each path of a content that more than one live file has, with the
+    number of its paths and the path's place among them."""
+    from ..sources.files import rank_in_groups
+
+    live = files.filter("NOT deleted AND sha256 IS NOT NULL").select("project", "sha256", "rel_path")
+    many = live.groupBy("project", "sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = live.join(many, ["project", "sha256"])
+    return rank_in_groups(rows, ["project", "sha256"], ["rel_path"], "place").select("project", "sha256", "n", "place", "rel_path")
 
 
 def canonical_files(files: DataFrame) -> DataFrame:
@@ -127,7 +138,3 @@ def canonical_files(files: DataFrame) -> DataFrame:
     best = live.filter("sha256 IS NOT NULL").groupBy("project", "sha256").agg(F.min_by("file_id", F.struct(-F.coalesce("relevance_score", F.lit(0.0)), F.length("rel_path"), F.col("file_id"))).alias("file_id"))
     kept = live.join(best.select("file_id"), "file_id", "left_semi")
     return kept.unionByName(live.filter("sha256 IS NULL"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

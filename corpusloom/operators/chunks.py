@@ -4,47 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, lines, strip, token_estimate
 
 
-def chunk_starts(lines: Column, limit: int) -> Column:
-    """(line, heading) of each chunk, counted from 1: its first line, and the last '#' line at or before that (0 without
-    one). A chunk ends with the line that brings it to limit characters or more.
+def chunk_places(sizes: np.ndarray, heads: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, heading) of each chunk of one text, counted from 1: its first line, and the last heading line at or before
+    that (0 without one). A chunk ends with the line that brings it to limit characters or more.
 
-    One pass over the lines, which keeps chunks only."""
-    item = F.transform(lines, lambda x: F.struct((F.length(x) + 1).alias("size"), F.startswith(strip(x), F.lit("#")).alias("head")))
-    none = F.array().cast("array<struct<line:int,heading:int>>")
-    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("held"), F.lit(0).alias("heading"), none.alias("out"))
+    The line behind a chunk that starts at any line is found for all lines at once, by binary search on the sums of
+    sizes. The chunks' own starts are what these pointers reach from the first line; each step doubles the pointers and
+    the known starts, so that a text of n lines and k chunks takes log k passes."""
+    n = len(sizes)
+    before = np.zeros(n + 1, np.int64)
+    np.cumsum(sizes, out=before[1:])
+    jump = np.append(np.searchsorted(before, before[:-1] + limit), n)
+    jump = np.minimum(jump, n)
+    reached = np.zeros(n + 1, bool)
+    reached[0] = True
+    while not reached[n]:
+        reached[jump[np.flatnonzero(reached)]] = True
+        jump = jump[jump]
+    starts = np.flatnonzero(reached[:n])
+    last = np.maximum.accumulate(np.where(heads, np.arange(1, n + 1), 0)) if n else np.zeros(0, np.int64)
+    return starts + 1, last[starts]
 
-    def add(s: Column, x: Column) -> Column:
-        heading = F.when(x["head"], s["i"]).otherwise(s["heading"])
-        first = F.array_append(s["out"], F.struct(s["i"].alias("line"), heading.alias("heading")))
-        held = s["held"] + x["size"]
-        return F.struct((s["i"] + 1).alias("i"), F.when(held >= limit, 0).otherwise(held).alias("held"), heading.alias("heading"), F.when(s["held"] == 0, first).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(item, start, add, lambda s: s["out"])
+def _starts(limit: int):
+    @F.pandas_udf("struct<line:array<int>,heading:array<int>>")
+    def starts(sizes: pd.Series, heads: pd.Series) -> pd.DataFrame:
+        found = [chunk_places(s, h, limit) for s, h in zip(sizes, heads, strict=True)]
+        return pd.DataFrame({"line": [x for x, _ in found], "heading": [x for _, x in found]})
+
+    return starts
 
 
 def line_chunks(texts: DataFrame, key: str = "file_id", text: str = "text", limit: int = 1600) -> DataFrame:
     """(key, seq, heading, content, token_count): lines are gathered until limit is reached; long lines stay whole.
 
     The heading is the last '#' line at or before the chunk's first line, without '#' and space around it. Chunks without
-    text are left out. A document's chunks are made in one row, so that its lines are not copied for each of them."""
+    text are left out. Only the lines' sizes go through Python; a document's lines are cut in one row, each once."""
+    base = texts.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(key, lines(F.col(text)).alias("__lines"))
+    sizes = F.transform("__lines", lambda x: F.length(x) + 1)
+    heads = F.transform("__lines", lambda x: F.startswith(strip(x), F.lit("#")))
+    placed = base.select(key, "__lines", _starts(limit)(sizes, heads).alias("__at"))
 
     def cut(s: Column) -> Column:
-        def one(x: Column, k: Column) -> Column:
-            until = F.coalesce(F.get(s["starts"], k + 1)["line"], F.size(s["lines"]) + 1)
-            heading = F.when(x["heading"] > 0, strip(F.regexp_replace(strip(F.get(s["lines"], x["heading"] - 1)), r"^#+", "")))
-            return F.struct(k.alias("seq"), heading.alias("heading"), F.array_join(F.slice(s["lines"], x["line"], until - x["line"]), "\n").alias("raw"))
+        def one(line: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(s["line"], k + 1), F.size(s["lines"]) + 1)
+            at = F.get(s["heading"], k)
+            heading = F.when(at > 0, strip(F.regexp_replace(strip(F.get(s["lines"], at - 1)), r"^#+", "")))
+            return F.struct(k.alias("seq"), heading.alias("heading"), F.array_join(F.slice(s["lines"], line, until - line), "\n").alias("raw"))
 
-        return F.transform(s["starts"], one)
+        return F.transform(s["line"], one)
 
-    found = let(lines(F.col(text)), lambda l: let(F.struct(l.alias("lines"), chunk_starts(l, limit).alias("starts")), cut))  # noqa: E741
-    base = texts.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    row = base.select(key, F.explode(found).alias("c")).select(key, "c.*")
+    # a lambda's argument: the arrays are read where they are, not taken out of the row for each chunk
+    parts = let(F.struct(F.col("__lines").alias("lines"), F.col("__at.line").alias("line"), F.col("__at.heading").alias("heading")), cut)
+    row = placed.select(key, F.explode(parts).alias("c")).select(key, "c.*")
     out = row.select(key, "seq", "heading", strip(F.col("raw")).alias("content"), token_estimate(F.concat("raw", F.lit("\n"))).alias("token_count"))
     return out.filter("content != ''")
 

@@ -44,50 +44,102 @@ def example_context(context: Column, value: Column) -> Column:
     return F.when(real, False).when(any_of(low, rules.EXAMPLE_MARKERS), True).otherwise(private & any_of(low, rules.REPLACE_MARKERS))
 
 
+def _in_example(lead: Column, context: Column) -> Column:
+    """Does a fence with lead before it hold an example, or the value's context name one?"""
+    return any_of(F.lower(lead), ["api", "example", "sample", "demo"]) | any_of(F.lower(context), ["example-host", "/mock/", "/demo"])
+
+
 def example_code_block(text: Column, start: Column, context: Column) -> Column:
-    """Does a value stand in a code fence of an example?"""
+    """Does the value at one place of a text stand in a code fence of an example? For many places of a text see
+    extract_endpoints, which looks at its fences once."""
     before = F.substring(text, F.lit(1), start)
-    fences = F.size(F.split(before, "```")) - 1
-    opened = F.length(F.array_join(F.slice(F.split(before, "```"), F.lit(1), F.greatest(fences, F.lit(1))), "```"))
-    lead = F.lower(F.substring(before, F.greatest(opened - 159, F.lit(1)), F.least(opened, F.lit(160))))
-    return (fences % 2 == 1) & (any_of(lead, ["api", "example", "sample", "demo"]) | any_of(F.lower(context), ["example-host", "/mock/", "/demo"]))
+    parts = F.split(before, "```")
+    fences = F.size(parts) - 1
+    opened = F.length(before) - F.length(F.element_at(parts, -1)) - 3
+    lead = F.substring(before, F.greatest(opened - 159, F.lit(1)), F.least(opened, F.lit(160)))
+    return (fences % 2 == 1) & _in_example(lead, context)
 
 
-def endpoint_context(text: Column, start: Column, size: Column, around: int = 80, limit: int = 512) -> Column:
-    """`around` characters on both sides, not beyond headings of the first three levels."""
-    before = F.substring(text, F.greatest(start - around + 1, F.lit(1)), F.least(start, F.lit(around)))
-    after = F.substring(text, start + size + 1, F.lit(around))
+def _around(before: Column, value: Column, after: Column, limit: int = 512) -> Column:
     head = r"\n#{1,3} "
     before = F.regexp_replace(before, rf"(?s)^.*(?={head})", "")
     after = F.regexp_replace(after, rf"(?s){head}.*$", "")
-    return F.substring(strip(F.replace(F.concat(before, F.substring(text, start + 1, size), after), F.lit("\n"), F.lit(" "))), 1, limit)
+    return F.substring(strip(F.replace(F.concat(before, value, after), F.lit("\n"), F.lit(" "))), 1, limit)
+
+
+def endpoint_context(text: Column, start: Column, size: Column, around: int = 80, limit: int = 512) -> Column:
+    """`around` characters on both sides, not beyond headings of the first three levels."""
+    before = F.substring(text, F.greatest(start - around + 1, F.lit(1)), F.least(start, F.lit(around)))
+    return _around(before, F.substring(text, start + 1, size), F.substring(text, start + size + 1, F.lit(around)), limit)
+
 
+#: Characters of a block of a text. A stretch of characters is taken from the blocks that it lies in, as finding a place
+#: in a whole text takes a pass from its start.
+BLOCK = 256
+
+
+def _stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (behind the last one) of a text in blocks; what lies outside of the text is left out."""
+    start = F.greatest(start, F.lit(0))
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(F.greatest(end - 1, start) / BLOCK).cast("int")
+    return F.when(end > start, F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def _match_events(found: Column, n: int, kind: str, pattern: str, group: int, around: int) -> Column:
+    """An event for each of a pattern's matches (match_offsets), with the characters around it."""
+    blocks = F.col("__blocks")
 
-def _matches(text: Column, n: int, kind: str, pattern: str, group: int) -> Column:
     def row(x: Column) -> Column:
         value = F.regexp_extract(x["match"], pattern, group) if group else x["match"]
-        return F.struct(F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(strip(value)).alias("key_value"), x["start"].alias("start"), F.length(x["match"]).alias("size"))
+        end = x["start"] + F.length(x["match"])
+        return F.struct(
+            x["start"].alias("place"), F.lit(n).alias("pattern_no"), F.lit(kind).alias("key_type"), trim_trailing_punct(strip(value)).alias("key_value"), F.length(x["match"]).alias("size"),
+            _stretch(blocks, x["start"] - around, x["start"]).alias("before"), x["match"].alias("match"), _stretch(blocks, end, end + around).alias("after"),
+        )
+
+    return F.transform(found, row)
+
+
+def _fence_events(found: Column) -> Column:
+    """An event for each code fence, at the place behind it, with what stands before it."""
+    none = F.lit(None).cast("string")
+
+    def row(x: Column) -> Column:
+        lead = _stretch(F.col("__blocks"), x["start"] - 160, x["start"])
+        return F.struct((x["start"] + 3).alias("place"), F.lit(-1).alias("pattern_no"), none.alias("key_type"), none.alias("key_value"), F.lit(3).alias("size"), lead.alias("before"), none.alias("match"), none.alias("after"))
+
+    return F.transform(found, row)
 
-    return F.transform(match_offsets(text, pattern), row)
 
+def endpoint_matches(texts: DataFrame, key: str = "file_id", text: str = "text", around: int = 80) -> DataFrame:
+    """(key, pattern_no, key_type, key_value, start, size, context, lead) of every match of every pattern; start and size
+    tell where the whole match is. lead is what stands before the code fence that the match lies in, null outside.
 
-def endpoint_matches(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, __t, pattern_no, key_type, key_value, start, size) of every match of every pattern; start and size tell
-    where the whole match is, __t is the text."""
-    t = F.col(text)
-    found = [_matches(t, n, *rule) for n, rule in enumerate(rules.ENDPOINTS)]
+    A sweep over each text's events (matches and fences by place): a running count tells if a fence is open, and the
+    last one's lead goes along. Texts don't move with their matches."""
+    t = F.col("__t")
     # texts without any endpoint leave early: no offsets are counted for them
-    likely = texts.filter(F.rlike(t, F.lit(r"://|\d\.\d|(?i)host|server|addr|broker|endpoint")))
-    return likely.select(F.col(key), t.alias("__t"), F.explode(F.concat(*found)).alias("m")).select(key, "__t", "m.*")
+    likely = texts.filter(F.rlike(F.col(text), F.lit(r"://|\d\.\d|(?i)host|server|addr|broker|endpoint")))
+    numbered = likely.select(F.col(key), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    found = {f"__m{n}": match_offsets(t, rule[1]) for n, rule in enumerate(rules.ENDPOINTS)}
+    some = F.greatest(*(F.size(c) for c in found)) > 0
+    cut = numbered.withColumns(found).filter(some).withColumns({"__blocks": F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)), "__fences": match_offsets(t, "```")})
+    events = F.concat(*(_match_events(F.col(f"__m{n}"), n, *rule, around) for n, rule in enumerate(rules.ENDPOINTS)), _fence_events(F.col("__fences")))
+    rows = cut.select(key, "__row", F.explode(events).alias("e")).select(key, "__row", "e.*")
+    w = Window.partitionBy("__row").orderBy("place", "pattern_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fence = F.col("pattern_no") == -1
+    swept = rows.withColumn("__open", F.count_if(fence).over(w) % 2 == 1).withColumn("__lead", F.last(F.when(fence, F.col("before")), ignorenulls=True).over(w))
+    context = _around(F.col("before"), F.col("match"), F.col("after"))
+    return swept.filter(~fence).select(key, "pattern_no", "key_type", "key_value", F.col("place").alias("start"), "size", context.alias("context"), F.when(F.col("__open"), F.col("__lead")).alias("lead"))
 
 
 def extract_endpoints(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
     """(key, key_type, key_value, context, pattern_no, start) of all matches that are neither noise nor examples, once
     for each file, type and value (the first by pattern, then place)."""
-    row = endpoint_matches(texts, key, text)
-    row = row.filter(~endpoint_noise(F.col("key_type"), F.col("key_value"))).withColumn("context", endpoint_context(F.col("__t"), F.col("start"), F.col("size")))
-    row = row.filter(~example_context(F.col("context"), F.col("key_value")) & ~example_code_block(F.col("__t"), F.col("start"), F.col("context")))
-    return dedupe_first(row.drop("__t", "size"), key)
+    row = endpoint_matches(texts, key, text).filter(~endpoint_noise(F.col("key_type"), F.col("key_value")))
+    fenced = F.col("lead").isNotNull() & _in_example(F.col("lead"), F.col("context"))
+    row = row.filter(~example_context(F.col("context"), F.col("key_value")) & ~fenced)
+    return dedupe_first(row.drop("lead", "size"), key)
 
 
 def dedupe_first(items: DataFrame, key: str = "file_id") -> DataFrame:

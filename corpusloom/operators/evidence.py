@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import any_of, grams, normalize_text, strip
+from .retrieval import contained
 
 CITATIONS = "array<struct<file_name:string,heading_path:string,chunk_id:bigint,score:double>>"
 UNAVAILABLE = "The model is not available at present."
@@ -206,5 +207,9 @@ def evidence_scope(drafts: DataFrame, files: DataFrame) -> DataFrame:
     f = files.select("file_id", F.element_at(F.split("rel_path", "/"), -1).alias("fname"))
     f = f.select("file_id", F.nullif(F.regexp_extract("fname", r"^(\d{1,3})(?=\D)", 1), F.lit("")).cast("int").alias("number"), normalize_text(F.regexp_replace("fname", r"\.[^.]+$", "")).alias("stem"))
     by_number = d.select("artifact_id", F.explode(F.transform(numbers, lambda x: x.cast("int"))).alias("number")).join(f.filter("number IS NOT NULL"), "number").select("artifact_id", "file_id")
-    by_name = d.select("artifact_id", "norm").join(f.filter(F.length("stem") >= 4), F.contains("norm", "stem") | F.contains("stem", "norm")).select("artifact_id", "file_id")
+    # names in clauses and clauses in names, by an index of runs of characters; equal clauses and equal names meet once
+    stems, norms = (x.distinct().filter("t != ''") for x in (f.filter(F.length("stem") >= 4).select(F.col("stem").alias("t")), d.select(F.col("norm").alias("t"))))
+    pair = lambda needles, texts, a, b: contained(needles.select(F.col("t").alias("needle")), texts.select(F.col("t").alias("id"), "t"), 4).select(F.col("needle").alias(a), F.col("id").alias(b))
+    met = pair(stems, norms, "stem", "norm").unionByName(pair(norms, stems, "norm", "stem")).distinct()
+    by_name = met.join(d.select("artifact_id", "norm"), "norm").join(f.select("file_id", "stem"), "stem").select("artifact_id", "file_id")
     return d.select("artifact_id", "scope").join(by_number.unionByName(by_name).distinct(), "artifact_id", "left")

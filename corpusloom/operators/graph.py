@@ -175,26 +175,36 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return _both(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _votes(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, best): the label that most of a's edges lead to, of equals the smallest."""
+    votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("n").alias("n"))
+    return votes.groupBy("a").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
+
+
 def label_propagation(edges: DataFrame, max_iter: int = 12) -> DataFrame:
     """(node, label, converged): each node takes the label that most of its edges lead to, of equals the smallest, until
     no node would change; 2 x max_iter half-steps at most. converged is false in all rows if some node still would.
 
     Parallel edges count as often as they are there, in either direction. In a half-step only the nodes of a class
-    drawn anew by hash change, so that neighbours do not swap labels for ever. Labels are written to the shared folder
-    after each half-step."""
+    drawn anew by hash change, so that neighbours do not swap labels for ever. What a node would take is kept next to
+    its label, and only neighbours of nodes that have just changed vote again: later half-steps look at a few nodes
+    and their edges. Labels are written to the shared folder after each half-step."""
     both = stash(_both(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "neighbours")
-    labels = stash(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    converged = labels.isEmpty()
+    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    state = stash(labels.join(_votes(both, labels), F.col("node") == F.col("a")).select("node", "label", "best"), "labels")
+    converged = state.filter("best != label").isEmpty()
     for step in range(2 * max_iter):
-        votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("n").alias("n"))
-        best = votes.groupBy("a").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
-        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
-        new = labels.join(best, F.col("node") == F.col("a")).withColumn("wants", F.col("best") != F.col("label"))
-        new = stash(new.select("node", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), "wants"), "labels")
-        labels = new.select("node", "label")
-        if converged := new.filter("wants").isEmpty():
+        if converged:
             break
-    return labels.withColumn("converged", F.lit(converged))
+        turn = (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0) & (F.col("best") != F.col("label"))
+        changed = stash(state.filter(turn).select(F.col("node").alias("b")), "changed")
+        state = state.withColumn("label", F.when(turn, F.col("best")).otherwise(F.col("label")))
+        again = stash(both.join(changed, "b", "left_semi").select("a").distinct(), "voters")
+        votes = _votes(both.join(again, "a", "left_semi"), state).select("a", F.col("best").alias("__best"))
+        state = state.join(votes, F.col("node") == F.col("a"), "left").select("node", "label", F.coalesce("__best", "best").alias("best"))
+        state = stash(state, "labels")
+        converged = state.filter("best != label").isEmpty()
+    return state.select("node", "label").withColumn("converged", F.lit(converged))
 
 
 def communities(labels: DataFrame, edges: DataFrame, least: int = 2, shown: int = 1024) -> DataFrame:

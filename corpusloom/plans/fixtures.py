@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changes import content_sha256
+from ..operators.changes import content_sha256, sampled_signature
 from ..sources.files import file_category, file_ext
 
 
@@ -26,16 +26,24 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 FILES = "f AS (SELECT doc_id AS file_id, source AS project, source || '/' || lang || '/doc_' || doc_id || '.md' AS rel_path, 'doc_' || doc_id || '.md' AS name, n_chars AS size, sha256(text) AS sha256, text, lang FROM documents)"
 
 
-def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two listings: first the labelled documents; then all, without the toxic ones, bad ones with another text, good
-    French ones under another path."""
-    f = files(spark, d).select("file_id", "project", "rel_path", "size", "text", "lang")
+def listings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two listings with texts: first the labelled documents; then all, without the toxic ones, bad ones with another
+    text, good French ones under another path."""
+    f = files(spark, d).select("file_id", "project", "rel_path", "size", "mtime", "text", "lang")
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("file_id"), "quality", "toxic")
-    prev = f.join(lab.select("file_id"), "file_id", "left_semi").select("project", "rel_path", "size", content_sha256(F.col("text")).alias("sha256"))
+    digests = lambda df: df.withColumns({"sha256": content_sha256(F.col("text")), "content_signature": sampled_signature(F.col("text"))})
+    cols = ["project", "rel_path", "size", "mtime", "text"]
+    prev = digests(f.join(lab.select("file_id"), "file_id", "left_semi").select(cols))
     c = f.join(lab, "file_id", "left").filter("toxic IS NULL OR toxic = 0")
     text = F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     path = F.when((F.col("lang") == "fr") & (F.col("quality") == 1), F.concat(F.lit("moved/"), "rel_path")).otherwise(F.col("rel_path"))
-    return prev, c.select("project", path.alias("rel_path"), "size", content_sha256(text).alias("sha256"))
+    return prev, digests(c.withColumns({"text": text, "rel_path": path}).select(cols))
+
+
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The listings' names, sizes and digests."""
+    prev, cur = listings(spark, d)
+    return prev.select("project", "rel_path", "size", "sha256"), cur.select("project", "rel_path", "size", "sha256")
 
 
 SNAPSHOTS = (

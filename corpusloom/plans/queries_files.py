@@ -169,7 +169,7 @@ def _(s, d):
     return diff.select("project", "rel_path", "change_type")
 
 
-@query("duplicate_paths", f"WITH {FILES} SELECT project, sha256, count(*) AS n, string_agg(rel_path, '|' ORDER BY rel_path) AS paths FROM f GROUP BY 1, 2 HAVING count(*) > 1")
+@query("duplicate_paths", f"WITH {FILES} SELECT project, sha256, count(*) OVER (PARTITION BY project, sha256) AS n, row_number() OVER (PARTITION BY project, sha256 ORDER BY rel_path) AS place, rel_path FROM f QUALIFY n > 1")
 def _(s, d):
     return changes.duplicate_paths(files(s, d))
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rules import STOP_WORDS
-from ..operators import changes, evaluate, evidence, graph, quality, reports, retrieval
+from ..operators import changes, diff, evaluate, evidence, graph, quality, reports, retrieval, scan
+from ..session import stash
 from ..streaming import streams
-from .fixtures import FILES, HISTORY, REQUESTS, SERVICES, TREE, customer_tree, files, history, questions, requests, services, table
+from .fixtures import FILES, HISTORY, REQUESTS, SERVICES, SNAPSHOTS, TREE, customer_tree, files, history, questions, requests, services, table
 from .registry import query
 
 # Latin texts only: words are split at white space and ASCII punctuation
@@ -56,7 +57,7 @@ HITS = f"{KW}, w AS (SELECT DISTINCT unnest(k) AS keyword FROM kw), hits AS (SEL
 
 @query("keyword_hits", f"WITH {HITS} SELECT hc.keyword, chunk_id, df FROM hc JOIN hd ON hd.keyword = hc.keyword")
 def _(s, d):
-    return retrieval.keyword_hits(questions(s, d), _chunks(s, d), n=3)
+    return retrieval.keyword_hits(questions(s, d), _chunks(s, d))
 
 
 SCORES = f"""{HITS}, {BOOST}, raw AS (SELECT question_id, chunk_id, CAST(sum(CAST((1.0::DOUBLE / ln(2 + df)) * boost AS DECIMAL(18,9))) AS DOUBLE) AS raw, any_value(length(text)) AS len FROM (SELECT question_id, unnest(k) AS keyword FROM kw) q JOIN hc ON hc.keyword = q.keyword JOIN hd ON hd.keyword = q.keyword JOIN bo ON doc_id = chunk_id GROUP BY 1, 2),
@@ -65,7 +66,7 @@ sc AS (SELECT question_id, chunk_id, raw / (1 + ln(1 + len / 200.0::DOUBLE)) AS
 
 def _lexical(s, d):
     q, c, f = questions(s, d), _chunks(s, d), _files(s, d)
-    return retrieval.lexical_scores(q, c, f, retrieval.keyword_hits(q, c, n=3))
+    return retrieval.lexical_scores(q, c, f, retrieval.keyword_hits(q, c))
 
 
 @query("lexical_scores", f"WITH {SCORES} SELECT question_id, chunk_id, round(score, 6) AS score FROM lex")
@@ -75,7 +76,18 @@ def _(s, d):
 
 @query("retrieval_scope", "SELECT d.doc_id AS file_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(toxic, 0) = 0 AND coalesce(quality, 1) = 1")
 def _(s, d):
-    return retrieval.retrieval_scope(_files(s, d), questions(s, d)).select("file_id")
+    return retrieval.retrieval_scope(_files(s, d)).filter("NOT reference").select("file_id")
+
+
+@query("in_scope", """WITH f AS (SELECT d.doc_id, coalesce(toxic, 0) = 0 AS usable, coalesce(toxic, 0) = 0 AND coalesce(quality, 1) = 0 AS reference FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+r AS (SELECT DISTINCT l_orderkey AS question_id, l_suppkey AS file_id FROM lineitem), q AS (SELECT l_orderkey AS question_id, bool_or(l_quantity > 25) AS asks FROM lineitem GROUP BY 1)
+SELECT r.question_id, r.file_id FROM r JOIN f ON f.doc_id = r.file_id JOIN q ON q.question_id = r.question_id WHERE usable AND (NOT reference OR asks)""")
+def _(s, d):
+    # orders as questions, their suppliers' numbers as the files that they hit
+    li = table(s, d, "lineitem")
+    q = li.select(F.col("l_orderkey").alias("question_id"), F.when(F.col("l_quantity") > 25, "请参考模板").otherwise("in short").alias("question"))
+    rows = li.select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("file_id")).distinct()
+    return retrieval.in_scope(rows, retrieval.retrieval_scope(_files(s, d)), q)
 
 
 @query("relevance_boost", f"WITH {BOOST} SELECT doc_id AS file_id, boost FROM bo")
@@ -103,15 +115,15 @@ def _(s, d):
     return out.select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-SIM = rf"""qg AS (SELECT question_id, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM (SELECT item_id AS question_id, {_norm('text')} AS t FROM benchmark)),
-tg AS (SELECT doc_id AS chunk_id, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)),
+SIM = rf"""qg AS (SELECT question_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT item_id AS question_id, {_norm('text')} AS t FROM benchmark)),
+tg AS (SELECT doc_id AS chunk_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)),
 qe AS (SELECT question_id, len(g) AS nq, unnest(g) AS g FROM qg), te AS (SELECT chunk_id, len(g) AS nt, unnest(g) AS g FROM tg),
 sim AS (SELECT question_id, chunk_id, least(1.0::DOUBLE, 0.35::DOUBLE * (2.0::DOUBLE * count(*) / (any_value(nq) + any_value(nt))) + 0.65::DOUBLE * (count(*)::DOUBLE / any_value(nq))) AS score FROM qe JOIN te ON qe.g = te.g GROUP BY 1, 2)"""
 
 
 def _similar(s, d):
     t = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bigram_similarity(questions(s, d), t, n=3, limit=None)
+    return retrieval.bigram_similarity(questions(s, d), t, limit=None)
 
 
 @query("bigram_similarity", f"WITH {SIM} SELECT question_id, chunk_id, round(score, 6) AS score FROM sim")
@@ -123,7 +135,15 @@ POOL = "pool AS (SELECT question_id, chunk_id, score FROM (SELECT *, row_number(
 
 
 def _pool(s, d):
-    return retrieval.semantic_pool(_similar(s, d).withColumn("score", F.round("score", 9)))
+    t = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.best_similar(stash(retrieval.question_grams(questions(s, d)), "question-grams"), stash(retrieval.text_grams(t, limit=None), "text-grams"))
+
+
+@query("pair_similarity", f"WITH {SIM}, hp AS (SELECT DISTINCT item_id AS question_id, l_suppkey AS chunk_id FROM lineitem JOIN benchmark ON item_id = l_orderkey % 1000) SELECT sim.question_id, sim.chunk_id, round(score, 6) AS score FROM sim JOIN hp ON hp.question_id = sim.question_id AND hp.chunk_id = sim.chunk_id")
+def _(s, d):
+    t = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    pairs = table(s, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("question_id"), F.col("l_suppkey").alias("chunk_id")).distinct()
+    return retrieval.pair_similarity(pairs, retrieval.question_grams(questions(s, d)), retrieval.text_grams(t, limit=None), 6)
 
 
 @query("semantic_pool", f"WITH {SIM}, {POOL} SELECT question_id, chunk_id, round(score, 6) AS score FROM pool")
@@ -470,6 +490,18 @@ def _(s, d):
     return evidence.evidence_scope(table(s, d, "nation").select(k.alias("artifact_id"), ask.alias("instructions")), f).select("artifact_id", "file_id")
 
 
+@query("evidence_scope_names", """WITH dr AS (SELECT c_custkey AS artifact_id, lower(c_mktsegment) || 'nation' || c_nationkey AS norm FROM customer),
+fs AS (SELECT s_suppkey AS file_id, CASE s_suppkey % 3 WHEN 0 THEN 'nation' || s_nationkey WHEN 1 THEN 'xhouseholdnation' || s_nationkey || 'v2' ELSE 'zz' END AS stem FROM supplier)
+SELECT artifact_id, file_id FROM dr LEFT JOIN fs ON length(stem) >= 4 AND (contains(norm, stem) OR contains(stem, norm))""")
+def _(s, d):
+    # suppliers as files: some names stand in customers' clauses, some hold them, some are too short
+    ask = F.concat(F.lit("只引用 "), "c_mktsegment", F.lit(" nation_"), F.col("c_nationkey").cast("string"), F.lit("；其他"))
+    k = F.col("s_nationkey").cast("string")
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("NATION_"), k)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("x Household Nation_"), k, F.lit(" v2"))).otherwise("zz")
+    f = table(s, d, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("d/"), name, F.lit(".md")).alias("rel_path"))
+    return evidence.evidence_scope(table(s, d, "customer").select(F.col("c_custkey").alias("artifact_id"), ask.alias("instructions")), f).select("artifact_id", "file_id")
+
+
 @query("version_diff", r"""WITH l AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2)),
 p AS (SELECT conv_id * 1000 + turn AS pair_id, text AS base, nxt AS target FROM l WHERE nxt IS NOT NULL), b AS (SELECT pair_id, line, count(*) AS n FROM (SELECT pair_id, unnest(string_split(regexp_replace(base, '\n+$', ''), chr(10))) AS line FROM p) GROUP BY 1, 2), t AS (SELECT pair_id, line, count(*) AS n FROM (SELECT pair_id, unnest(string_split(regexp_replace(target, '\n+$', ''), chr(10))) AS line FROM p) GROUP BY 1, 2),
 j AS (SELECT coalesce(b.pair_id, t.pair_id) AS pair_id, coalesce(b.n, 0) AS x, coalesce(t.n, 0) AS y FROM b FULL JOIN t ON b.pair_id = t.pair_id AND b.line = t.line)
@@ -479,7 +511,18 @@ def _(s, d):
 
     t = table(s, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("base"))
     t = t.withColumn("target", F.lead("base").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("target IS NOT NULL")
-    return quality.version_diff(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "base", "target"))
+    return diff.version_diff(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "base", "target"))
+
+
+# an order's lines by number, and the same by part: what keeps its order is the longest rising sequence of places
+@query("version_diff_moved", """WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS l FROM lineitem), r AS (SELECT o, row_number() OVER (PARTITION BY o ORDER BY l, p) AS i, row_number() OVER (PARTITION BY o ORDER BY p, l) AS j FROM u),
+c AS (SELECT o, i, j, 1 AS n FROM r UNION SELECT r.o, r.i, r.j, c.n + 1 FROM c JOIN r ON r.o = c.o AND r.i > c.i AND r.j > c.j), m AS (SELECT o, max(n) AS same FROM c GROUP BY 1)
+SELECT m.o AS pair_id, CAST(count(*) - any_value(same) AS BIGINT) AS added, CAST(count(*) - any_value(same) AS BIGINT) AS removed, CAST(any_value(same) AS BIGINT) AS unchanged FROM r JOIN m ON m.o = r.o GROUP BY 1""")
+def _(s, d):
+    li = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    line = F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("line")
+    text = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, line))), lambda x: x["line"]), "\n")
+    return diff.version_diff(li.groupBy(F.col("l_orderkey").alias("pair_id")).agg(text("l_linenumber", "l_partkey").alias("base"), text("l_partkey", "l_linenumber").alias("target")))
 
 
 def _artifacts(s, d):
@@ -611,18 +654,57 @@ def _(s, d):
     return w.groupBy("route").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), F.sum("total").alias("total"), F.max("max_ms").alias("max_ms"))
 
 
-@query("incremental_scan_stream")
-def _(s, d):
+def _two_scans(s, d):
+    """A store after the stream has applied both listings, each of several files in a folder of its own."""
     from ..session import fresh_path
-    from .fixtures import snapshots
+    from .fixtures import listings
 
-    prev, cur = snapshots(s, d)
-    listings = fresh_path(s, "listings")
-    log = fresh_path(s, "log")
-    for n, snap in ((1, prev), (2, cur)):
-        snap.select(F.lit(n).cast("long").alias("scan_id"), "project", "rel_path", F.col("size").cast("long"), "sha256").coalesce(1).write.mode("append").parquet(listings)
-    streams.incremental_scan_stream(s, listings, fresh_path(s, "state"), log, fresh_path(s, "stream")).awaitTermination()
-    return s.read.parquet(log).select("scan_id", "project", "rel_path", "change_type", "old_rel_path")
+    manifests, store = fresh_path(s, "manifests"), scan.ScanStore(s, fresh_path(s, "store"))
+    for n, listing in enumerate(listings(s, d), 1):
+        at = fresh_path(s, "listing")
+        listing.write.parquet(at)
+        s.createDataFrame([(n, at)], streams.MANIFEST).coalesce(1).write.mode("append").parquet(manifests)
+    streams.incremental_scan_stream(s, manifests, store, fresh_path(s, "stream")).awaitTermination()
+    return store
+
+
+@query("incremental_scan_stream", f"WITH {SNAPSHOTS} SELECT 1::BIGINT AS scan_id, project, rel_path, 'ADDED' AS change_type, NULL AS old_rel_path FROM prev UNION ALL SELECT 2, project, rel_path, change_type, old_rel_path FROM diff WHERE change_type <> 'UNCHANGED'")
+def _(s, d):
+    return _two_scans(s, d).table("log").select("scan_id", "project", "rel_path", "change_type", "old_rel_path")
+
+
+@query("scan_files", f"""WITH {SNAPSHOTS} SELECT project, rel_path, size::BIGINT AS size, sha256, 'PARSED' AS parse_status, CASE WHEN change_type = 'ADDED' THEN 2 ELSE 1 END::BIGINT AS first_seen_scan, CASE WHEN change_type = 'DELETED' THEN 1 ELSE 2 END::BIGINT AS last_seen_scan,
+CASE WHEN change_type IN ('ADDED', 'MODIFIED') THEN 2 ELSE 1 END::BIGINT AS content_scan, change_type = 'DELETED' AS deleted FROM diff""")
+def _(s, d):
+    return _two_scans(s, d).files().select("project", "rel_path", "size", "sha256", "parse_status", "first_seen_scan", "last_seen_scan", "content_scan", "deleted")
+
+
+# texts of the second listing, and their chunks and addresses
+_NOW = SNAPSHOTS + """, now AS (SELECT project, CASE WHEN lang = 'fr' AND quality = 1 THEN 'moved/' || rel_path ELSE rel_path END AS rel_path, CASE WHEN quality = 0 THEN text || '!' ELSE text END AS text
+  FROM f LEFT JOIN labels l ON l.doc_id = f.file_id WHERE toxic IS NULL OR toxic = 0)"""
+
+
+@query("scan_chunks", "WITH RECURSIVE " + _NOW + r""", l AS (SELECT project, rel_path, string_split(regexp_replace(text, '\n+$', ''), chr(10)) AS a FROM now WHERE trim(text) <> ''),
+w AS (SELECT project, rel_path, a, 1 AS i, 0 AS n, 0 AS held FROM l UNION ALL SELECT project, rel_path, a, i + 1, CASE WHEN held + length(a[i]) + 1 >= 1600 THEN n + 1 ELSE n END, CASE WHEN held + length(a[i]) + 1 >= 1600 THEN 0 ELSE held + length(a[i]) + 1 END FROM w WHERE i <= len(a)),
+c AS (SELECT project, rel_path, n AS seq, regexp_replace(string_agg(a[i], chr(10) ORDER BY i), '^[\s　]+|[\s　]+$', '', 'g') AS content FROM w WHERE i <= len(a) GROUP BY 1, 2, 3)
+SELECT project, rel_path, seq, md5(content) AS digest FROM c WHERE content <> ''""")
+def _(s, d):
+    return _two_scans(s, d).current("chunks").select("project", "rel_path", "seq", F.md5("content").alias("digest"))
+
+
+@query("scan_items", "WITH " + _NOW + r""", v AS (SELECT DISTINCT project, rel_path, 'IP_PORT' AS key_type, v AS key_value FROM (SELECT project, rel_path, unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b')) AS v FROM now WHERE regexp_matches(text, '\d\.\d'))
+  WHERE NOT regexp_matches(v, '^(127\.0\.0\.1|0\.0\.0\.0)') AND len(list_filter(string_split(split_part(v, ':', 1), '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0 AND (contains(v, ':') OR regexp_matches(v, '^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)')))
+SELECT *, 'PENDING' AS review_status FROM v""")
+def _(s, d):
+    return _two_scans(s, d).items().select("project", "rel_path", "key_type", "key_value", "review_status")
+
+
+@query("scan_graph", "WITH " + SNAPSHOTS + r""", k AS (SELECT project, rel_path, regexp_replace(rel_path, '/[^/]*$', '') AS dir FROM diff WHERE change_type <> 'DELETED')
+SELECT project, 'file:' || rel_path AS target_key, 'dir:' || dir AS source_key, 'CONTAINS' AS edge_type FROM k UNION SELECT project, 'dir:' || dir, 'project:' || project, 'PROJECT_CONTAINS' FROM k""")
+def _(s, d):
+    # the documents' few services are in scan_items
+    store = _two_scans(s, d)
+    return store.table("edges").filter((F.col("scan_id") == 2) & (F.col("edge_type") != "MENTIONS")).select("project", "target_key", "source_key", "edge_type")
 
 
 @query("stream_equals_batch", "SELECT 0 AS differing WHERE false")

@@ -8,36 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import snapshot_diff
 from ..operators.reports import normalize_route
+from ..operators.scan import ScanStore
 
-SNAPSHOT = "scan_id long, project string, rel_path string, size long, sha256 string"
+#: A row for each scan: its number and the folder of its listing.
+MANIFEST = "scan_id long, listing string"
 
 
-def incremental_scan_stream(spark: SparkSession, listings: str, state: str, log: str, checkpoint: str, on_changes: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Diffs each listing snapshot that arrives (one Parquet folder or file a scan) with the one before.
+def incremental_scan_stream(spark: SparkSession, manifests: str, store: ScanStore, checkpoint: str, mode: str = "INCREMENTAL", on_changes: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Applies each scan that a manifest announces to the store: changes, file table, chunks, endpoints, graph, report.
 
-    state holds the last applied listing by scan, log the changes, both partitioned by scan_id and overwritten by scan,
-    so that a batch that is run again leaves the same files. on_changes gets the changes of every scan, in order."""
-    feed = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(listings)
+    A listing is a Parquet folder of any number of files, in the form that ScanStore.scan takes; the stream itself
+    carries one small row for each scan. A batch that is run again writes the same partitions of the store again. Review
+    decisions are kept. on_changes gets the changes of every scan, in order."""
+    feed = spark.readStream.schema(MANIFEST).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(manifests)
 
     def apply(batch: DataFrame, _: int) -> None:
-        ids = [r["scan_id"] for r in batch.select("scan_id").distinct().orderBy("scan_id").collect()]
-        for scan in ids:
-            cur = batch.filter(F.col("scan_id") == scan)
-            try:
-                known = spark.read.schema(SNAPSHOT).parquet(state).filter(F.col("scan_id") < scan)
-                last = known.agg(F.max("scan_id").alias("m")).first()["m"]
-            except Exception as e:  # the first scan finds no state
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                last = None
-            prev = known.filter(F.col("scan_id") == last) if last is not None else cur.limit(0)
-            changes = snapshot_diff(prev.drop("scan_id"), cur.drop("scan_id")).withColumn("scan_id", F.lit(scan).cast("long"))
-            for df, path in ((changes.filter("change_type != 'UNCHANGED'"), log), (cur, state)):
-                df.write.partitionBy("scan_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        for row in batch.distinct().orderBy("scan_id").collect():
+            changes = store.scan(spark.read.parquet(row["listing"]), row["scan_id"], mode)
             if on_changes:
-                on_changes(changes, scan)
+                on_changes(changes, row["scan_id"])
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.rules import QUERY_SUFFIXES, STOP_WORDS
-from corpusloom.operators import changes, chunks, classify, endpoints, evaluate, evidence, families, graph, quality, reports, retrieval
+from corpusloom.operators import changes, chunks, classify, diff, endpoints, evaluate, evidence, families, graph, quality, reports, retrieval
 from corpusloom.sources import files as src
 
 
@@ -131,16 +131,16 @@ def test_quality(spark):
     got = {r.artifact_id: (r.status, r.coverage) for r in quality.quality_score(d, e).collect()}
     assert got[1] == ("PASSED", 100) and got[2][0] == "WARNING" and got[3][0] == "FAILED"
     p = spark.createDataFrame([(1, "标题\n旧内容\n保留内容", "标题\n新内容\n保留内容")], "pair_id long, base string, target string")
-    assert quality.version_diff(p).first().asDict() == {"pair_id": 1, "added": 1, "removed": 1, "unchanged": 2}
+    assert diff.version_diff(p).first().asDict() == {"pair_id": 1, "added": 1, "removed": 1, "unchanged": 2}
 
 
 def test_scope_and_routes(spark):
     d = spark.createDataFrame([(1, "仅使用18、19号文件。"), (2, "仅使用77号文件。"), (3, "all")], "artifact_id long, instructions string")
     f = spark.createDataFrame([(i, f"d/{i}号会议.md") for i in (17, 18, 19)], "file_id long, rel_path string")
     assert sorted(((r.artifact_id, r.file_id) for r in evidence.evidence_scope(d, f).collect()), key=str) == [(1, 18), (1, 19), (2, None)]
-    log = spark.createDataFrame([("GET", "/api/pkc/artifacts/10/preview", 200, 12), ("GET", "/api/pkc/artifacts/11/preview", 500, 30)], "method string, route string, status int, duration_ms long")
+    log = spark.createDataFrame([("GET", "/v1/drafts/10/preview", 200, 12), ("GET", "/v1/drafts/11/preview", 500, 30)], "method string, route string, status int, duration_ms long")
     r = reports.route_metrics(log).collect()
-    assert [(x.route, x.requests, x.errors, x.average_ms) for x in r] == [("GET /api/pkc/artifacts/{id}/preview", 2, 1, 21)]
+    assert [(x.route, x.requests, x.errors, x.average_ms) for x in r] == [("GET /v1/drafts/{id}/preview", 2, 1, 21)]
 
 
 def test_registry():
