@@ -251,8 +251,9 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = found.withColumn("__x", F.xxhash64("text"))
     held = stash(found.join(needed, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__x") == F.col("x"))).select("rid", "text", "flags"), "texts-with-repeats")
     shared = stash(_shared(held), "paths-and-windows")
-    place = F.struct("rid", "start")
-    twice = shared.groupBy("a", "b").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("a", "b")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("rid", "start") for f in (F.min, F.max)]
+    # written first, so that Spark may split what a frequent passage makes large in the join
+    twice = stash(shared.groupBy("a", "b").agg(*ends).filter("min_rid != max_rid OR min_start != max_start").select("a", "b"), "repeated")
     # a text that other rows repeat loses all its words, whatever its spans are; those left have one row in held
     once = groups.filter("copies = 1").select("rid")
     spans = shared.join(twice, ["a", "b"], "left_semi").join(once, "rid", "left_semi").groupBy("rid").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
