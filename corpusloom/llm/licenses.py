@@ -24,6 +24,7 @@ TEMPLATES: dict[str, list[str]] = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -40,12 +41,24 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Released under the AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.",
+    ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "BSD": [
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -114,8 +127,6 @@ OTHERS = [
     "MIT is a university in Cambridge, and its students publish widely.",
     "The GNU is an antelope, and BSD stands for many things.",
     "Version 2.0 of the game was released in the spring.",
-    "My cousin was licensed as a pilot under the MIT program.",
-    "The MIT license office is closed on Fridays.",
     "The driver was licensed under the old law of the state.",
     "He studied under the terms of a grant from the Mozilla foundation.",
     "The general public was licensed to fish in the lake from version to version of the law.",
@@ -134,6 +145,9 @@ SENTENCES, LINES = 4, 16
 _PLACEHOLDER = re.compile(r"2024 Example Corporation")
 _MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+!?|#+!?|;+|--+|<!--+|%+|>+|\"\"\"|dnl\b|rem\b)+|(?:\*+/|--+>)\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.:;])\s+(?=[A-Z])")
+# Words that may follow a licence's name in a notice.
+_GOES_ON = set("along and as at available but by can for found from has if in included instead is or see shall text that the this under unless v version we which while with without you".split())
+_CALLED = re.compile(r"\blicen[cs]e\b(?:[\"'”’)\]]*(?=$|[^\w\s])|\s+([A-Za-z]+)|\s*$|\s+(?=\W|\d))", re.I)
 _TOKEN = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -309,6 +323,13 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return [(at[i], at[i + 2 * step] if i + 2 * step < len(at) else len(text)) for i in range(0, len(at) - step, step)]
 
 
+def _named_to_the_end(text: str) -> bool:
+    """Does a licence's name end where it says licence, somewhere in a paragraph? In `the X license of the town` or `the X
+    license office` the word belongs to another thing. True where nothing is called a licence."""
+    found = [m[1] for m in _CALLED.finditer(text)]
+    return not found or any(not w or w.lower() in _GOES_ON for w in found)
+
+
 def _judge(parts: Iterable[str], model: Model, least: float) -> tuple[str, float, float] | None:
     """(family, probability, likeness) of the likest part that the template comparison confirms."""
     best = None
@@ -318,7 +339,7 @@ def _judge(parts: Iterable[str], model: Model, least: float) -> tuple[str, float
             continue
         p = model.probabilities(part)
         k = int(p.argmax())
-        if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) > least and (best is None or (s, p[k]) > best[2:0:-1]):
+        if k and p[k] >= model.threshold and (s := likeness(part, FAMILIES[k])) > least and _named_to_the_end(part) and (best is None or (s, p[k]) > best[2:0:-1]):
             best = (FAMILIES[k], float(p[k]), s)
     return best
 

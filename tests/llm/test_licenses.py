@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 
 from corpusloom.llm import licenses
@@ -63,3 +65,17 @@ def test_table(spark):
     out = scan_licenses(df).collect()
     assert [(r.doc_id, r.family, r.n_paragraphs, r.lines) for r in out] == [(1, "MIT", 2, [1, 2]), (2, UNKNOWN, 0, []), (3, UNKNOWN, 0, []), (None, UNKNOWN, 0, []), (1, "MIT", 2, [1, 2])]
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_notices_that_training_never_reads():
+    """tests/llm/data/notices.tsv: notices and ordinary sentences, written for this test only."""
+    rows = [x.split("\t") for x in (Path(__file__).parent / "data/notices.tsv").read_text().splitlines()]
+    found = [(family, (scan_text(t, train(), 0.5) or [(0, UNKNOWN)])[0][1]) for family, t in rows]
+    notices, prose = ([a == b for a, b in found if (a == UNKNOWN) == kind] for kind in (False, True))
+    assert sum(notices) >= 0.85 * len(notices) and sum(prose) >= 0.9 * len(prose), [x for x in found if x[0] != x[1]]
+
+
+def test_another_things_licence():
+    assert scan_text("Visitors released under the MIT license of the harbour may enter.", train(), 0.5) == []
+    assert scan_text("The mill is licensed under the BSD license board of the town.", train(), 0.5) == []
+    assert scan_text("Released under the MIT license", train(), 0.5) and scan_text("Released under the MIT license [1]", train(), 0.5)
