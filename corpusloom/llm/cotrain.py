@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,96 +96,141 @@ class Views:
         return _sigmoid(np.column_stack([z, logit(z, self.mix)]))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, *, rounds: int = 4, sure: float = 0.97, most: int = 256, seed: int = 7) -> Views | None:
-    """y: 1 bad, 0 good, -1 not labelled. A fifth of the labelled rows is held out for the calibrations.
+#: What a view is surest of: (name, label, text view, page view) of rows, a list for each view.
+Surest = Callable[[list[np.ndarray], list[np.ndarray]], list[list[tuple[int, int, np.ndarray, np.ndarray]]]]
 
-    In each round either view marks the unlabelled rows that it is surest of (calibrated probability of at least
-    sure, at most `most` a class), and the other view learns them with half a label's weight.
-    """
+
+def bad_probability(x: np.ndarray, model: np.ndarray, calibration: np.ndarray) -> np.ndarray:
+    """Calibrated probabilities, rounded so that the order of sums doesn't decide which row is surer."""
+    return np.round(_sigmoid(logit(logit(x, model)[:, None], calibration)), 9)
+
+
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, surest: Surest, *, rounds: int = 4, seed: int = 7) -> Views | None:
+    """y: 1 bad, 0 good. A fifth of the rows is held out for the calibrations.
+
+    In each round surest(models, calibrations) gives the unlabelled rows that either view is surest of, and the other view
+    learns them with half a label's weight."""
     rng = np.random.default_rng(seed)
-    known = rng.permutation(np.flatnonzero(y >= 0))
+    known = rng.permutation(len(y))
     held, learn = known[: len(known) // 5], known[len(known) // 5 :]
     if len({*y[learn]}) < 2 or len({*y[held]}) < 2:
         return None
-    pool, views = np.flatnonzero(y < 0), (text, page)
-    taught: list[dict[int, int]] = [{}, {}]
+    views = (text, page)
+    taught: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
     exchanged = []
     for step in range(rounds + 1):
         models, calibrations = [], []
         for x, extra in zip(views, taught, strict=True):
-            rows = np.concatenate([learn, np.fromiter(extra, np.int64, len(extra))])
-            target = np.concatenate([y[learn], np.fromiter(extra.values(), np.int64, len(extra))])
-            models.append(fit_logistic(x[rows], target, np.concatenate([np.ones(len(learn)), np.full(len(extra), 0.5)])))
+            rows, target = x[learn], y[learn]
+            if extra:
+                rows, target = np.concatenate([rows, np.stack([r for _, r in extra.values()])]), np.concatenate([target, [k for k, _ in extra.values()]])
+            models.append(fit_logistic(rows, target, np.concatenate([np.ones(len(learn)), np.full(len(extra), 0.5)])))
             calibrations.append(fit_logistic(logit(x[held], models[-1])[:, None], y[held], ridge=0.01))
-        if step == rounds or not len(pool):
+        if step == rounds:
             break
-        for v, x in enumerate(views):
-            p = _sigmoid(logit(logit(x[pool], models[v])[:, None], calibrations[v]))
-            order = np.argsort(p, kind="stable")
-            good = [i for i in order[:most] if p[i] <= 1 - sure]
-            bad = [i for i in order[::-1][:most] if p[i] >= sure]
-            taught[1 - v] |= {int(pool[i]): 0 for i in good} | {int(pool[i]): 1 for i in bad}
+        for v, found in enumerate(surest(models, calibrations)):
+            taught[1 - v] |= {name: (label, rows[1 - v]) for name, label, *rows in found}
         exchanged.append((len(taught[0]), len(taught[1])))
     out = Views(*models, calibrations, np.array([1.0, 1.0, 0.0]), exchanged)
     out.mix = fit_logistic(out.calibrated(text[held], page[held]), y[held], ridge=0.01)
     return out
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", sample: int = 8192, most_good: float = 0.003, seed: int = 7, **options) -> DataFrame:
+def surest_of(names: np.ndarray, text: np.ndarray, page: np.ndarray, sure: float = 0.97, most: int = 256) -> Surest:
+    """Of rows in memory those with a calibrated probability of at least sure, the `most` surest of a class, equal ones by
+    name."""
+
+    def find(models: list[np.ndarray], calibrations: list[np.ndarray]) -> list[list[tuple]]:
+        out = []
+        for x, w, c in zip((text, page), models, calibrations, strict=True):
+            p = bad_probability(x, w, c)
+            good, bad = np.lexsort((names, p))[:most], np.lexsort((names, -p))[:most]
+            out.append([(int(names[i]), 0, text[i], page[i]) for i in good if p[i] <= 1 - sure] + [(int(names[i]), 1, text[i], page[i]) for i in bad if p[i] >= sure])
+        return out
+
+    return find
+
+
+def _surest_in(views: DataFrame, known: DataFrame, sure: float, most: int) -> Surest:
+    """The same over a table of views: every round scores all of its unlabelled rows. What comes to the driver are the
+    chosen rows, 4 x most."""
+
+    def find(models: list[np.ndarray], calibrations: list[np.ndarray]) -> list[list[tuple]]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = [bad_probability(_matrix(batch.column(n)), w, c) if len(batch) else np.zeros(0) for n, w, c in zip((2, 3), models, calibrations, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(p) for p in both)], names=["key", "name", "p0", "p1"])
+
+        kind = views.schema["key"].dataType.simpleString()
+        scored = views.mapInArrow(score, f"key {kind}, name bigint, p0 double, p1 double")
+        free = stash(scored.join(known, F.col("key") == F.col("__k"), "left_anti").groupBy("name").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1")), "view-scores")
+        chosen = []
+        for v in range(2):
+            p = F.col(f"p{v}")
+            for label, ok, order in ((0, p <= 1 - sure, p), (1, p >= sure, -p)):
+                chosen += [(r["name"], v, label) for r in free.filter(ok).orderBy(order, "name").limit(most).select("name").collect()]
+        names = views.sparkSession.createDataFrame(sorted({(n,) for n, _, _ in chosen}), "__n bigint")
+        rows = {r["name"]: r for r in views.join(F.broadcast(names), F.col("name") == F.col("__n")).dropDuplicates(["name"]).select("name", "text", "page").collect()}
+        floats = lambda x: np.frombuffer(x, np.float32)
+        return [[(n, label, floats(rows[n]["text"]), floats(rows[n]["page"])) for n, u, label in chosen if u == v] for v in range(2)]
+
+    return find
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in column])
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", sample: int = 8192, most_good: float = 0.003, sure: float = 0.97, most: int = 256, seed: int = 7, **options) -> DataFrame:
     """(key, p_text, p_page, p_bad, threshold, kept) of every row of docs.
 
-    Both views learn from at most sample labelled and sample other rows, those of smallest key hash (labels: key,
-    quality; 1 good, 0 bad; the lowest of repeated ones, nulls ignored). A fifth of the labelled keys, by hash, is kept
-    from them; the threshold on p_bad comes from all labelled rows of that fifth: the best gain with at most most_good
+    Both views start from at most sample labelled rows, those of smallest key hash (labels: key, quality; 1 good, 0 bad;
+    the lowest of repeated ones, nulls ignored). In each round every unlabelled row is scored by both, and either view
+    passes on the `most` rows of a class that it is surest of. A fifth of the labelled keys, by hash, is kept from
+    them; the threshold on p_bad comes from all labelled rows of that fifth: the best gain with at most most_good
     of the good rows above it (from all labelled rows if the fifth lacks a class). Without both classes in the sample
     nothing is rejected and probabilities are 0. Null texts are empty; null metadata have buckets of their
-    own; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
+    own; repeated rows are scored alike and teach once; an empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(docs[key].alias("__key"), docs[text].cast("string").alias("__text"), docs[source].cast("string").alias("__source"), docs[lang].cast("string").alias("__lang"), docs[size].cast("long").alias("__size"))
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), docs[source].cast("string").alias("source"), docs[lang].cast("string").alias("lang"), docs[size].cast("long").alias("size"))
+    rows = rows.withColumn("name", F.xxhash64(F.col("key").cast("string"), "text", "source", "lang", "size", F.lit(seed)))
+    kind = rows.schema["key"].dataType.simpleString()
+    # each text is looked at once; rounds and the last scores read the views
+    views = stash(rows.mapInArrow(_view_rows, f"key {kind}, name bigint, text binary, page binary"), "views")
     known = stash(labels.filter("quality IS NOT NULL").groupBy(F.col(key).alias("__k")).agg(F.min("quality").cast("int").alias("__quality")), "labels")
-    hashed = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(seed))
     held = F.pmod(F.xxhash64(F.col("__k").cast("string"), F.lit(seed + 1)), F.lit(5)) == 0
-    taken = known.filter(~held).orderBy(hashed("__k"), "__k").limit(sample)
-    # labelled keys have to be no more than told apart from the others that are drawn: 2 x sample of them at most
-    others = stash(rows.select(F.col("__key").alias("__k")).orderBy(hashed("__k"), "__k").limit(sample), "others")
-    others = others.join(known.join(F.broadcast(others), "__k", "left_semi"), "__k", "left_anti").select("__k", F.lit(-1).alias("__quality"))
-    chosen = stash(taken.unionByName(others.distinct()), "drawn")
-    # at most 2 x sample keys; a key may be repeated, so rows are bounded once more, as views and not as texts
-    drawn = rows.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).withColumn("__hash", hashed("__key"))
-    seen = drawn.mapInArrow(_view_rows, "hash long, quality int, text binary, page binary").orderBy("hash", "quality", "page").limit(2 * sample).collect()
+    taken = stash(known.filter(~held).orderBy(F.xxhash64(F.col("__k").cast("string"), F.lit(seed)), "__k").limit(sample), "drawn")
+    # a key may be repeated, so rows are bounded once more
+    drawn = views.join(F.broadcast(taken), F.col("key") == F.col("__k"))
+    seen = drawn.select("name", "__quality", "text", "page").orderBy("name", "__quality").limit(2 * sample).collect()
     model = None
     if seen:
-        y = np.array([-1 if r["quality"] < 0 else 1 - int(r["quality"] > 0) for r in seen])
-        model = co_train(np.stack([np.frombuffer(r["text"], np.float32) for r in seen]), np.stack([np.frombuffer(r["page"], np.float32) for r in seen]), y, seed=seed, **options)
-    kind = rows.schema["__key"].dataType.simpleString()
+        x = [np.stack([np.frombuffer(r[c], np.float32) for r in seen]) for c in ("text", "page")]
+        model = co_train(*x, np.array([1 - int(r["__quality"] > 0) for r in seen]), _surest_in(views, known, sure, most), seed=seed, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, (src, lng, siz) = batch.column(1), (batch.column(i).to_pylist() for i in (2, 3, 4))
-            p = np.zeros((len(texts), 3))
-            if model:
-                for a, b in chunks(text_sizes(texts)):
-                    p[a:b] = model.score(text_view(texts.slice(a, b - a).to_pylist()), page_view(src[a:b], lng[a:b], siz[a:b]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3))], names=["__key", "p_text", "p_page", "p_bad"])
-
-    scored = stash(rows.mapInArrow(run, f"__key {kind}, p_text double, p_page double, p_bad double"), "quality-scores")
+            p = model.score(_matrix(batch.column(1)), _matrix(batch.column(2))) if model and len(batch) else np.zeros((len(batch), 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3))], names=["key", "p_text", "p_page", "p_bad"])
+
+    scored = stash(views.select("key", "text", "page").mapInArrow(run, f"key {kind}, p_text double, p_page double, p_bad double"), "quality-scores")
     threshold = float("inf")
     if model:
-        judged = scored.join(known, F.col("__key") == F.col("__k"))
+        judged = scored.join(known, F.col("key") == F.col("__k"))
         found = judged.groupBy(F.floor(F.col("p_bad") * BINS).cast("int").alias("b"), F.col("__quality").alias("q"), held.alias("h")).count().collect()
         counts = [(r["b"], r["q"], r["count"]) for r in found if r["h"]]
         if len({q > 0 for _, q, _ in counts}) < 2:
             counts = [(r["b"], r["q"], r["count"]) for r in found]
         threshold = choose_threshold(counts, most_good)
-    return scored.select(F.col("__key").alias(key), "p_text", "p_page", "p_bad", F.lit(threshold).alias("threshold"), (F.col("p_bad") < threshold).alias("kept"))
+    return scored.select(F.col("key").alias(key), "p_text", "p_page", "p_bad", F.lit(threshold).alias("threshold"), (F.col("p_bad") < threshold).alias("kept"))
 
 
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, source, lang, size = (batch.column(n) for n in ("__text", "__source", "__lang", "__size"))
+        texts, source, lang, size = (batch.column(n) for n in ("text", "source", "lang", "size"))
         p = page_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())
         t = [r.tobytes() for a, b in chunks(text_sizes(texts)) for r in text_view(texts.slice(a, b - a).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("__hash"), batch.column("__quality").cast(pa.int32()), pa.array(t, pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=["hash", "quality", "text", "page"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("name"), pa.array(t, pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=["key", "name", "text", "page"])
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

@@ -106,7 +106,34 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, 3000)
     a = rng.normal(0, 0.5, (3000, 4)) + y[:, None] * 2
     b = rng.normal(0, 0.5, (3000, 4)) + y[:, None] * 2
-    seen = np.where(np.arange(3000) < 100, y, -1)
-    views = cotrain.co_train(a, b, seen)
+    views = cotrain.co_train(a[:100], b[:100], y[:100], cotrain.surest_of(np.arange(100, 3000), a[100:], b[100:]))
     assert views.exchanged[-1][0] > 200 and views.exchanged[-1][1] > 200
     assert ((views.score(a, b)[100:, 2] > 0.5) == y[100:]).mean() > 0.99
+
+
+def test_rounds_over_a_table_are_those_in_memory(spark, monkeypatch):
+    """Every unlabelled row takes part: the table's exchange picks what one over all rows in memory picks."""
+    rows = corpus(600)
+    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] % 4 == 0], "doc_id long, quality int")
+    seen, real = [], cotrain._surest_in
+
+    def spy(table, known, sure, most):
+        inner = real(table, known, sure, most)
+        names = {r["name"]: r for r in table.join(known, F.col("key") == F.col("__k"), "left_anti").collect()}
+        order = sorted(names)
+        x = [np.stack([np.frombuffer(names[n][c], np.float32) for n in order]) for c in ("text", "page")]
+        plain = cotrain.surest_of(np.array(order), *x, sure, most)
+
+        def find(models, calibrations):
+            got, want = inner(models, calibrations), plain(models, calibrations)
+            seen.append([sorted((n, k) for n, k, *_ in v) for v in got])
+            assert seen[-1] == [sorted((n, k) for n, k, *_ in v) for v in want]
+            assert all(np.array_equal(g[2], w[2]) and np.array_equal(g[3], w[3]) for u, v in zip(got, want, strict=True) for g, w in zip(sorted(u, key=lambda r: r[0]), sorted(v, key=lambda r: r[0]), strict=True))
+            return got
+
+        return find
+
+    monkeypatch.setattr(cotrain, "_surest_in", spy)
+    assert cotrain.classify_quality(docs, labels, sure=0.9, most=40).count() == len(rows)
+    assert len(seen) == 4 and sum(map(len, seen[0])) > 20
