@@ -81,3 +81,5 @@ PENDING_TITLES = ["待确认", "待确认项", "待补充项"]
 MOJIBAKE = r"ï¼|ã|â|Ã.|Â."
 # Edge weights of the structural graph.
 WEIGHTS = {"PROJECT_CONTAINS": 0.9, "IMPORTS": 0.8, "CONTAINS": 0.5, "MENTIONS": 1.0, "RELATED": 0.3, "MENTIONED_IN": 0.3}
+# Fixed value: what stands before the graph facts in a question's contexts.
+FACTS_HEADER = "【GraphRAG Local 图谱事实】\n"

@@ -105,10 +105,12 @@ def context_block(path: Column, heading: Column, content: Column) -> Column:
 
 
 def build_contexts(ranked: DataFrame, chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """(question_id, contexts): graph facts first, then a block for each chunk in rank order (chunks with rel_path)."""
+    """(question_id, contexts): graph facts first under a header, if there are any, then a block for each chunk in rank
+    order (chunks with rel_path)."""
     c = ranked.join(chunks, "chunk_id").select("question_id", F.col("rank").cast("int").alias("rank"), context_block(F.col("rel_path"), F.col("heading"), F.col("content")).alias("block"))
     if facts is not None:
-        c = c.unionByName(facts.select("question_id", F.lit(0).alias("rank"), F.col("facts").alias("block")))
+        told = facts.filter(F.coalesce("facts", F.lit("")) != "")
+        c = c.unionByName(told.select("question_id", F.lit(0).alias("rank"), F.concat(F.lit(rules.FACTS_HEADER), F.col("facts")).alias("block")))
     return c.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("contexts"))
 
 
@@ -138,11 +140,12 @@ def draft_query(drafts: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def global_contexts(ranked: DataFrame, communities: DataFrame) -> DataFrame:
-    """(question_id, kind, item, rank): the question's chunks, then all communities by size."""
-    q = ranked.select("question_id").distinct()
+    """(question_id, kind, item, rank): the questions' chunks, and all communities by size. Communities serve every
+    question and come once, with a null question_id."""
     a = ranked.select("question_id", F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("item"), F.col("rank").cast("long").alias("rank"))
-    b = q.join(communities.select(F.col("community_no").cast("string").alias("item"), F.col("community_no").cast("long").alias("rank")))
-    return a.unionByName(b.select("question_id", F.lit("community").alias("kind"), "item", "rank"))
+    kind = ranked.schema["question_id"].dataType
+    b = communities.select(F.lit(None).cast(kind).alias("question_id"), F.lit("community").alias("kind"), F.col("community_no").cast("string").alias("item"), F.col("community_no").cast("long").alias("rank"))
+    return a.unionByName(b)
 
 
 def classify_answer(answer: Column, grounded: Column) -> Column:

@@ -39,11 +39,37 @@ def _(s, d):
     return files(s, d).select("file_id", p.alias("dir"), src.dir_label(p).alias("label"))
 
 
-@query("html_page_text")
+def _page_text(html):
+    """html_page_text as SQL; RE2 has no references back, so each element's kind is taken out by itself."""
+    x = f"regexp_replace(coalesce({html}, ''), '(?s)<!--.*?-->', '', 'g')"
+    for name in ("head", "script", "style"):
+        x = rf"regexp_replace({x}, '(?is)<{name}\b.*?</{name}\s*>', '', 'g')"
+    for n in range(1, 7):
+        x = rf"regexp_replace({x}, '(?i)<h{n}\b[^>]*>', chr(10) || '{'#' * n} ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|section|article|nav|footer|header|h[1-6]))\b[^>]*>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?s)<[^>]*>', '', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[\s　]+|[\s　]+$', '', 'g')"
+
+
+PAGES = f"pt AS (SELECT page_id, {_page_text('html')} AS text FROM pages)"
+
+
+@query("html_page_text", f"WITH {PAGES} SELECT page_id, text FROM pt")
 def _(s, d):
     return table(s, d, "pages").select("page_id", src.html_page_text(F.col("html")).alias("text"))
 
 
+@query("enumerate_files", "SELECT source, count(*) FILTER (n_chars >= 0) > 0 AS found, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents GROUP BY 1")
+def _(s, d):
+    # documents as text files below a folder for each source: what is listed has their bytes and line ends
+    root = fresh_path(s, "tree")
+    table(s, d, "documents").select("source", "text").write.partitionBy("source").text(root)
+    found = src.enumerate_files(s, root).withColumn("source", F.regexp_extract("path", r"/source=([^/]*)/[^/]*$", 1))
+    return found.groupBy("source").agg((F.count_if(F.col("mtime") > 0) > 0).alias("found"), F.sum("size").alias("size"))
+
+
 @query("html_sanitize", f"""SELECT page_id, md5(CASE WHEN contains(h, '<head>') THEN replace(h, '<head>', '<head>' || c) ELSE c || h END) AS digest FROM
 (SELECT page_id, $c${src.CSP}$c$ AS c, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)</?(?:iframe|object|embed|link)\\b[^>]*>', '', 'g'),
  '(?is)\\son[a-z]+\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s>]+)', '', 'g'), '(?i)javascript:', '', 'g') AS h FROM pages)""")
@@ -154,11 +180,13 @@ def _(s, d):
     return changes.parse_candidates(files(s, d), changes.snapshot_diff(*snapshots(s, d))).select("file_id")
 
 
-@query("purge_project", f"WITH {FILES} SELECT project, count(*) AS n FROM f WHERE project <> 'src0' GROUP BY 1")
+@query("purge_project", f"WITH {FILES} SELECT 'files' AS part, project, file_id, rel_path AS value FROM f WHERE project <> 'src0' UNION ALL SELECT 'languages', project, file_id, lang FROM f WHERE project <> 'src0'")
 def _(s, d):
     f = files(s, d)
     runs = f.select("project", F.lit("DONE").alias("status")).distinct()
-    return changes.purge_project({"files": f}, "src0", runs)["files"].groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    left = changes.purge_project({"files": f.withColumn("value", F.col("rel_path")), "languages": f.withColumn("value", F.col("lang"))}, "src0", runs)
+    rows = [t.select(F.lit(n).alias("part"), "project", "file_id", "value") for n, t in left.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @query("skip_if_unchanged", f"WITH {FILES} SELECT project, rel_path, 'UNCHANGED' AS change_type FROM f")
@@ -210,7 +238,10 @@ def _(s, d):
     return chunks.line_chunks(order_texts(s, d), limit=60).select("file_id", "seq", "heading", F.md5("content").alias("digest"))
 
 
-@query("page_chunk_heading")
+@query("page_chunk_heading", f"WITH RECURSIVE {PAGES}, l AS (SELECT page_id AS file_id, string_split(text, chr(10)) AS a FROM pt WHERE text <> '')," + r"""
+w AS (SELECT file_id, a, 1 AS i, 0 AS n, 0 AS held FROM l UNION ALL SELECT file_id, a, i + 1, CASE WHEN held + length(a[i]) + 1 >= 400 THEN n + 1 ELSE n END, CASE WHEN held + length(a[i]) + 1 >= 400 THEN 0 ELSE held + length(a[i]) + 1 END FROM w WHERE i <= len(a)),
+c AS (SELECT file_id, n AS seq, any_value(a) AS a, min(i) AS first FROM w WHERE i <= len(a) GROUP BY 1, 2)
+SELECT file_id, seq, regexp_replace(ltrim(a[list_last(list_filter(range(1, first + 1), lambda j: starts_with(a[j], '#')))], '#'), '^[\s　]+|[\s　]+$', '', 'g') AS heading FROM c""")
 def _(s, d):
     pages = table(s, d, "pages").select(F.col("page_id").alias("file_id"), src.html_page_text(F.col("html")).alias("text"))
     return chunks.line_chunks(pages, limit=400).select("file_id", "seq", "heading")
@@ -232,7 +263,10 @@ def _(s, d):
     return chunks.split_sections(order_texts(s, d)).select("file_id", "section", "title", F.md5("content").alias("digest"))
 
 
-@query("page_sections")
+@query("page_sections", f"WITH {PAGES}, " + r"""l AS (SELECT page_id AS file_id, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM (SELECT page_id, string_split(text, chr(10)) AS a FROM pt)),
+h AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY n) AS section FROM l)
+SELECT file_id, section::BIGINT AS section, coalesce(max(CASE WHEN starts_with(line, '#') THEN regexp_replace(line, '^#+\s*', '') END), 'Document') AS title, md5(string_agg(line, chr(10) ORDER BY n) FILTER (NOT starts_with(line, '#'))) AS digest
+FROM h WHERE line <> '' AND NOT starts_with(line, '```') GROUP BY 1, 2 HAVING count(*) FILTER (NOT starts_with(line, '#')) > 0""")
 def _(s, d):
     pages = table(s, d, "pages").select(F.col("page_id").alias("file_id"), src.html_page_text(F.col("html")).alias("text"))
     return chunks.split_sections(pages).select("file_id", "section", "title", F.md5("content").alias("digest"))
@@ -406,10 +440,13 @@ def _(s, d):
     return m.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m.start", there.alias("x")))), lambda x: x["x"]), ",").alias("found"))
 
 
-@query("page_endpoints")
+@query("page_endpoints", "SELECT page_id AS file_id, 'IP_PORT' AS key_type, '10.' || page_id % 256 || '.1.2:80' || page_id % 10 AS key_value FROM pages UNION ALL SELECT page_id, 'URL', 'https://svc' || page_id || '.corp/x' FROM pages")
 def _(s, d):
-    pages = table(s, d, "pages").select(F.col("page_id").alias("file_id"), F.concat_ws("\n", "url", src.html_page_text(F.col("html"))).alias("text"))
-    return endpoints.extract_endpoints(pages).select("file_id", "key_type", "key_value", "context")
+    # the pages' own links are those of documentation sites; each gets two addresses that are none
+    k = F.col("page_id")
+    own = F.concat(F.lit("node 10."), (k % 256).cast("string"), F.lit(".1.2:80"), (k % 10).cast("string"), F.lit(" behind https://svc"), k.cast("string"), F.lit(".corp/x ,"))
+    pages = table(s, d, "pages").select(k.alias("file_id"), F.concat_ws("\n", "url", src.html_page_text(F.col("html")), F.repeat(F.lit("plain words "), 20), own).alias("text"))
+    return endpoints.extract_endpoints(pages).select("file_id", "key_type", "key_value")
 
 
 def _items(s, d):

@@ -84,9 +84,15 @@ def _(s, d):
     return graph.graph_stats(*graph.merge_structural(n, e, n, e, True))
 
 
-@query("graph_export", f"{STATS} SELECT part, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1 UNION ALL SELECT 'counts', 1")
+_NODE, _EDGE = ("""'{"node_key":"' || k || '","node_type":"' || y || '"}'""", """'{"source_key":"' || a || '","target_key":"' || b || '","edge_type":"' || y || '"}'""")
+
+
+@query("graph_export", f"""{STATS}, nk AS (SELECT DISTINCT project || '' AS p, 'dir:' || dir AS k, 'DIR' AS y FROM t UNION SELECT DISTINCT project, 'svc:PART:' || key_value, 'SERVICE' FROM s WHERE review_status <> 'REJECTED'),
+ek AS (SELECT DISTINCT project AS p, 'dir:' || dir AS a, 'file:' || rel_path AS b, 'CONTAINS' AS y FROM t UNION SELECT DISTINCT project, 'project:' || project, 'dir:' || dir, 'PROJECT_CONTAINS' FROM t)
+SELECT 'node' AS part, {_NODE} AS json FROM (SELECT k, y FROM nk UNION ALL SELECT p_name, 'ENTITY' FROM part) UNION ALL SELECT 'edge', {_EDGE} FROM (SELECT a, b, y FROM ek UNION ALL SELECT p_brand, p_type, 'ENTITY_REL' FROM part)
+UNION ALL SELECT 'counts', '{{"n_nodes":' || (SELECT sum(n)::BIGINT FROM n WHERE part = 'node') || ',"n_edges":' || (SELECT sum(n)::BIGINT FROM n WHERE part = 'edge') || '}}'""")
 def _(s, d):
-    return graph.graph_export(*_typed_graph(s, d)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return graph.graph_export(*_typed_graph(s, d))
 
 
 def _fragments(s, d):

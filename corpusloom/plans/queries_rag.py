@@ -332,7 +332,7 @@ def _(s, d):
     return evidence.draft_query(drafts, p.select(F.col("p_type").alias("artifact_type"), F.concat(F.lit("default "), "p_type").alias("keywords")).distinct())
 
 
-@query("global_contexts", "SELECT DISTINCT l_orderkey AS question_id, 'chunk' AS kind, CAST(l_partkey AS VARCHAR) AS item, CAST(l_linenumber AS BIGINT) AS rank FROM lineitem UNION ALL SELECT o, 'community', CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS BIGINT) FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem), region")
+@query("global_contexts", "SELECT DISTINCT l_orderkey AS question_id, 'chunk' AS kind, CAST(l_partkey AS VARCHAR) AS item, CAST(l_linenumber AS BIGINT) AS rank FROM lineitem UNION ALL SELECT NULL, 'community', CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS BIGINT) FROM region")
 def _(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").alias("rank")).distinct()
     return evidence.global_contexts(li, table(s, d, "region").select(F.col("r_regionkey").alias("community_no")))
@@ -385,9 +385,9 @@ def _(s, d):
     return evidence.ask_history_view(h, "p", size=200).select("id", "answer", "citation_count")
 
 
-@query("split_expectations", r"SELECT item_id, array_to_string(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[\n,;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')), '|') AS parts, 0 AS z FROM benchmark WHERE false UNION ALL SELECT item_id, CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[\n,;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))) AS VARCHAR), 0 FROM benchmark")
+@query("split_expectations", r"SELECT item_id, array_to_string(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[\n,;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')).list_sort(), '|') AS parts FROM benchmark")
 def _(s, d):
-    return table(s, d, "benchmark").select("item_id", F.size(evaluate.split_expectations(F.col("text"))).cast("string").alias("parts"), F.lit(0).alias("z"))
+    return table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(evaluate.split_expectations(F.col("text"))), "|").alias("parts"))
 
 
 GOLD = """g AS (SELECT o_orderkey AS q, 'p' || o_custkey || ',see' AS kw, 'p' || (o_custkey + 1) || '.md' AS src FROM orders), cf AS (SELECT question_id AS q, list(file_name) AS files FROM ct GROUP BY 1),
@@ -442,11 +442,13 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(quality.extract_facts(F.col("text")), "|").alias("facts"))
 
 
-@query("extract_assertions", "SELECT doc_id, CASE WHEN quality = 0 THEN 2 ELSE 1 END AS n FROM documents JOIN labels USING (doc_id)")
+@query("extract_assertions", "SELECT doc_id, '证明' || source || '|' || CASE WHEN doc_id % 2 = 0 THEN '唯一的办法' || n_chars || '|' ELSE '' END || '已确认第' || doc_id || '号' AS found FROM documents")
 def _(s, d):
-    j = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
-    t = F.concat(F.lit("已确认一切。"), F.when(F.col("quality") == 0, "唯一的办法；").otherwise(""), "text")
-    return j.select("doc_id", F.size(quality.extract_assertions(t)).alias("n"))
+    # assertions before and behind each whole text, which has none of its own
+    k = F.col("doc_id").cast("string")
+    lead = F.concat(F.lit("已确认第"), k, F.lit("号。"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("唯一的办法"), F.col("n_chars").cast("string"), F.lit("；"))).otherwise(""))
+    t = F.concat(lead, F.coalesce("text", F.lit("")), F.lit("；证明"), "source", F.lit("；"))
+    return table(s, d, "documents").select("doc_id", F.array_join(quality.extract_assertions(t), "|").alias("found"))
 
 
 def _drafts(s, d):
@@ -654,15 +656,17 @@ def _(s, d):
     return w.groupBy("route").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), F.sum("total").alias("total"), F.max("max_ms").alias("max_ms"))
 
 
-def _two_scans(s, d):
-    """A store after the stream has applied both listings, each of several files in a folder of its own."""
+def _two_scans(s, d, addresses=False):
+    """A store after the stream has applied both listings, each of several files in a folder of its own; with addresses
+    each text names one more, after its digest."""
     from ..session import fresh_path
     from .fixtures import listings
 
     manifests, store = fresh_path(s, "manifests"), scan.ScanStore(s, fresh_path(s, "store"))
     for n, listing in enumerate(listings(s, d), 1):
         at = fresh_path(s, "listing")
-        listing.write.parquet(at)
+        own = F.concat("text", F.lit("\nsee https://s"), F.substring("sha256", 1, 8), F.lit(".corp/x"))
+        (listing.withColumn("text", own) if addresses else listing).write.parquet(at)
         s.createDataFrame([(n, at)], streams.MANIFEST).coalesce(1).write.mode("append").parquet(manifests)
     streams.incremental_scan_stream(s, manifests, store, fresh_path(s, "stream")).awaitTermination()
     return store
@@ -694,13 +698,15 @@ def _(s, d):
 
 @query("scan_items", "WITH " + _NOW + r""", v AS (SELECT DISTINCT project, rel_path, 'IP_PORT' AS key_type, v AS key_value FROM (SELECT project, rel_path, unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b')) AS v FROM now WHERE regexp_matches(text, '\d\.\d'))
   WHERE NOT regexp_matches(v, '^(127\.0\.0\.1|0\.0\.0\.0)') AND len(list_filter(string_split(split_part(v, ':', 1), '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0 AND (contains(v, ':') OR regexp_matches(v, '^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)')))
-SELECT *, 'PENDING' AS review_status FROM v""")
+SELECT *, 'PENDING' AS review_status FROM v UNION ALL SELECT project, rel_path, 'URL', 'https://s' || substr(sha256, 1, 8) || '.corp/x', CASE WHEN substr(sha256, 1, 1) = '0' THEN 'REJECTED' ELSE 'PENDING' END FROM diff WHERE change_type <> 'DELETED'""")
 def _(s, d):
-    return _two_scans(s, d).items().select("project", "rel_path", "key_type", "key_value", "review_status")
+    store = _two_scans(s, d, addresses=True)
+    store.review(store.items().filter("key_value LIKE 'https://s0%'").withColumn("review_status", F.lit("REJECTED")))
+    return store.items().select("project", "rel_path", "key_type", "key_value", "review_status")
 
 
-@query("scan_graph", "WITH " + SNAPSHOTS + r""", k AS (SELECT project, rel_path, regexp_replace(rel_path, '/[^/]*$', '') AS dir FROM diff WHERE change_type <> 'DELETED')
-SELECT project, 'file:' || rel_path AS target_key, 'dir:' || dir AS source_key, 'CONTAINS' AS edge_type FROM k UNION SELECT project, 'dir:' || dir, 'project:' || project, 'PROJECT_CONTAINS' FROM k""")
+@query("scan_graph", "WITH " + SNAPSHOTS + r""", live AS (SELECT project, rel_path, regexp_replace(rel_path, '/[^/]*$', '') AS dir FROM diff WHERE change_type <> 'DELETED')
+SELECT project, 'file:' || rel_path AS target_key, 'dir:' || dir AS source_key, 'CONTAINS' AS edge_type FROM live UNION SELECT project, 'dir:' || dir, 'project:' || project, 'PROJECT_CONTAINS' FROM live""")
 def _(s, d):
     # the documents' few services are in scan_items
     store = _two_scans(s, d)
