@@ -225,12 +225,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     return scored.select(F.col("key").alias(key), "p_text", "p_page", "p_bad", F.lit(threshold).alias("threshold"), (F.col("p_bad") < threshold).alias("kept"))
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as one binary value each, without an object for each row."""
+    size = x.shape[1] * x.itemsize
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, source, lang, size = (batch.column(n) for n in ("text", "source", "lang", "size"))
-        p = page_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())
-        t = [r.tobytes() for a, b in chunks(text_sizes(texts)) for r in text_view(texts.slice(a, b - a).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("name"), pa.array(t, pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=["key", "name", "text", "page"])
+        for a, b in chunks(text_sizes(batch.column("text"))):
+            part = batch.slice(a, b - a)
+            page = page_view(*(part.column(n).to_pylist() for n in ("source", "lang", "size")))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("name"), _packed(text_view(part.column("text").to_pylist())), _packed(page)], names=["key", "name", "text", "page"])
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
