@@ -9,6 +9,7 @@ of every prefix: appended bytes only add entries, and an edit leaves all entries
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -215,6 +216,10 @@ class EditableText:
 
 @lru_cache(maxsize=2)
 def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
+    # workers are used again: what earlier stages have freed goes back to the system before the memos grow
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
     return Vocabulary(parse_ranks(data), pattern)
 
 
