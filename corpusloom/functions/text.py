@@ -11,11 +11,8 @@ SPACE_PUNCT = r"[\s\p{Punct}，。？！、；：「」『』【】《》（）(
 
 
 def any_of(text: Column, needles: Sequence[str]) -> Column:
-    """Does text contain one of the needles?"""
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(text, F.lit(n))
-    return out
+    """Does text contain one of the needles? One pattern for all: a chain of conditions makes large plans."""
+    return F.rlike(text, F.lit("|".join(rf"\Q{n}\E" for n in needles)))
 
 
 def strip(text: Column) -> Column:

@@ -197,9 +197,9 @@ def label_propagation(edges: DataFrame, max_iter: int = 12) -> DataFrame:
         if converged:
             break
         turn = (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0) & (F.col("best") != F.col("label"))
-        changed = stash(state.filter(turn).select(F.col("node").alias("b")), "changed")
+        changed = state.filter(turn).select(F.col("node").alias("b"))
         state = state.withColumn("label", F.when(turn, F.col("best")).otherwise(F.col("label")))
-        again = stash(both.join(changed, "b", "left_semi").select("a").distinct(), "voters")
+        again = both.join(changed, "b", "left_semi").select("a").distinct()
         votes = _votes(both.join(again, "a", "left_semi"), state).select("a", F.col("best").alias("__best"))
         state = state.join(votes, F.col("node") == F.col("a"), "left").select("node", "label", F.coalesce("__best", "best").alias("best"))
         state = stash(state, "labels")

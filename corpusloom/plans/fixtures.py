@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import content_sha256, sampled_signature
+from ..session import spread
 from ..sources.files import file_category, file_ext
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table; those of texts over all cores, as a file of one row group is one task's otherwise."""
+    t = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(t) if name in ("documents", "pages", "conversations") else t
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from ..operators import changes, chunks, classify, endpoints
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..sources import files as src
 from .fixtures import FILES, SNAPSHOTS, files, snapshots, table
 from .registry import query
@@ -570,7 +570,7 @@ _CONFIG = "concat('jdbc:mysql://db', o_custkey % 50, '.corp:3306/app', chr(10),
   {'t': 'MQ_URL', 'v': 'amqp://mq.corp:5672/' || o_orderkey % 9}, {'t': 'IP_PORT', 'v': '10.' || o_orderkey % 256 || '.' || o_custkey % 256 || '.3'}, {'t': 'IP_PORT', 'v': '8.8.4.' || o_custkey % 256 || ':53'}, {'t': 'HOST_PORT', 'v': 'kafka' || o_orderkey % 11 || '.corp:9092'}]) AS x FROM orders)
 SELECT DISTINCT file_id, x.t AS key_type, x.v AS key_value FROM e""")
 def _(s, d):
-    texts = table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.expr(_CONFIG.replace("chr(10)", "'\n'")).alias("text"))
+    texts = spread(table(s, d, "orders")).select(F.col("o_orderkey").alias("file_id"), F.expr(_CONFIG.replace("chr(10)", "'\n'")).alias("text"))
     return endpoints.extract_endpoints(texts).select("file_id", "key_type", "key_value")
 
 

@@ -143,22 +143,21 @@ def rank_in_groups(rows: DataFrame, group: Sequence[str], order: Sequence[str],
     """rows with their place (from 1) among those of equal group, by order, which should be unique in a group.
 
     Rows are dealt by ranges of group and order together, so that a group of any size lies in many partitions. A row's
-    place is its place in its partition and the number of its group's rows in earlier ones. Only groups that end in
-    another partition than they start in have such rows: one or two of them for each partition, which are broadcast."""
+    place is its place in its partition and the number of its group's rows in earlier ones. A partition has at most one
+    group that began before it, so these numbers are as many as partitions and are broadcast."""
     from ..session import stash
 
     spread = stash(rows.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "ranked")
     inside = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order))
     counts = spread.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"))
-    wide = counts.groupBy(*group).agg(F.collect_list(F.struct("__part", "__n")).alias("__p")).filter("size(__p) > 1")
-    before = F.transform("__p", lambda x: F.struct(x["__part"].alias("part"), F.aggregate(F.filter("__p", lambda y: y["__part"] < x["__part"]), F.lit(0).cast("long"), lambda s, y: s + y["__n"]).alias("n")))
-    before = wide.select(*(F.col(c).alias(f"__g_{c}") for c in group), F.explode(before).alias("b"))
-    before = before.withColumns({"__g_part": F.col("b.part"), "__g_n": F.col("b.n")}).drop("b")
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.sum("__n").over(earlier)).filter("__before > 0")
+    before = before.select(F.col("__part").alias("__g_part"), "__before", *(F.col(c).alias(f"__g_{c}") for c in group))
     same = F.col("__part") == F.col("__g_part")
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
     out = spread.withColumn("__in", inside).join(F.broadcast(before), same, "left")
-    return out.withColumn(name, F.col("__in") + F.coalesce("__g_n", F.lit(0))).select(*rows.columns, name)
+    return out.withColumn(name, F.col("__in") + F.coalesce("__before", F.lit(0))).select(*rows.columns, name)
 
 
 def cell_range_of(excerpt: Column) -> Column:
