@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory of a worker to the system. Workers are used again by later stages, and what the allocator
+    keeps of large arrays adds up with what these need. Nothing happens where the C library cannot do it."""
+    if _TRIM:
+        _TRIM(0)
+
+
 #: A key with more than this share of the rows is joined by broadcast; fewer than 1 / HOT_SHARE keys can have it.
 HOT_SHARE = 1 / 1000
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
+from .common import give_back
 from .isolation import BINS, choose_threshold
 from .rule_stats import STATS, chunks, text_sizes, text_stats
 
@@ -238,6 +239,7 @@ def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             page = page_view(*(part.column(n).to_pylist() for n in ("source", "lang", "size")))
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("name"), _packed(text_view(part.column("text").to_pylist())), _packed(page)], names=["key", "name", "text", "page"])
+    give_back()
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import components, lookup
+from .common import components, give_back, lookup
 from .rule_stats import chunks, mixed, text_sizes, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -191,6 +191,8 @@ def _summaries(rows: DataFrame, bits: int) -> DataFrame:
                     seen.clear()
         if n:
             yield _batch([(None,) * 4 + r for r in _flush(held, None, 64 - bits)], _SUMMARY_TYPES)
+        held.clear()
+        give_back()
 
     return rows.mapInArrow(run, _SUMMARY)
 
@@ -259,10 +261,19 @@ def _keys(rows: DataFrame, frequent: np.ndarray, bits: int, percent: int) -> Dat
                     keys, owners, n = [], [], 0
         if n:
             yield _batch(list(_flush(keys, owners, 64 - bits)), _PACKED_TYPES)
+        keys.clear()
+        owners.clear()
+        give_back()
 
     return rows.mapInArrow(run, _PACKED)
 
 
+def _range_candidates(p: pd.DataFrame, bits: int) -> pd.DataFrame:
+    out = _candidates(p, bits)
+    give_back()
+    return out
+
+
 def _candidates(p: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Pairs (a, b) of documents with a common key: all of keys with up to FEW documents, those with the smallest
     document of other keys. The latter's documents also come as rows with the key in g."""
@@ -407,7 +418,7 @@ def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     points = stash(points, "points")
     frequent = _frequent(told.filter("range IS NOT NULL").select("range", "low", "mid", "id_low", "id_high"), bits)
     texts = rows.join(points.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    found = stash(_keys(texts, frequent, bits, percent).groupBy("range").applyInPandas(lambda p: _candidates(p, bits), "a long, b long, g long, size long"), "candidates")
+    found = stash(_keys(texts, frequent, bits, percent).groupBy("range").applyInPandas(lambda p: _range_candidates(p, bits), "a long, b long, g long, size long"), "candidates")
     edges, comp = _connect(rows, points, found.filter("g IS NULL").select("a", "b").distinct(), None, percent)
     many = found.filter("g IS NOT NULL")
     if not many.isEmpty():

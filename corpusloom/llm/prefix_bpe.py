@@ -9,7 +9,6 @@ of every prefix: appended bytes only add entries, and an edit leaves all entries
 from __future__ import annotations
 
 import base64
-import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: A space between two characters that are not white space: the pattern always starts a new match there.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: A space next to other white space, for which _BOUNDARY has to be searched.
@@ -216,10 +217,8 @@ class EditableText:
 
 @lru_cache(maxsize=2)
 def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
-    # workers are used again: what earlier stages have freed goes back to the system before the memos grow
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    # what earlier stages have freed goes back before the memos grow
+    give_back()
     return Vocabulary(parse_ranks(data), pattern)
 
 
