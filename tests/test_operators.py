@@ -124,6 +124,12 @@ def test_history_and_answers(spark):
     assert r.passed and abs(r.score - 1) < 1e-9
 
 
+def test_global_contexts_of_every_question(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1)], "question_id long, chunk_id long, rank int")
+    got = [tuple(r) for r in evidence.global_contexts(ranked, spark.createDataFrame([(0,), (1,)], "community_no int")).collect()]
+    assert sorted(got) == [(1, "chunk", "10", 1), (1, "chunk", "11", 2), (1, "community", "0", 0), (1, "community", "1", 1), (2, "chunk", "10", 1), (2, "community", "0", 0), (2, "community", "1", 1)]
+
+
 def test_quality(spark):
     body = "项目合同金额为100万元，签订日期2024-05-01。" + "正文" * 60
     d = spark.createDataFrame([(1, "t", "", body), (2, "t", "", body.replace("100万元", "999万元")), (3, "t", "", "Ã©Ã¨Ã¼ï¼" + "x" * 200)], "artifact_id long, title string, instructions string, content string")
