@@ -15,21 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import cotrain, isolation, mixing, parity_join, prefix_bpe
-from corpusloom.session import stash
+from corpusloom.session import bound_batches, stash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
+    bound_batches(spark)
     return cotrain.keep_classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are anomalous to the isolation forest go."""
+    bound_batches(spark)
     return isolation.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of the smallest doc_id stays."""
+    bound_batches(spark)
     return parity_join.keep_first(docs)
 
 
@@ -40,6 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers of ids and digests of ids and of the decoded bytes, a row for each copy in the mix."""
+    bound_batches(spark)
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: What empties the memos that a worker keeps from task to task.
+MEMOS: list[Callable[[], None]] = []
 
 
-def give_back() -> None:
-    """Returns freed memory of a worker to the system. Workers are used again by later stages, and what the allocator
-    keeps of large arrays adds up with what these need. Nothing happens where the C library cannot do it."""
+def give_back(memos: bool = False) -> None:
+    """Returns freed memory of a worker to the system, Arrow's too. Workers are used again by later stages, and what the
+    allocators keep of large arrays adds up with what these need. With memos, those of other operators go first, which
+    costs time when they are asked for again. The C library's part is left out where it cannot do it."""
+    if memos:
+        for empty in MEMOS:
+            empty()
+    pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
 

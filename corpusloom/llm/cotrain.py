@@ -234,6 +234,7 @@ def _packed(x: np.ndarray) -> pa.Array:
 
 
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back(memos=True)
     for batch in batches:
         for a, b in chunks(text_sizes(batch.column("text"))):
             part = batch.slice(a, b - a)

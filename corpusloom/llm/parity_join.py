@@ -35,7 +35,7 @@ FEW = 16
 #: Frequent shingles that are sent to all tasks at most (the most frequent ones); others are ordered as rare ones.
 FREQUENT = 1 << 20
 #: Entries that a task gathers before it hands them on by range of keys, and rows of a chunk of a frequent key.
-FLUSH, CHUNK = 1 << 21, 1024
+FLUSH, CHUNK = 1 << 20, 1024
 _HALF = np.uint64(1 << 63)
 
 
@@ -169,6 +169,7 @@ def _summaries(rows: DataFrame, bits: int) -> DataFrame:
     of all, from which frequent ones are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(memos=True)
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         n = 0
@@ -325,6 +326,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             for x, y in chunks(text_sizes(batch.column(1))):
                 part = batch.slice(x, y - x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["id", "s"])
+        give_back()
 
     sets = stash(needed.mapInArrow(make, "id long, s binary"), "pair-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -338,6 +340,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct()
 

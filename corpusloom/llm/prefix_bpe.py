@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import give_back
+from .common import MEMOS, give_back
 
 #: A space between two characters that are not white space: the pattern always starts a new match there.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -222,6 +222,9 @@ def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(parse_ranks(data), pattern)
 
 
+MEMOS.append(_vocabulary.cache_clear)
+
+
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text: (key, n_tokens, ids_sha256, decoded_sha256[, ids]).
 

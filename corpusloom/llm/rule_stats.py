@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: Names of the counts, in the order of the columns of text_stats.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_punct", "n_adjacent", "n_lines")
 #: Words of a window that counts as repeated.
@@ -163,10 +165,12 @@ def document_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     rows = docs.select(docs[key].alias("__key"), docs[text].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(memos=True)
         for batch in batches:
             texts = batch.column(1)
             s = np.concatenate([np.zeros((0, len(STATS)), np.int64), *(text_stats(texts.slice(a, b - a).to_pylist()) for a, b in chunks(text_sizes(texts)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(len(STATS)))], names=["__key", *STATS])
+        give_back()
 
     kind = rows.schema["__key"].dataType.simpleString()
     return rows.mapInArrow(run, f"__key {kind}, " + ", ".join(f"{n} long" for n in STATS)).withColumnRenamed("__key", key)

@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from corpusloom.llm import mixing
+from corpusloom.llm import cotrain, mixing, prefix_bpe
 from corpusloom.llm.prefix_bpe import parse_ranks
 
 
@@ -87,3 +87,19 @@ def test_stages(spark):
     got = Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in cp.token_ids(spark, docs, sf).collect())
     assert got == want
     assert Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, sf).collect()) == want
+
+
+def test_stages_bound_what_a_worker_holds(spark):
+    other = spark.newSession()
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    docs = other.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for rows, size, want in (("10000", "256m", [2000, 64 << 20]), ("500", "1000000", [500, 1_000_000])):
+        other.conf.set(names[0], rows)
+        other.conf.set(names[1], size)
+        cp.token_ids(other, docs, "/root/testdata/sf0.001")
+        assert [int(other.conf.get(n)) for n in names] == want
+    # a vocabulary and its memos do not stay in a worker that makes views
+    before = prefix_bpe._vocabulary(b"YQ== 0", "a")
+    assert prefix_bpe._vocabulary(b"YQ== 0", "a") is before
+    list(cotrain._view_rows(iter([])))
+    assert prefix_bpe._vocabulary(b"YQ== 0", "a") is not before
