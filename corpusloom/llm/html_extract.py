@@ -1,9 +1,10 @@
 """Main text of web pages: page structure, and a suffix array over each host's text for what structure leaves open.
 
 A page's text falls into its article (what an article or main element marks), parts that structure tells to be
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments), and open text. Article text
-stays, whatever other pages repeat: copies and quoted passages are text. Open text is the main text of pages that
-mark no article. There, runs of tokens that other pages of the host repeat are boilerplate. They are found in a
+something else (menus, headers, footers, sidebars, notices, adverts, forms, comments), and open text. Of article text
+only those runs of tokens go that over PERCENT of the host's distinct articles have: they are the host's, not the
+article's. What fewer pages repeat stays, as copies and quoted passages are text, and so does an article of which over
+half would go. Open text is the main text of pages that mark no article. There, runs of tokens that other pages of the host repeat are boilerplate. They are found in a
 suffix array of the host's pages, over open and other parts alike, and unique runs stay.
 """
 
@@ -27,6 +28,8 @@ from .rule_stats import mixed, window_hashes
 
 #: Tokens that a repeated run has at least, and tokens of a host that one suffix array holds.
 RUN, SHARD = 8, 400_000
+#: Distinct articles that a host has at least, and share of them that a run has to exceed, for it to be the host's own.
+ARTICLES, PERCENT = 8, 75
 
 # Elements whose content is no text, elements and words of class, id or role that are not the article.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "head", "title", "iframe", "object", "select", "textarea", "button", "canvas", "math"}
@@ -202,6 +205,47 @@ def repeated(pages: list[list[str]], known: np.ndarray) -> list[np.ndarray]:
     return np.split(covered[at], np.cumsum(sizes)[:-1]) if len(pages) else []
 
 
+def shared_runs(pages: list[list[str]]) -> np.ndarray:
+    """Hashes of the runs of RUN tokens that over PERCENT of the pages have, by the suffix array of all."""
+    sizes = np.array([len(p) for p in pages], np.int64)
+    words = [w for p in pages for w in p]
+    if not words:
+        return np.zeros(0, np.uint64)
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    owner = np.repeat(np.arange(len(pages)), sizes)
+    # a separator of its own ends each page
+    tokens, at = np.arange(len(names), len(names) + len(words) + len(pages)), np.arange(len(words)) + owner
+    tokens[at] = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
+    order, rank = suffix_order(tokens, RUN)
+    page, r = np.repeat(np.arange(len(pages)), sizes + 1)[order], rank[order]
+    # equal suffixes keep their places' order, so a page's are neighbours
+    first = np.concatenate([[True], (r[1:] != r[:-1]) | (page[1:] != page[:-1])])
+    often = np.bincount(r[first]) * 100 > PERCENT * len(pages)
+    h, whole = page_windows(words, sizes)
+    return np.unique(h[whole & often[rank[at]]])
+
+
+def without_runs(blocks: list[str], runs: np.ndarray) -> str:
+    """The blocks' text without tokens in runs; all of it if over half would go."""
+    words = [t.split() for t in blocks]
+    flat = [w for b in words for w in b]
+    h, whole = page_windows(flat, np.array([len(flat)]))
+    where = np.flatnonzero(whole & np.isin(h, runs))
+    edge = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(edge, where, 1)
+    np.add.at(edge, where + RUN, -1)
+    kept = np.cumsum(edge)[: len(flat)] == 0
+    if 2 * kept.sum() < len(flat):
+        kept[:] = True
+    ends = np.cumsum([len(b) for b in words])
+    left = (" ".join(w for w, k in zip(b, kept[e - len(b) : e].tolist(), strict=True) if k) for b, e in zip(words, ends.tolist(), strict=True))
+    return " ".join(t for t in left if t)
+
+
+def article_of(page: str | None) -> list[str]:
+    return [t for p, t in blocks(page or "") if p == ARTICLE]
+
+
 def page_windows(words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the RUN tokens from each position, and whether these are of one page."""
     h = np.zeros(len(words), np.uint64)
@@ -215,6 +259,67 @@ def _digest(*parts: str) -> str:
     return xxhash.xxh3_128_hexdigest("\0".join(parts).encode())
 
 
+def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u.as_py()) for u in batch.column(1)], pa.string())], names=["key", "url", "html", "host"])
+
+
+def _host_runs(rows: DataFrame, articles: DataFrame) -> DataFrame | None:
+    """(h, runs): the hashes of each host's own runs, for hosts that have any; None if none has.
+
+    rows: (key, url, html); articles: (host, article, size) of the pages that mark one of RUN tokens or more."""
+    distinct = articles.groupBy("host", "article").agg(F.first("size").alias("size"))
+    hosts = distinct.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("articles"), F.ceil(F.sum("size") / SHARD).cast("int").alias("shards"))
+    hosts = stash(hosts.filter(F.col("articles") >= ARTICLES), "article-hosts")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # copies are sent once by each task
+        seen: set[str] = set()
+        for batch in batches:
+            out = []
+            for u, h in zip(batch.column(1), batch.column(2), strict=True):
+                text, host = " ".join(article_of(h.as_py())), host_of(u.as_py())
+                name = _digest(host, text)
+                if text and name not in seen:
+                    seen.add(name)
+                    out.append((host, _digest(text), text))
+            if len(seen) > 1 << 20:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["host", "article", "text"])
+
+    def find(p: pd.DataFrame) -> pd.DataFrame:
+        once = p.drop_duplicates("article")
+        words = [w for w in map(str.split, once["text"]) if len(w) >= RUN]
+        found = shared_runs(words)
+        return pd.DataFrame({"host": np.full(len(found), p["host"].iloc[0], object), "run": found.view(np.int64)})
+
+    sent = rows.mapInArrow(tokens, "host string, article string, text string").join(hosts, F.col("host") == F.col("h"))
+    dealt = sent.withColumn("shard", F.pmod(F.xxhash64("article"), "shards").cast("int")).select("host", "shard", "article", "text")
+    likely = stash(dealt.groupBy("host", "shard").applyInPandas(find, "host string, run long").distinct(), "likely-runs")
+    if likely.isEmpty():
+        return None
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, article, run = [], [], []
+            for h, u, likely in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                words = " ".join(article_of(h.as_py())).split()
+                hashes, whole = page_windows(words, np.array([len(words)]))
+                both = np.intersect1d(hashes[whole], np.array(likely.as_py(), np.int64).view(np.uint64)).view(np.int64).tolist()
+                host += [u.as_py()] * len(both)
+                article += [_digest(" ".join(words))] * len(both)
+                run += both
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(article, pa.string()), pa.array(run, pa.int64())], names=["host", "article", "run"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    lists = likely.groupBy(F.col("host").alias("h")).agg(F.collect_list("run").alias("runs"))
+    named = rows.mapInArrow(_with_host, f"key {kind}, url string, html string, host string").join(lists, F.col("host") == F.col("h")).select("key", "url", "html", "host", "runs")
+    counted = named.mapInArrow(meet, "host string, article string, run long").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
+    own = counted.join(hosts, F.col("host") == F.col("h")).filter(F.col("n") * 100 > F.col("articles") * PERCENT)
+    own = stash(own.groupBy("h").agg(F.collect_list("run").alias("runs")), "host-runs")
+    return None if own.isEmpty() else own
+
+
 def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every row of pages.
 
@@ -224,31 +329,35 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
 
     Hosts with over SHARD tokens outside articles, those of equal pages counted once, are dealt to several suffix
     arrays. Each gets the hashes of its own runs that others have too, so that the result does not depend on the
-    dealing.
+    dealing. Articles are dealt in the same way: what over PERCENT of all have, over PERCENT of some deal have, and each
+    such run is then counted over all articles. Pages are parsed again where their texts are needed, which costs less
+    than to keep these.
     """
     rows = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, text, marked, runs, kinds = [], [], [], [], []
+            hosts, articles, sizes, runs, kinds = [], [], [], [], []
             for u, h in zip(batch.column(1), batch.column(2), strict=True):
                 found = blocks(h.as_py() or "")
                 rest = [(p, t) for p, t in found if p != ARTICLE]
                 hosts.append(host_of(u.as_py()))
-                text.append(" ".join(t for p, t in found if p == ARTICLE))
-                marked.append(len(rest) < len(found))
+                text = " ".join(t for p, t in found if p == ARTICLE)
+                articles.append(_digest(text) if text else None)
+                sizes.append(len(text.split()))
                 runs.append([t for _, t in rest])
                 kinds.append([p == OPEN for p, _ in rest])
+            marked = [a is not None for a in articles]
             streams = [" ".join(r) for r in runs]
             same = [_digest(h, s) for h, s in zip(hosts, streams, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(text, pa.string()), pa.array(marked, pa.bool_()), pa.array(runs, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.bool_())),
+                batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(articles, pa.string()), pa.array(sizes, pa.int64()), pa.array(marked, pa.bool_()), pa.array(runs, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.bool_())),
                 pa.array([len(s.split()) for s in streams], pa.int64()), pa.array(same, pa.string()),
                 pa.array([None if m else _digest(d, repr((r, k))) for m, d, r, k in zip(marked, same, runs, kinds, strict=True)], pa.string()),
-            ], names=["key", "url", "host", "text", "marked", "blocks", "open", "n", "stream", "variant"])
+            ], names=["key", "url", "host", "article", "size", "marked", "blocks", "open", "n", "stream", "variant"])
 
-    parsed = stash(rows.mapInArrow(parse, f"key {kind}, url string, host string, text string, marked boolean, blocks array<string>, open array<boolean>, n long, stream string, variant string"), "parsed-pages")
+    parsed = stash(rows.mapInArrow(parse, f"key {kind}, url string, host string, article string, size long, marked boolean, blocks array<string>, open array<boolean>, n long, stream string, variant string"), "parsed-pages")
     bare = parsed.filter("NOT marked").select("key", "url", "host", "stream", "variant", "blocks", "open", "n")
     # pages of hosts where none is open are not looked at. Pages of equal tokens are one row before any text moves; each
     # way in which open pages are made of these tokens is a variant
@@ -291,6 +400,19 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
         return pd.DataFrame(out, columns=["id", "runs"])
 
     cleaned = stash(dealt.select("host", "shard", "tokens", "ways").groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(clean, "id string, runs string"), "cleaned-pages")
-    marked = parsed.filter("marked").select("key", "url", "text")
+    runs = _host_runs(rows, parsed.filter(F.col("size") >= RUN).select("host", "article", "size"))
+
+    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [article_of(h.as_py()) for h in batch.column(2)]
+            gone = [np.array(r.as_py() or [], np.int64).view(np.uint64) for r in batch.column(3)]
+            text = [(without_runs(f, g) if len(g) else " ".join(f)) if f else None for f, g in zip(found, gone, strict=True)]
+            part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["key", "url", "text"])
+            yield part.filter(pa.array([t is not None for t in text], pa.bool_()))
+
+    asked = rows.withColumn("runs", F.lit(None).cast("array<bigint>"))
+    if runs is not None:
+        asked = rows.mapInArrow(_with_host, f"key {kind}, url string, html string, host string").join(runs, F.col("host") == F.col("h"), "left").select("key", "url", "html", "runs")
+    marked = asked.mapInArrow(articles, f"key {kind}, url string, text string")
     out = marked.unionByName(lookup(bare.select("key", "url", "variant"), cleaned, "variant", "id", ["runs"]).select("key", "url", F.coalesce("runs", F.lit("")).alias("text")))
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
