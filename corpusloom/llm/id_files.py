@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from ..session import fresh_path, stash
 from .context_coder import FRAME, decode_frame, encode_frame
@@ -26,6 +28,7 @@ from .rule_stats import chunks, text_sizes
 #: Characters of which the library's and this module's pattern think alike, whatever Unicode version either knows
 #: (a test compares them); pieces with others are encoded by the library as they are.
 _SETTLED = re.compile("[\\0-\u0557\u0900-\u0b7f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
+_SETTLED_RUN = re.compile(_SETTLED.pattern.replace("*", "+"))
 #: A space at either end, or with white space of any kind beside it.
 _BESIDE = r"^ | $| [{0}]|[{0}] ".format(r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 #: The pattern of byte-level pre-tokenizers of the library.
@@ -38,6 +41,24 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _joined(column: pa.Array, between: bytes) -> pa.Buffer:
+    one = pa.LargeListArray.from_arrays([0, len(column)], column.cast(pa.large_binary()))
+    return pc.binary_join(one, pa.scalar(between, pa.large_binary()))[0].as_buffer()
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of each character up to the last settled one: 1 a letter, 2 a number, 3 neither, 0 what the pattern has to see (white
+    space, the apostrophe, control characters), 4 not settled, as is what lies beyond."""
+    chars = "".join(map(chr, range(0xD7A5)))
+    out = np.full(len(chars), 4, np.uint8)
+    for found, kind in ((_SETTLED_RUN.finditer(chars), 3), (regex.finditer(r"\p{L}+", chars), 1), (regex.finditer(r"\p{N}+", chars), 2), (regex.finditer(r"[\s\p{C}']+", chars), 0)):
+        for m in found:
+            part = out[m.start() : m.end()]
+            part[part < 4 if kind < 3 else slice(None)] = kind
+    return out
+
+
 class PieceTokenizer:
     """A byte-level tokenizer of the library that encodes every distinct word once.
 
@@ -53,90 +74,143 @@ class PieceTokenizer:
         cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer") and (spec.get("post_processor") or cut).get("type") == "ByteLevel" and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.words, self.model = regex.compile(python_pattern(_WORD)).findall, self.library.model
+        self.words = regex.compile(python_pattern(_WORD)).findall
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for name, i in vocab.items():
+            self.bytes[i] = len(name)
+        # the same model for words that are spelled already, a line for each
+        self.lines = Tokenizer(self.library.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
         self.kind = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        # Byte-level models spell printable bytes as themselves, other bytes as the characters from U+0100
+        # Byte-level models spell printable bytes as themselves, other bytes as the characters from U+0100.
+        # No text holds the byte 255, which here stands behind each word.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.space = chr(self.spelling[32])
+        hidden = iter(range(256, 512))
+        spelled = [chr(b) if b in shown else chr(next(hidden)) for b in range(255)] + ["\n"]
+        self.spelling = np.array([[*c.encode(), 0][:2] for c in spelled], np.uint8)
         self._forget()
 
     def _forget(self) -> None:
         # words by number, and where in the pool the ids of each number are
         self.numbers: dict[str, int] = {}
-        self.pool, self.held = np.zeros(1 << 16, self.kind), 0
-        self.ends: list[int] = [0]
+        self.pool, self.ends = np.zeros(1 << 16, self.kind), np.zeros(1 << 16, np.int64)
+        self.held = 0
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if len(self.numbers) > MEMO:
             self._forget()
-        whole = [not self.plain or any(a in t for a in self.added) for t in texts]
-        column = pa.array(["" if w else t for w, t in zip(whole, texts, strict=True)], pa.large_string())
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = np.full(len(column), not self.plain)
+        for a in self.added:
+            whole |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
         # texts with white space beside a space are not cut into pieces
-        apart = np.array(whole, bool) | pc.match_substring_regex(column, _BESIDE).to_numpy(zero_copy_only=False)
+        apart = whole | pc.match_substring_regex(column, _BESIDE).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(apart), "", column), " ")
         starts = np.asarray(lists.offsets)[:-1].astype(np.int64)
-        counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
         first = np.zeros(len(lists.values), bool)
         first[starts] = True
         inner = lists.values.filter(pa.array(~first)).dictionary_encode()
-        heads = lists.values.take(pa.array(starts)).to_pylist()
-        heads = [t if far else h for t, h, far in zip(texts, heads, apart.tolist(), strict=True)]
-        numbers, sizes = self._numbers(inner.dictionary.to_pylist(), heads, whole)
-        # pieces of the batch in order: heads are numbered behind the distinct inner pieces
+        heads = pc.if_else(pa.array(apart), column, lists.values.take(pa.array(starts))).to_pylist()
+        place, ids, sizes = self._pieces(inner.dictionary, heads, whole)
+        # pieces of the batch in order: heads are behind the distinct inner pieces
         pieces = np.empty(len(first), np.int64)
-        pieces[~first] = inner.indices.to_numpy()
+        pieces[~first] = place[inner.indices.to_numpy()]
         pieces[first] = len(inner.dictionary) + np.arange(len(heads))
-        ends = np.cumsum(sizes)
-        words = numbers[_ragged((ends - sizes)[pieces], sizes[pieces])]
-        pool_ends = np.array(self.ends)
-        n_ids = np.diff(pool_ends)[words]
-        ids = self.pool[_ragged(pool_ends[words], n_ids)]
-        text_ends = np.cumsum(np.add.reduceat(np.append(sizes[pieces], 0), starts)) if len(starts) else np.zeros(0, np.int64)
-        through = np.concatenate([[0], np.cumsum(n_ids)])[text_ends]
-        return ids, np.diff(through, prepend=0)
-
-    def _numbers(self, inner: list[str], heads: list[str], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all pieces in a row (inner ones with a space before them, then heads), and how many each has."""
-        strange = [i for i, p in enumerate(inner) if not p.isascii() and not _SETTLED.fullmatch(p)]
-        lone = {i: [" " + inner[i]] for i in strange}
-        for i in strange:
-            inner[i] = "x"
-        # without spaces inside, each piece starts with the only word that starts with a space
-        words = self.words(" " + " ".join(inner)) if inner else []
-        fast = [[h] if far or not _SETTLED.fullmatch(h) else self.words(h) for h, far in zip(heads, whole, strict=True)]
-        at = np.flatnonzero(np.fromiter((w[0] == " " for w in words), bool, len(words)))
-        sizes = np.append(np.diff(np.append(at, len(words))), np.array([len(f) for f in fast], np.int64))
-        for i in strange:
-            words[at[i]] = lone[i][0]
-        column = pa.array(words + [w for f in fast for w in f], pa.large_string()).dictionary_encode()
-        names = column.dictionary.to_pylist()
-        found = list(map(self.numbers.get, names))
-        missing = [w for w, n in zip(names, found, strict=True) if n is None]
-        if missing:
-            self._learn(missing, {x[0] for x in lone.values()}.union(f[0] for f, h in zip(fast, heads, strict=True) if len(f) == 1 and f[0] is h))
-            found = list(map(self.numbers.get, names))
-        return np.array(found, np.int64)[column.indices.to_numpy()], sizes
-
-    def _learn(self, words: list[str], whole: set[str]) -> None:
-        """whole: words that the library has to encode as they are."""
-        ids, sizes, tokenize = [], [], self.model.tokenize
-        for w in words:
-            n = len(ids)
-            if w in whole:
-                ids += self.library.encode(w, add_special_tokens=False).ids
-            else:
-                # printable ASCII is spelled as it is, but for the space
-                spelled = w.replace(" ", self.space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.spelling)
-                ids += [t.id for t in tokenize(spelled)]
-            sizes.append(len(ids) - n)
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
-        self.ends += (self.held + np.cumsum(sizes)).tolist()
-        if self.held + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.kind)])
-        self.pool[self.held : self.held + len(ids)] = ids
-        self.held += len(ids)
+        n_ids = sizes[pieces]
+        ids = ids[_ragged((np.cumsum(sizes) - sizes)[pieces], n_ids)]
+        return ids, np.add.reduceat(n_ids, starts) if len(starts) else np.zeros(0, np.int64)
+
+    def _pieces(self, inner: pa.Array, heads: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each inner piece (which has a space before it) stands in a row of all inner pieces, then heads; the ids of
+        this row, and how many each of its pieces has."""
+        kept, cut, cut_sizes, odd = self._cut(inner)
+        lists, alone = [], []
+        for p in inner.take(pa.array(odd)).to_numpy(zero_copy_only=False).tolist():
+            settled = _SETTLED.fullmatch(p)
+            lists.append(self.words(" " + p) if settled else [" " + p])
+            alone.append(not settled)
+        for h, far in zip(heads, whole.tolist(), strict=True):
+            alone.append(far or not _SETTLED.fullmatch(h))
+            lists.append([h] if alone[-1] else self.words(h))
+        place = np.empty(len(inner), np.int64)
+        place[np.concatenate([kept, odd])] = np.arange(len(inner))
+        words = pa.concat_arrays([cut, pa.array([w for ws in lists for w in ws], pa.large_string())]).dictionary_encode()
+        names, indices = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        numbers = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int64, len(names))
+        counts = np.array([len(ws) for ws in lists], np.int64)
+        as_is = np.zeros(len(names), bool)
+        as_is[indices[(len(cut) + np.cumsum(counts) - counts)[np.array(alone, bool)]]] = True
+        missing = numbers < 0
+        for which, far in ((np.flatnonzero(missing & ~as_is), False), (np.flatnonzero(missing & as_is), True)):
+            if len(which):
+                numbers[which] = len(self.numbers) + np.arange(len(which))
+                self._learn(words.dictionary.take(pa.array(which)), far)
+        numbers = numbers[indices]
+        stops, starts = self.ends[numbers + 1], self.ends[numbers]
+        through = np.concatenate([[0], np.cumsum(stops - starts)])
+        per_piece = np.cumsum(np.concatenate([cut_sizes, counts]))
+        return place, self.pool[_ragged(starts, stops - starts)], np.diff(through[per_piece], prepend=0)
+
+    def _cut(self, inner: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """The pieces of letters, numbers and other signs alone, their words in a row and how many each has; and the pieces
+        that the pattern or the library has to see. Where no such character is, a word ends where their kind changes."""
+        if not len(inner):
+            return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data = b" " + _joined(inner, b" ").to_pybytes()
+        chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        classes = _classes()
+        kinds = classes.take(chars, mode="clip")
+        # no piece holds a space
+        at = np.flatnonzero(chars == 32)
+        kinds[at] = 5
+        seen = np.add.reduceat((kinds == 0) | (kinds == 4), at, dtype=np.int64)
+        start = np.empty(len(chars), bool)
+        start[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+        start[at[at + 1 < len(chars)] + 1] = False
+        start[at] = True
+        n_words = np.add.reduceat(start, at, dtype=np.int64)
+        # by bytes
+        begins = np.flatnonzero(start)
+        if len(data) > len(chars):
+            width = (chars > 0x7F).astype(np.int8) + (chars > 0x7FF) + (chars > 0xFFFF) + np.int8(1)
+            begins = (np.cumsum(width, dtype=np.int64) - width)[begins]
+        bounds = pa.py_buffer(np.append(begins, len(data)))
+        words = pa.LargeStringArray.from_buffers(len(begins), bounds, pa.py_buffer(data))
+        plain = seen == 0
+        if not plain.all():
+            words = words.filter(pa.array(np.repeat(plain, n_words)))
+        return np.flatnonzero(plain), words, n_words[plain], np.flatnonzero(~plain)
+
+    def _learn(self, words: pa.Array, far: bool) -> None:
+        """Gives new words numbers. Far ones are encoded by the library as they are, the others by its model."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        if far:
+            each = [e.ids for e in self.library.encode_batch_fast(names, add_special_tokens=False)]
+        else:
+            data = self.spelling[np.frombuffer(_joined(words, b"\xff"), np.uint8)].ravel()
+            lines = data[data > 0].tobytes().decode()
+            new = np.array(self.lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.kind)
+            # a word ends where the bytes of its ids do
+            through, ends = np.cumsum(self.bytes[new]), np.cumsum(pc.binary_length(words.cast(pa.large_binary())).to_numpy())
+            last = np.searchsorted(through, ends)
+            each = None
+            if not len(through) or through[-1] != ends[-1] or (through[last] != ends).any():
+                # a model that lacks some byte
+                each = [[t.id for t in self.library.model.tokenize(w)] for w in lines.split("\n")]
+        if each is not None:
+            new, last = np.array([i for e in each for i in e], self.kind), np.cumsum([len(e) for e in each]) - 1
+        known = len(self.numbers)
+        self.numbers.update(zip(names, range(known, known + len(names)), strict=True))
+        if known + len(names) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(names)), np.int64)])
+        if self.held + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(new)), self.kind)])
+        self.ends[known + 1 : known + 1 + len(names)] = self.held + 1 + last
+        self.pool[self.held : self.held + len(new)] = new
+        self.held += len(new)
 
 
 @lru_cache(maxsize=2)
@@ -174,7 +248,7 @@ def write_id_files(docs: DataFrame, path: str, tokenizer_file: str, *, key: str
 
         for batch in batches:
             for a, b in chunks(text_sizes(batch.column(1))):
-                found, n = tok.encode(batch.column(1).slice(a, b - a).to_pylist())
+                found, n = tok.encode(batch.column(1).slice(a, b - a))
                 keys.append(batch.column(0).slice(a, b - a))
                 ids.append(np.insert(found, np.cumsum(n), end_id))
                 sizes.append(n + 1)

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -79,3 +80,42 @@ def test_table(spark, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert id_files.round_trip(df.limit(0), FILE, path=str(tmp_path / "none")).count() == 0
+
+
+def test_blocks_are_smaller_than_zlib_s():
+    share = 1 / (np.arange(4000) + 5.0)
+    x = np.random.default_rng(5).choice(4000, 400_000, p=share / share.sum()) * 12
+    coded = context_coder.encode_frame(x)
+    assert (context_coder.decode_frame(coded) == x).all()
+    assert len(coded) < len(zlib.compress(x.astype("<u2").tobytes()))
+
+
+def test_a_block_alone_keeps_its_order():
+    x = np.array([5, 1, 3] * 100)
+    assert (context_coder.decode_frame(context_coder.encode_frame(x)) == x).all()
+
+
+def test_words_of_a_batch_go_to_the_model_at_once(monkeypatch):
+    """One call of the library for all new words, and the same ids when its model lacks a byte."""
+    tok, calls = id_files.PieceTokenizer(PIECES.library.to_str().encode()), []
+
+    class Counted:
+        def encode_batch_fast(self, *args, **options):
+            calls.append(args)
+            return PIECES.lines.encode_batch_fast(*args, **options)
+
+    monkeypatch.setattr(tok, "lines", Counted(), raising=False)
+    texts = [f"{a}é{b}, it's {a * b}漢 'x\n\n{b}" for a in range(40) for b in range(40)]
+    ids, sizes = tok.encode(texts)
+    truth = [TRUTH.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
+    assert ids.tolist() == [i for t in truth for i in t] and sizes.tolist() == [len(t) for t in truth]
+    spec = json.loads(PIECES.library.to_str())
+    gone = spec["model"]["vocab"].pop("q")
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if "q" not in "".join(m)]
+    spec["model"]["vocab"] = {k: v for k, v in spec["model"]["vocab"].items() if "q" not in k or v == gone}
+    data = json.dumps(spec)
+    lacking, tok = Tokenizer.from_str(data), id_files.PieceTokenizer(data.encode())
+    ids, sizes = tok.encode(["a quick q", "qq b"])
+    truth = [lacking.encode(t, add_special_tokens=False).ids for t in ("a quick q", "qq b")]
+    assert ids.tolist() == [i for t in truth for i in t] and sizes.tolist() == [len(t) for t in truth]
