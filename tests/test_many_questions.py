@@ -40,3 +40,9 @@ def test_seed_entities_sends_no_questions(spark):
     q, e = few_bytes(spark)
     assert not with_threshold(spark, lambda: sent_whole(evidence.seed_entities(q, e)))
     assert evidence.seed_entities(q, e).filter("name = 'blue'").count() == 20_000
+
+
+def test_seed_entities_alias_sends_no_questions(spark):
+    q, e = few_bytes(spark)
+    assert not with_threshold(spark, lambda: sent_whole(evidence.seed_entities_alias(q, e)))
+    assert evidence.seed_entities_alias(q, e).filter("name = 'blue'").count() == 20_000
