@@ -69,3 +69,11 @@ def test_relations_of_a_name_of_many(spark):
     start = time.perf_counter()
     assert evidence.local_relations(seeds, rel).count() == 18 * 20_000
     assert time.perf_counter() - start < 20
+
+
+def test_graph_facts_sends_no_seeds(spark):
+    q, e = few_bytes(spark)
+    seeds = stash(q.select("question_id", F.lit("blue").alias("name"), F.lit(1).alias("rank")), "seeds")
+    rel = spark.createDataFrame([("blue", "ring", "x", 1.0)], "source string, target string, edge_type string, weight double")
+    facts = evidence.graph_facts(seeds, e.withColumn("type", F.lit("t")), evidence.local_relations(seeds, rel).hint("merge"))
+    assert not with_threshold(spark, lambda: sent_whole(facts.select("facts"))) and facts.count() == 20_000
